@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from siftframe.functions.values import strip
 
@@ -60,7 +61,7 @@ def ratio_at_least(a: str, b: str, threshold: float) -> bool:
     return ratio(a, b) >= threshold
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
