@@ -56,7 +56,7 @@ def header_translations(prof: DataFrame) -> DataFrame:
     cleaned name and a type guessed from the sample values.
     """
     rows = [(k, *v) for k, v in HEADER_DICTIONARY.items()]
-    known = prof.sparkSession.createDataFrame(rows, "key string, std string, text string, kind string")
+    known = prof.sparkSession.createDataFrame(rows, "key string, known_name string, known_text string, known_type string")
     digits = r"^(?U)\d+$"
     decimal = r"^(?U)(?:\d+\.\d*|\.\d+)$"
     guessed = (
@@ -71,9 +71,9 @@ def header_translations(prof: DataFrame) -> DataFrame:
         .join(F.broadcast(known), "key", "left")
         .select(
             "column",
-            F.coalesce("std", F.when(cleaned == "", F.lit("column_clean")).otherwise(cleaned)).alias("standardized_name"),
-            F.concat(F.lit(DESCRIPTION_PREFIX), F.coalesce("text", generic)).alias("description"),
-            F.coalesce("kind", guessed).alias("clean_datatype"),
+            F.coalesce("known_name", F.when(cleaned == "", F.lit("column_clean")).otherwise(cleaned)).alias("standardized_name"),
+            F.concat(F.lit(DESCRIPTION_PREFIX), F.coalesce("known_text", generic)).alias("description"),
+            F.coalesce("known_type", guessed).alias("clean_datatype"),
         )
     )
 
