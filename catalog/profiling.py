@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.sqlgen import COLUMNS, FACTS, LINE_KEY, PROFILE, ROW_KEY, SAMPLES, TYPE, num_sql, per_column, text_sql
-from catalog.views import table, view, view_sql
+from catalog.views import spread_table, table, view, view_sql
 from siftframe.operators import profile as P
 from siftframe.operators.rowid import preview, renumber, with_row_index
 from siftframe.plans.profiling import profile_report
@@ -17,7 +17,7 @@ from siftframe.work import new_table_path
 
 def rows_of(spark, folder, name):
     """A view and its row key; lineitem gets a row number first."""
-    df = view(spark, folder, name)
+    df = view(spark, folder, name, spread_table)
     if name == "lineitem":
         df = with_row_index(df, LINE_KEY)
     return df, ROW_KEY[name]

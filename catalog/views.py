@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftframe.sources.readers import spread
+
 ISO = "CAST(CAST(o_orderdate AS DATE) AS STRING)"
 EMAIL = (
     "CASE WHEN c_custkey % 29 = 0 THEN '' "
@@ -117,13 +119,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """For queries that go over every cell several times."""
+    return spread(table(spark, folder, name))
+
+
+def view(spark: SparkSession, folder: str, name: str, read=table) -> DataFrame:
     if name == "dirty_dups":
         return dirty_dups(spark, folder)
     if name not in VIEWS:
-        return table(spark, folder, name)
+        return read(spark, folder, name)
     source, columns = VIEWS[name]
-    return table(spark, folder, source).select(*[F.expr(e).alias(c) for e, c in columns])
+    return read(spark, folder, source).select(*[F.expr(e).alias(c) for e, c in columns])
 
 
 def dirty_dups(spark: SparkSession, folder: str) -> DataFrame:

@@ -151,6 +151,17 @@ def shown(s: Column, dtype: T.DataType) -> Column:
     return s
 
 
+def shown_text(s: str, dtype: T.DataType) -> str:
+    """:func:`shown` for a value that already is on the driver."""
+    if is_float(dtype):
+        return repr(float(s))
+    if isinstance(dtype, T.BooleanType):
+        return s.capitalize()
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return s.ljust(26, "0") if "." in s else s
+    return s
+
+
 def show_cell(c: Column, dtype: T.DataType) -> Column:
     return shown(raw_text(c, dtype), dtype)
 

@@ -98,29 +98,16 @@ def rare_categories(df: DataFrame, column: str, share: float = RARE_SHARE) -> Da
     ).withColumn("value", shown(F.col("value"), dtype_of(df, column)))
 
 
-def _rare_values(df: DataFrame, prof: list[ColumnProfile]) -> dict[str, list[str]]:
-    """Rare values of all categorical columns; a categorical column has fewer than 100 distinct values."""
-    names = [p.column for p in prof if p.inferred_type == "categorical" and p.total_count - p.null_count >= RARE_MINIMUM]
-    if not names:
-        return {}
-    size = {p.column: p.total_count - p.null_count for p in prof}
-    texts = [raw_text(col(c), dtype_of(df, c)).alias(c) for c in names]
-    rows = (
-        df.select(*texts)
-        .unpivot([], [col(c) for c in names], "column", "value")
-        .where("value is not null")
-        .groupBy("column", "value")
-        .count()
-        .collect()
-    )
+def _rare_values(prof: list[ColumnProfile]) -> dict[str, list[str]]:
+    """Raw rare values of categorical columns; the profile holds all of their fewer than 100 values."""
     rare: dict[str, list[str]] = {}
-    common = set()
-    for r in rows:
-        if r["count"] / size[r["column"]] < RARE_SHARE:
-            rare.setdefault(r["column"], []).append(r["value"])
-        else:
-            common.add(r["column"])
-    return {c: sorted(v) for c, v in rare.items() if c in common}
+    for p in prof:
+        rows = p.total_count - p.null_count
+        if p.inferred_type == "categorical" and rows >= RARE_MINIMUM:
+            found = [v for v, n in p.frequencies if n / rows < RARE_SHARE]
+            if found and len(found) < len(p.frequencies):
+                rare[p.column] = found
+    return rare
 
 
 def format_pattern(column: str) -> tuple[str, str] | None:
@@ -157,7 +144,7 @@ def anomaly_checks(df: DataFrame, prof: list[ColumnProfile]) -> AnomalyChecks:
         kind = format_pattern(p.column)
         if kind:
             bad[p.column] = (kind[0], malformed(col(p.column), dtype, kind[1]))
-    rare = {c: raw_text(col(c), dtype_of(df, c)).isin(v) for c, v in _rare_values(df, prof).items()}
+    rare = {c: raw_text(col(c), dtype_of(df, c)).isin(v) for c, v in _rare_values(prof).items()}
     return AnomalyChecks(outlier, rare, bad)
 
 
@@ -193,8 +180,8 @@ def _flagged(df: DataFrame, prof: list[ColumnProfile], checks: AnomalyChecks, ro
     if not cells:
         empty = "ordinal int, step int, kind string, raw string, row_index bigint"
         return df.sparkSession.createDataFrame([], empty)
-    records = F.filter(F.array(*cells), lambda s: s.isNotNull())
-    return df.select(col(row_id).cast("long").alias("row_index"), F.explode(records).alias("r")).select("r.*", "row_index")
+    records = df.select(col(row_id).cast("long").alias("row_index"), F.explode(F.array(*cells)).alias("r"))
+    return records.where("r is not null").select("r.*", "row_index")
 
 
 def _describe(df: DataFrame, prof: list[ColumnProfile], flagged: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -18,12 +19,13 @@ from siftframe.functions.values import (
     is_native_number,
     is_native_time,
     is_nested,
+    present,
     raw_text,
-    show_cell,
     shown,
+    shown_text,
     try_num,
 )
-from siftframe.operators.quantiles import SMALL, exact_quantiles
+from siftframe.operators.quantiles import SMALL, Extent, exact_quantiles
 from siftframe.operators.rowid import ROW_INDEX, data_columns
 
 # --- fixed values -----------------------------------------------------------
@@ -42,6 +44,7 @@ WARNING_SCORE = 60
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 # ----------------------------------------------------------------------------
 
+DIGEST = "\u0001"  # first character of a digest
 LONG_TEXT = 64  # longer values are grouped by digest, so whole documents are not shuffled
 HEAD_STEP = 1000
 
@@ -64,25 +67,106 @@ def _unpivot(df: DataFrame, columns: list[str], row_id: str | None, cells: list[
     )
 
 
+def _digested(text: Column) -> Column:
+    return F.when(F.length(text) > LONG_TEXT, F.concat(F.lit(DIGEST), F.sha2(text, 256))).otherwise(text)
+
+
+def _is_text(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.StringType, T.BinaryType)) or is_nested(dtype)
+
+
+def _key(c: Column, dtype: T.DataType, utc: bool) -> dict[str, Column]:
+    """Grouping key of a cell: a whole number, a double or a text, whichever its type needs."""
+    if isinstance(dtype, (T.IntegralType, T.BooleanType)):
+        return {"whole": c.cast("long")}
+    if isinstance(dtype, T.DateType):
+        return {"whole": F.unix_date(c).cast("long")}
+    if isinstance(dtype, T.TimestampType) or (utc and isinstance(dtype, T.TimestampNTZType)):
+        return {"whole": F.unix_micros(c.cast("timestamp"))}
+    if isinstance(dtype, T.DoubleType):
+        return {"real": present(c, dtype) + F.lit(0.0)}
+    text = raw_text(c, dtype)
+    return {"text": _digested(text) if _is_text(dtype) else text}
+
+
+KEY = {"whole": "bigint", "real": "double", "text": "string"}
+
+
+def _keys(df: DataFrame, columns: list[str], row_id: str | None) -> DataFrame:
+    """(_row, column, whole, real, text): one row per non-missing cell, with one of the keys set."""
+    utc = df.sparkSession.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC")
+    cells = []
+    used = set()
+    for c in columns:
+        key = _key(col(c), dtype_of(df, c), utc)
+        used |= set(key)
+        cells.append((c, key))
+    kinds = [k for k in KEY if k in used]
+    flat = [F.lit(len(cells))]
+    for c, key in cells:
+        flat += [F.lit(c), *[key.get(k, F.lit(None).cast(KEY[k])) for k in kinds]]
+    row = [col(row_id).alias("_row")] if row_id else []
+    long = df.select(*row, F.stack(*flat).alias("column", *kinds))
+    return long.where(" or ".join(f"{k} is not null" for k in kinds))
+
+
+def _key_text(df: DataFrame, columns: list[str], keys: list[str]) -> Column:
+    """:func:`raw_text` of a grouping key, by the type of the column it came from."""
+    parts = []
+    if "text" in keys:
+        parts.append(F.col("text"))
+    if "real" in keys:
+        parts.append(F.col("real").cast("string"))
+    if "whole" in keys:
+        whole = F.col("whole")
+        text = whole.cast("string")
+        for kind, form in (
+            (T.BooleanType, whole.cast("boolean")),
+            (T.DateType, F.date_from_unix_date(whole.cast("int"))),
+            ((T.TimestampType, T.TimestampNTZType), F.timestamp_micros(whole)),
+        ):
+            names = [c for c in columns if isinstance(dtype_of(df, c), kind)]
+            if names:
+                text = F.when(F.col("column").isin(names), form.cast("string")).otherwise(text)
+        parts.append(text)
+    return F.coalesce(*parts)
+
+
+def _frequencies(df: DataFrame, row_id: str, columns: list[str]) -> tuple[DataFrame, Column]:
+    """((column, keys..., n, first_row), the key as text)."""
+    long = _keys(df, columns, row_id)
+    keys = [k for k in KEY if k in long.columns]
+    freq = long.groupBy("column", *keys).agg(F.count("*").alias("n"), F.min("_row").alias("first_row"))
+    return freq, _key_text(df, columns, keys)
+
+
 def value_frequencies(df: DataFrame, row_id: str = ROW_INDEX, columns: list[str] | None = None) -> DataFrame:
-    """(column, key, n, first_row): one row per distinct non-missing value.
+    """(column, key, n, first_row): one row per distinct non-missing value, as text.
 
-    One shuffle, combined map-side, for all columns at once. A value longer than
-    ``LONG_TEXT`` is represented by its SHA-256 digest; its text is found again
-    at ``first_row``.
+    One scan and one shuffle, combined map-side, for all columns. Numbers and times
+    are grouped in fixed width. A value longer than ``LONG_TEXT`` is represented by
+    its SHA-256 digest; its text is found again at ``first_row``.
     """
-    names = _columns(df, columns)
-    cells = []
-    for c, text in zip(names, _text_columns(df, names)):
-        dtype = dtype_of(df, c)
-        if isinstance(dtype, (T.StringType, T.BinaryType)) or is_nested(dtype):
-            digest = F.concat(F.lit("\u0001"), F.sha2(text, 256))
-            text = F.when(F.length(text) > LONG_TEXT, digest).otherwise(text).alias(c)
-        cells.append(text)
-    return (
-        _unpivot(df, names, row_id, cells)
-        .groupBy("column", F.col("value").alias("key"))
-        .agg(F.count("*").alias("n"), F.min("_row").alias("first_row"))
+    freq, text = _frequencies(df, row_id, _columns(df, columns))
+    return freq.select("column", text.alias("key"), "n", "first_row")
+
+
+def _ranked_keys(df: DataFrame, row_id: str, columns: list[str], k: int) -> DataFrame:
+    """(column, rank, key, n, first_row): the k most frequent values per column, ranked from 1.
+
+    A row of rank 0 holds the number of distinct values as ``n`` and that of
+    non-missing cells as ``first_row``. Ties go to the value seen first. At most k
+    rows per column leave a task.
+    """
+    freq, text = _frequencies(df, row_id, columns)
+    order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("first_row"))
+    top = freq.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # reads all columns of `freq`, so that both branches share one shuffle
+    totals = freq.groupBy("column").agg(
+        F.count_if(F.col("first_row").isNotNull()).alias("n"), F.sum("n").alias("first_row")
+    )
+    return top.select("column", "rank", text.alias("key"), "n", "first_row").unionByName(
+        totals.select("column", F.lit(0).alias("rank"), F.lit(None).cast("string").alias("key"), "n", "first_row")
     )
 
 
@@ -93,38 +177,27 @@ def _show_by_column(df: DataFrame, columns: list[str], key: Column) -> Column:
     for c in columns:
         by_type.setdefault(dtype_of(df, c).simpleString(), []).append(c)
     for names in by_type.values():
-        dtype = dtype_of(df, names[0])
-        text = shown(key, dtype)
+        text = shown(key, dtype_of(df, names[0]))
         if text is not key:
             out = F.when(F.col("column").isin(names), text).otherwise(out)
     return out
 
 
-def ranked_values(
+def top_values(
     df: DataFrame, row_id: str = ROW_INDEX, columns: list[str] | None = None, k: int = TOP_VALUES
 ) -> DataFrame:
-    """(column, rank, value, count, unique_count): the k most frequent values per column.
-
-    Ties go to the value seen first. At most k rows per column leave a task.
-    """
+    """(column, rank, value, count): the k most frequent values per column, ties by first appearance."""
     names = _columns(df, columns)
-    freq = value_frequencies(df, row_id, names)
-    order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("first_row"))
-    top = freq.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    unique = freq.groupBy("column").agg(F.count("*").alias("unique_count"))
-    # `unique` has one row per column
-    top = top.join(F.broadcast(unique), "column")
-    texts = [c for c in names if isinstance(dtype_of(df, c), (T.StringType, T.BinaryType)) or is_nested(dtype_of(df, c))]
+    top = _ranked_keys(df, row_id, names, k).where("rank > 0")
+    texts = [c for c in names if _is_text(dtype_of(df, c))]
     if texts:
         top = _with_long_text(df, texts, row_id, top)
-    return top.select(
-        "column", "rank", _show_by_column(df, names, F.col("key")).alias("value"), F.col("n").alias("count"), "unique_count"
-    )
+    return top.select("column", "rank", _show_by_column(df, names, F.col("key")).alias("value"), F.col("n").alias("count"))
 
 
 def _with_long_text(df: DataFrame, texts: list[str], row_id: str, top: DataFrame) -> DataFrame:
     """Replace digests by the text found at their first row."""
-    wanted = top.where(F.col("key").startswith("\u0001")).select(
+    wanted = top.where(F.col("key").startswith(DIGEST)).select(
         F.col("column").alias("_c"), F.col("key").alias("_k"), F.col("first_row").alias("_row")
     )
     # k rows per column at most, so the lookup side is always small
@@ -136,21 +209,14 @@ def _with_long_text(df: DataFrame, texts: list[str], row_id: str, top: DataFrame
     ).withColumn("key", F.coalesce("_text", "key"))
 
 
-def top_values(df, row_id: str = ROW_INDEX, columns=None, k: int = TOP_VALUES) -> DataFrame:
-    return ranked_values(df, row_id, columns, k).drop("unique_count")
-
-
 def distinct_counts(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """(column, unique_count) of non-missing values; ``approx`` trades exactness for no shuffle of values."""
     names = _columns(df, columns)
     if approx:
         cells = [F.approx_count_distinct(t).alias(c) for c, t in zip(names, _text_columns(df, names))]
         return _one_row_per_column(df.agg(*cells), names, lambda c: [col(c).alias("unique_count")])
-    long = _unpivot(df, names, None, _text_columns(df, names))
-    key = F.when(F.length("value") > LONG_TEXT, F.concat(F.lit("\u0001"), F.sha2("value", 256))).otherwise(F.col("value"))
-    return (
-        long.select("column", key.alias("key")).distinct().groupBy("column").agg(F.count("*").alias("unique_count"))
-    )
+    long = _keys(df, names, None)
+    return long.distinct().groupBy("column").agg(F.count("*").alias("unique_count"))
 
 
 def _one_row_per_column(one: DataFrame, columns: list[str], fields) -> DataFrame:
@@ -173,45 +239,52 @@ def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def numeric_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, min, max, mean, std) over parsable values, one pass for all columns."""
-    one = df.agg(
-        *[
-            f(try_num(col(c), dtype_of(df, c))).alias(f"{k}_{c}")
-            for c in columns
-            for k, f in (("n", F.count), ("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_samp))
-        ]
-    )
-    std = lambda c: F.when(col(f"n_{c}") > 1, col(f"std_{c}")).when(col(f"n_{c}") == 1, F.lit(0.0))
-    return _one_row_per_column(
-        one,
-        columns,
-        lambda c: [col(f"{k}_{c}").alias(k) for k in ("min", "max", "mean")] + [std(c).alias("std")],
+    stats = _number_stats(df, {c: try_num(col(c), dtype_of(df, c)) for c in columns})
+    return stats.select("column", "min", "max", "mean", "std")
+
+
+def _number_stats(df: DataFrame, numbers: dict[str, Column]) -> DataFrame:
+    """(column, n, min, max, mean, std) of columns with values; a few rows leave each task."""
+    wide = df.select(*[x.alias(c) for c, x in numbers.items()])
+    return (
+        wide.unpivot([], [col(c) for c in numbers], "column", "x")
+        .where("x is not null")
+        .groupBy("column")
+        .agg(
+            F.count("*").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"),
+            F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std"),
+        )
     )
 
 
-def _head(df: DataFrame, row_id: str, columns: list[str], k: int) -> dict[str, list[str]]:
+def _head(
+    df: DataFrame, row_id: str, columns: list[str], k: int, low: int | None = None, high: int | None = None
+) -> dict[str, list[str]]:
     """First k non-missing values of each column in row order.
 
     Reads a growing stretch of the lowest row numbers, for columns still short of
     k values only; the row filter reaches the scan. The last stretch is the whole
     table, where a bounded top-k per column is taken.
     """
-    bounds = df.agg(F.min(col(row_id)).alias("lo"), F.max(col(row_id)).alias("hi")).first()
-    if bounds["lo"] is None:
+    if low is None:
+        bounds = df.agg(F.min(col(row_id)).alias("lo"), F.max(col(row_id)).alias("hi")).first()
+        low, high = bounds["lo"], bounds["hi"]
+    if low is None:
         return {c: [] for c in columns}
     found: dict[str, list[str]] = {}
     rest, step = list(columns), HEAD_STEP
     while rest:
-        last = bounds["lo"] + step > bounds["hi"]
-        part = df if last else df.where(col(row_id) < F.lit(bounds["lo"] + step))
-        long = _unpivot(part, rest, row_id, [show_cell(col(c), dtype_of(df, c)).alias(c) for c in rest])
+        last = low + step > high
+        part = df if last else df.where(col(row_id) < F.lit(low + step))
+        long = _unpivot(part, rest, row_id, _text_columns(part, rest))
         first = F.row_number().over(Window.partitionBy("column").orderBy("_row"))
-        rows = long.withColumn("_n", first).where(F.col("_n") <= k).orderBy("column", "_n").collect()
-        got: dict[str, list[str]] = {c: [] for c in rest}
+        rows = long.withColumn("_n", first).where(F.col("_n") <= k).collect()
+        got: dict[str, list[tuple[int, str]]] = {c: [] for c in rest}
         for r in rows:
-            got[r["column"]].append(r["value"])
+            got[r["column"]].append((r["_n"], r["value"]))
         for c in rest:
             if last or len(got[c]) >= k:
-                found[c] = got[c]
+                found[c] = [shown_text(v, dtype_of(df, c)) for _, v in sorted(got[c])]
         rest = [c for c in rest if c not in found]
         step *= 100
     return found
@@ -246,6 +319,7 @@ class ColumnProfile:
     q1: float | None = None
     q3: float | None = None
     date_formats: list = field(default_factory=list)
+    frequencies: list | None = None  # raw value and count of every value, where there are few
 
     @property
     def unique_pct(self) -> float:
@@ -282,6 +356,36 @@ def _category_or_text(p: ColumnProfile) -> str:
     return "categorical" if few or small_share else "text"
 
 
+def _collected_values(
+    df: DataFrame, row_id: str, columns: list[str]
+) -> dict[str, tuple[int, int, list[tuple[str, int]]]]:
+    """Per column: non-missing cells, distinct count, most frequent raw values (at most CATEGORY_DISTINCT_LARGE).
+
+    Digests are resolved for the values that are shown; values of a column with
+    few distinct ones are all resolved.
+    """
+    rows = _ranked_keys(df, row_id, columns, CATEGORY_DISTINCT_LARGE).collect() if columns else []
+    filled = {r["column"]: r["first_row"] for r in rows if r["rank"] == 0}
+    unique = {r["column"]: r["n"] for r in rows if r["rank"] == 0}
+    values: dict[str, list] = {c: [] for c in columns}
+    digests: set[int] = set()
+    for r in sorted((r for r in rows if r["rank"]), key=lambda r: r["rank"]):
+        few = unique[r["column"]] <= CATEGORY_DISTINCT_LARGE
+        if few or r["rank"] <= TOP_VALUES:
+            values[r["column"]].append([r["key"], r["n"], r["first_row"]])
+            if r["key"].startswith(DIGEST):
+                digests.add(r["first_row"])
+    if digests:
+        texts = [c for c in columns if any(v[0].startswith(DIGEST) for v in values[c])]
+        found = df.where(col(row_id).isin(list(digests))).select(col(row_id).alias("_row"), *_text_columns(df, texts))
+        by_row = {r["_row"]: r for r in found.collect()}
+        for c in texts:
+            for v in values[c]:
+                if v[0].startswith(DIGEST):
+                    v[0] = by_row[v[2]][c]
+    return {c: (filled.get(c, 0), unique.get(c, 0), [(k, n) for k, n, _ in values[c]]) for c in columns}
+
+
 def profile(
     df: DataFrame,
     row_id: str = ROW_INDEX,
@@ -299,37 +403,35 @@ def profile(
     types = {c: dtype_of(df, c) for c in names}
     nums = {c: try_num(col(c), types[c]) for c in names if is_native_number(types[c]) or isinstance(types[c], T.StringType)}
     times = [c for c in names if is_native_time(types[c])]
-    aggs = [F.count("*").alias("total")]
+    aggs = [F.count("*").alias("total"), F.min(col(row_id)).alias("low"), F.max(col(row_id)).alias("high")]
     for i, c in enumerate(names):
-        aggs.append(F.count_if(is_missing(col(c), types[c])).alias(f"null{i}"))
-        if c in nums:
-            aggs += [
-                f(nums[c]).alias(f"{k}{i}")
-                for k, f in (("n", F.count), ("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_samp))
-            ]
         if c in times:
             aggs += [F.date_format(f(col(c)), TIMESTAMP_FORMAT).alias(f"{k}{i}") for k, f in (("min", F.min), ("max", F.max))]
-    facts = df.agg(*aggs).first()
-    total = facts["total"]
-    top: dict[str, list] = {c: [] for c in names}
-    unique = dict.fromkeys(names, 0)
-    for r in ranked_values(df, row_id, names, TOP_VALUES).orderBy("column", "rank").collect():
-        top[r["column"]].append({"value": r["value"], "count": r["count"]})
-        unique[r["column"]] = r["unique_count"]
-    head = _head(df, row_id, names, DATE_PROBES)
+    with ThreadPoolExecutor(3) as pool:  # independent jobs, submitted together
+        wait_facts = pool.submit(df.agg(*aggs).first)
+        wait_stats = pool.submit(_number_stats(df, nums).collect) if nums else None
+        wait_values = pool.submit(_collected_values, df, row_id, names)
+        facts = wait_facts.result()
+        total = facts["total"]
+        head = _head(df, row_id, names, DATE_PROBES, facts["low"], facts["high"]) if total else {c: [] for c in names}
+        stats = {r["column"]: r for r in wait_stats.result()} if wait_stats else {}
+        ranked = wait_values.result()
 
     out: list[ColumnProfile] = []
     dates: dict[str, list[str]] = {}
     for i, c in enumerate(names):
-        nulls = facts[f"null{i}"]
+        filled, unique, values = ranked[c]
+        top = [{"value": shown_text(k, types[c]), "count": n} for k, n in values[:TOP_VALUES]]
+        nulls = total - filled
         p = ColumnProfile(
             c, "", types[c].simpleString(), total, nulls, nulls / total if total else 0.0,
-            unique[c], head[c][:SAMPLES], top[c],
+            unique, head[c][:SAMPLES], top,
         )
-        p.inferred_type = _semantic_type(types[c], p, facts[f"n{i}"] if c in nums else 0)
-        if p.inferred_type == "numeric" and facts[f"n{i}"]:
-            p.min, p.max, p.mean = facts[f"min{i}"], facts[f"max{i}"], facts[f"mean{i}"]
-            p.std = facts[f"std{i}"] if facts[f"n{i}"] > 1 else 0.0
+        if unique <= CATEGORY_DISTINCT_LARGE:
+            p.frequencies = values
+        p.inferred_type = _semantic_type(types[c], p, stats[c]["n"] if c in stats else 0)
+        if p.inferred_type == "numeric" and c in stats:
+            p.min, p.max, p.mean, p.std = (stats[c][k] for k in ("min", "max", "mean", "std"))
         elif p.inferred_type == "datetime":
             p.min_ts, p.max_ts = facts[f"min{i}"], facts[f"max{i}"]
         elif p.inferred_type == "" and isinstance(types[c], T.StringType) and looks_like_date(head[c]):
@@ -352,7 +454,8 @@ def profile(
 
     if quartiles:
         wanted = {p.column: nums[p.column] for p in out if p.inferred_type == "numeric"}
-        found = exact_quantiles(df, wanted, [0.25, 0.5, 0.75], limit)
+        known = {c: Extent(stats[c]["n"], stats[c]["min"], stats[c]["max"]) if c in stats else Extent(0, None, None) for c in wanted}
+        found = exact_quantiles(df, wanted, [0.25, 0.5, 0.75], limit, known)
         for p in out:
             if p.column in found:
                 p.q1, p.median, p.q3 = found[p.column]
@@ -429,7 +532,7 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFra
 
 def value_distribution(df: DataFrame, column: str, row_id: str = ROW_INDEX, k: int = CHART_VALUES) -> DataFrame:
     """(value, count) of the ten most frequent values, for categorical, boolean and text columns."""
-    return ranked_values(df, row_id, [column], k).select("rank", "value", "count")
+    return top_values(df, row_id, [column], k).select("rank", "value", "count")
 
 
 def schema_summary(prof: DataFrame) -> DataFrame:

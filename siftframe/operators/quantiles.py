@@ -1,10 +1,10 @@
 """Exact quantiles without holding a whole column in one task.
 
-The built-in ``percentile`` keeps every distinct value of a group in memory, so
-it is used only where the number of values is known to be small. Larger columns
-are narrowed first: each round counts the values per bin inside the bracket that
-holds the wanted rank (a map-side combined aggregate of at most ``BINS`` rows per
-bracket) until the bracket is small or holds a single value.
+The built-in ``percentile`` keeps every distinct value of a group in memory. Here
+the bracket of values that holds a wanted rank is narrowed first: each round counts
+the values per bin inside the bracket (a map-side combined aggregate of at most
+``BINS`` rows per bracket) until the bracket is small or holds a single value. Only
+such a small bracket is sorted in one task.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL = 1_000_000  # values per column that one task may sort
+SMALL = 50_000  # values per column that one task may sort
 BINS = 1024
 LARGEST = 1.7976931348623157e308
 
@@ -32,21 +32,12 @@ def interpolate(low: float, high: float, share: float) -> float:
     return low if low == high or share == 0 else low + (high - low) * share
 
 
-def _long(df: DataFrame, parts: list[tuple[int, Column]]) -> DataFrame:
-    cells = [F.when(x.isNotNull(), F.struct(F.lit(i).alias("id"), x.alias("x"))) for i, x in parts]
-    packed = F.filter(F.array(*cells), lambda s: s.isNotNull())
-    return df.select(F.explode(packed).alias("s")).select("s.id", "s.x")
-
-
-def _small(df: DataFrame, columns: dict[str, Column], probs: list[float]) -> dict[str, list[float]]:
-    names = list(columns)
-    rows = (
-        _long(df, list(enumerate(columns.values())))
-        .groupBy("id")
-        .agg(F.percentile("x", F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
-        .collect()
-    )
-    return {names[r["id"]]: list(r["q"]) for r in rows}
+def _long(df: DataFrame, parts: list[Column]) -> DataFrame:
+    """(id, x): the non-null values of each expression, by its position."""
+    names = [str(i) for i in range(len(parts))]
+    wide = df.select(*[x.alias(n) for n, x in zip(names, parts)])
+    long = wide.unpivot([], names, "id", "x").where("x is not null")
+    return long.select(F.col("id").cast("int").alias("id"), "x")
 
 
 def _inside(x: Column, b: Bracket) -> Column:
@@ -61,20 +52,15 @@ def _narrow(df: DataFrame, columns: dict[str, Column], targets: dict[tuple[str,
             return
         # targets of one column often share a bracket
         shared = sorted({(c, b.low, b.high) for (c, _), b in open_.items()})
-        cells = []
-        for i, (c, low, high) in enumerate(shared):
-            x = columns[c]
-            place = (x / 2 - low / 2) / (high / 2 - low / 2)
-            bin_ = F.least(F.floor(place * BINS).cast("int"), F.lit(BINS - 1))
-            cells.append(
-                F.when(x.between(low, high), F.struct(F.lit(i).alias("id"), bin_.alias("bin"), x.alias("x")))
-            )
-        packed = F.filter(F.array(*cells), lambda s: s.isNotNull())
+        long = _long(df, [_inside(columns[c], Bracket(low, high, 0, 0)) for c, low, high in shared])
+        # halved, so that the width of a bracket is finite
+        low = F.get(F.array(*[F.lit(low / 2) for _, low, _ in shared]), F.col("id"))
+        width = F.get(F.array(*[F.lit(high / 2 - low / 2) for _, low, high in shared]), F.col("id"))
+        bin_ = F.least(F.floor((F.col("x") / 2 - low) / width * BINS).cast("int"), F.lit(BINS - 1))
         bins: dict[int, list] = {}
         for r in (
-            df.select(F.explode(packed).alias("s"))
-            .groupBy("s.id", "s.bin")
-            .agg(F.count("*").alias("n"), F.min("s.x").alias("low"), F.max("s.x").alias("high"))
+            long.groupBy("id", bin_.alias("bin"))
+            .agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
             .orderBy("id", "bin")
             .collect()
         ):
@@ -95,9 +81,7 @@ def _ranked(df: DataFrame, columns: dict[str, Column], targets: dict[tuple[str,
     shared = sorted({(c, b.low, b.high) for (c, _), b in rest.items()})
     if not shared:
         return found
-    parts = [
-        (i, _inside(columns[c], Bracket(low, high, 0, 0))) for i, (c, low, high) in enumerate(shared)
-    ]
+    parts = [_inside(columns[c], Bracket(low, high, 0, 0)) for c, low, high in shared]
     wanted: dict[int, list[tuple[tuple[str, int], int]]] = {}
     for (c, rank), b in rest.items():
         wanted.setdefault(shared.index((c, b.low, b.high)), []).append(((c, rank), rank - b.below))
@@ -117,42 +101,59 @@ def _ranked(df: DataFrame, columns: dict[str, Column], targets: dict[tuple[str,
     return found
 
 
+@dataclass(frozen=True)
+class Extent:
+    """Number of values of a column, and the least and greatest of them."""
+
+    count: int
+    low: float | None
+    high: float | None
+
+
+def extents(df: DataFrame, columns: dict[str, Column]) -> dict[str, Extent]:
+    row = df.agg(
+        *[
+            f(x).alias(f"{k}{i}")
+            for i, x in enumerate(columns.values())
+            for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))
+        ]
+    ).first()
+    return {c: Extent(row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: dict[str, Column],
     probs: list[float],
     limit: int = SMALL,
+    known: dict[str, Extent] | None = None,
 ) -> dict[str, list[float]]:
     """Linearly interpolated quantiles of several double columns (null = not a value).
 
-    Columns without values are left out of the result.
+    ``known`` saves the pass that finds the extent of the columns. Columns without
+    values are left out of the result.
     """
-    if not columns:
-        return {}
-    names = list(columns)
-    clamp = {c: F.greatest(F.least(x, F.lit(LARGEST)), F.lit(-LARGEST)) for c, x in columns.items()}
-    clamp = {c: F.when(columns[c].isNotNull(), x) for c, x in clamp.items()}
-    sizes = df.agg(
-        *[f(clamp[c]).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
-    ).first()
-    counts = {c: sizes[f"n{i}"] for i, c in enumerate(names) if sizes[f"n{i}"]}
-    small = {c: columns[c] for c, n in counts.items() if n <= limit}
-    out = _small(df, small, probs) if small else {}
-    large = {c: n for c, n in counts.items() if n > limit}
-    if large:
-        targets: dict[tuple[str, int], Bracket] = {}
-        for c, n in large.items():
-            i = names.index(c)
-            for p in probs:
-                pos = (n - 1) * p
-                for rank in {math.floor(pos), math.ceil(pos)}:
-                    targets[c, rank] = Bracket(sizes[f"lo{i}"], sizes[f"hi{i}"], 0, n)
-        _narrow(df, clamp, targets, limit)
-        value = _ranked(df, clamp, targets)
-        for c, n in large.items():
-            out[c] = []
-            for p in probs:
-                pos = (n - 1) * p
-                low = math.floor(pos)
-                out[c].append(interpolate(value[c, low], value[c, math.ceil(pos)], pos - low))
-    return {c: out[c] for c in names if c in out}
+    known = known or (extents(df, columns) if columns else {})
+    # infinite values count as the largest finite ones, so that bins stay finite
+    bounded = lambda x: max(-LARGEST, min(LARGEST, x))
+    finite = {}
+    for c, x in columns.items():
+        if known[c].count and (math.isinf(known[c].low) or math.isinf(known[c].high)):
+            finite[c] = F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(LARGEST)), F.lit(-LARGEST)))
+        else:
+            finite[c] = x
+    targets: dict[tuple[str, int], Bracket] = {}
+    places: dict[str, list[tuple[int, int, float]]] = {}
+    for c in columns:
+        n = known[c].count
+        if not n:
+            continue
+        places[c] = []
+        for p in probs:
+            low, share = divmod((n - 1) * p, 1)
+            places[c].append((int(low), math.ceil((n - 1) * p), share))
+        for rank in {r for low, high, _ in places[c] for r in (low, high)}:
+            targets[c, rank] = Bracket(bounded(known[c].low), bounded(known[c].high), 0, n)
+    _narrow(df, finite, targets, limit)
+    value = _ranked(df, finite, targets)
+    return {c: [interpolate(value[c, a], value[c, b], s) for a, b, s in ps] for c, ps in places.items()}

@@ -165,7 +165,7 @@ def _row_failures(df: DataFrame, rules: list[tuple[int, Rule]], row_id: str) ->
             check.message.alias("message"),
         )
         cells.append(F.when(check.fails, record))
-    return df.select(F.explode(F.filter(F.array(*cells), lambda s: s.isNotNull())).alias("f")).select("f.*")
+    return df.select(F.explode(F.array(*cells)).alias("f")).where("f is not null").select("f.*")
 
 
 def repeated_rows(df: DataFrame, key: str, row_id: str) -> DataFrame:

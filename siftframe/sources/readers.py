@@ -64,6 +64,17 @@ def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return df
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on a few small files.
+
+    A file is read by one task per row group at most, so a scan with fewer pieces
+    than cores leaves cores idle in every pass over it. Larger inputs, which have
+    more pieces than cores, are returned as they are. For file scans only.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_table(spark: SparkSession, path: str, fmt: str, **options) -> DataFrame:
     """Read by format name or extension: csv, json, xlsx or parquet."""
     kind = fmt.lower().strip().replace(".", "")
