@@ -134,7 +134,8 @@ def float_text(s: Column) -> Column:
                 F.substring(digits, F.lit(1), F.lit(1)),
                 F.when(tail == "", F.lit("")).otherwise(F.concat(F.lit("."), tail)),
                 F.when(exp < 0, F.lit("e-")).otherwise(F.lit("e+")),
-                F.lpad(F.abs(exp).cast("string"), 2, "0"),
+                F.when(F.abs(exp) < 10, F.lit("0")).otherwise(F.lit("")),
+                F.abs(exp).cast("string"),
             )
         )
     )

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 SMALL = 50_000  # values per column that one task may sort
 BINS = 1024
+LOG_SHIFT = 750.0  # makes the logarithm of every positive double positive
 LARGEST = 1.7976931348623157e308
 
 
@@ -28,6 +29,21 @@ class Bracket:
     size: int  # values in [low, high]
 
 
+def _is_wide(low: float, high: float) -> bool:
+    """Whether a bracket spans several magnitudes, so that equal-width bins would not part its values."""
+    if low <= 0 <= high:
+        return True
+    a, b = sorted((abs(low), abs(high)))
+    return b > BINS * a
+
+
+def _spot(x: float, wide: bool) -> float:
+    """Where a value lies in its bracket: on a signed logarithmic scale if wide. Never decreases with x."""
+    if not wide or x == 0:
+        return x
+    return math.copysign(math.log(abs(x)) + LOG_SHIFT, x)
+
+
 def interpolate(low: float, high: float, share: float) -> float:
     return low if low == high or share == 0 else low + (high - low) * share
 
@@ -53,10 +69,14 @@ def _narrow(df: DataFrame, columns: dict[str, Column], targets: dict[tuple[str,
         # targets of one column often share a bracket
         shared = sorted({(c, b.low, b.high) for (c, _), b in open_.items()})
         long = _long(df, [_inside(columns[c], Bracket(low, high, 0, 0)) for c, low, high in shared])
+        wide = [_is_wide(low, high) for _, low, high in shared]
+        ends = [(_spot(low, w), _spot(high, w)) for (_, low, high), w in zip(shared, wide)]
+        of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("id"))
+        spot = F.when(of(wide), F.signum("x") * (F.log(F.abs("x")) + F.lit(LOG_SHIFT))).otherwise(F.col("x"))
+        spot = F.when(F.col("x") == 0, F.lit(0.0)).otherwise(spot)
         # halved, so that the width of a bracket is finite
-        low = F.get(F.array(*[F.lit(low / 2) for _, low, _ in shared]), F.col("id"))
-        width = F.get(F.array(*[F.lit(high / 2 - low / 2) for _, low, high in shared]), F.col("id"))
-        bin_ = F.least(F.floor((F.col("x") / 2 - low) / width * BINS).cast("int"), F.lit(BINS - 1))
+        place = (spot / 2 - of([a / 2 for a, _ in ends])) / of([b / 2 - a / 2 for a, b in ends])
+        bin_ = F.greatest(F.least(F.floor(place * BINS).cast("int"), F.lit(BINS - 1)), F.lit(0))
         bins: dict[int, list] = {}
         for r in (
             long.groupBy("id", bin_.alias("bin"))
@@ -156,4 +176,7 @@ def exact_quantiles(
             targets[c, rank] = Bracket(bounded(known[c].low), bounded(known[c].high), 0, n)
     _narrow(df, finite, targets, limit)
     value = _ranked(df, finite, targets)
+    for (c, rank), v in value.items():
+        if abs(v) == LARGEST and finite[c] is not columns[c]:
+            value[c, rank] = math.copysign(math.inf, v)
     return {c: [interpolate(value[c, a], value[c, b], s) for a, b, s in ps] for c, ps in places.items()}

@@ -43,7 +43,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", multi_line
         for c in df.columns:
             broken = broken | F.coalesce(col(c).contains(REPLACEMENT), F.lit(False))
         bad_header = any(REPLACEMENT in c for c in df.columns)
-        encoding = "latin1" if bad_header or not df.where(broken).isEmpty() else "utf-8"
+        encoding = "iso-8859-1" if bad_header or not df.where(broken).isEmpty() else "utf-8"
     df = _csv(spark, path, encoding, multi_line)
     return df.select(*[F.when(~col(c).isin(*MISSING_TOKENS), col(c)).alias(c) for c in df.columns])
 

@@ -15,9 +15,17 @@ def _data(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """UTF-8 with header; quotes inside cells are doubled."""
-    _data(df).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option(
-        "encoding", "utf-8"
-    ).csv(path)
+    (
+        _data(df)
+        .write.mode(mode)
+        .option("header", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("encoding", "utf-8")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
