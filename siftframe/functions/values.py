@@ -32,6 +32,10 @@ NUMBER_PATTERN = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$
 INFINITY_PATTERN = r"^\s*[+-]?(?i:inf|infinity)\s*$"
 
 
+LONG_TEXT = 64  # longer values are grouped by digest
+DIGEST = "\u0001"  # first character of a digest
+
+
 def quoted(name: str) -> str:
     """Backtick a column name so that dots and spaces are taken literally."""
     return "`" + name.replace("`", "``") + "`"
@@ -107,6 +111,16 @@ def raw_text(c: Column, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
+def is_text(dtype: T.DataType) -> bool:
+    """Whether :func:`raw_text` of the type has no bounded length."""
+    return isinstance(dtype, (T.StringType, T.BinaryType)) or is_nested(dtype)
+
+
+def digested(text: Column) -> Column:
+    """The text itself, or its SHA-256 digest if long: a key that keeps whole documents out of shuffles."""
+    return F.when(F.length(text) > LONG_TEXT, F.concat(F.lit(DIGEST), F.sha2(text, 256))).otherwise(text)
+
+
 def float_text(s: Column) -> Column:
     """Rewrite the JVM text of a double the way Python prints it."""
     negative = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))

@@ -35,6 +35,7 @@ CANDIDATE_TYPES = ("categorical", "text")
 EPS = 1e-6
 COMMON_TOKENS = 4096  # tokens whose frequency is looked at; all others count as rare
 EDIT_FILTER_LENGTH = 512  # the built-in edit distance is a cheap test up to this length
+BROADCAST_LETTERS = 50_000_000  # most letters of all texts together for them to be broadcast
 TILE = 2000  # values of one key compared in one task
 HEADS = 16  # least number of leading values per key looked at in a round
 GROUP_RECORD = 100_000  # most members of a group given as one row
@@ -129,9 +130,11 @@ def _length_fits(a: Column, b: Column, threshold: float) -> Column:
     return F.abs(a - b) <= (1 - threshold / 100) * (a + b) + EPS
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (id1, id2, ...) that are similar; built-in edit distance first, Python only for survivors."""
-    small = is_small(texts)
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, small: bool) -> DataFrame:
+    """Pairs (id1, id2, ...) that are similar; built-in edit distance first, Python only for survivors.
+
+    ``small``: the texts are few enough, by count and size, to be broadcast.
+    """
     side = lambda n: (F.broadcast if small else lambda d: d)(
         texts.select(F.col("id").alias(f"id{n}"), F.col("norm").alias(f"norm{n}"))
     )
@@ -145,6 +148,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return both.where(near).where(similar("norm1", "norm2")).drop("norm1", "norm2")
 
 
+def _fits_broadcast(texts: DataFrame) -> bool:
+    """At most BROADCAST_ROWS texts with BROADCAST_LETTERS letters together."""
+    row = texts.agg(F.count("*").alias("n"), F.sum(F.length("norm")).alias("letters")).first()
+    return row["n"] <= BROADCAST_ROWS and (row["letters"] or 0) <= BROADCAST_LETTERS
+
+
 # --- all similar pairs ------------------------------------------------------
 
 
@@ -176,7 +185,7 @@ def similar_pairs(df: DataFrame, column: str, threshold: float = DEFAULT_THRESHO
         F.col("first_row").alias("id"), "value", normal_form(F.col("value")).alias("norm")
     )
     values = written(values.where("norm <> ''"), "values")
-    pairs = _verified(_tiled_candidates(_with_keys(values, threshold), threshold), values, threshold)
+    pairs = _verified(_tiled_candidates(_with_keys(values, threshold), threshold), values, threshold, _fits_broadcast(values))
     one = values.select(F.col("id").alias("id1"), F.col("value").alias("value1"))
     two = values.select(F.col("id").alias("id2"), F.col("value").alias("value2"))
     named = pairs.join(one, "id1").join(two, "id2")
@@ -199,7 +208,7 @@ def _salted_join(centers: DataFrame, others: DataFrame) -> DataFrame:
     return others.withColumn("salt", F.pmod(F.xxhash64("id2"), F.lit(salts)).cast("int")).join(spread, ["key", "salt"])
 
 
-def _round(state: DataFrame, texts: DataFrame, threshold: float, heads: int) -> DataFrame:
+def _round(state: DataFrame, texts: DataFrame, threshold: float, heads: int, small: bool) -> DataFrame:
     """Decide the leading values and everything similar to the new centres."""
     open_keys = state.where("status = 'open'").select(
         "id", "weight", "length", F.size("keys").alias("n_keys"), F.explode("keys").alias("key")
@@ -214,7 +223,7 @@ def _round(state: DataFrame, texts: DataFrame, threshold: float, heads: int) ->
         F.col("id").alias("id2"), F.col("weight").alias("w2"), F.col("length").alias("l2"), "key"
     )
     better = _better(("w1", "id1"), ("w2", "id2")) & _length_fits(F.col("l1"), F.col("l2"), threshold)
-    rivals = _verified(one.join(two, "key").where(better).select("id1", "id2").distinct(), texts, threshold)
+    rivals = _verified(one.join(two, "key").where(better).select("id1", "id2").distinct(), texts, threshold, small)
     centers = written(exposed.join(rivals.select(F.col("id2").alias("id")), "id", "left_anti"), "centers")
 
     marks = state.join(centers, "id", "left_semi")
@@ -234,7 +243,7 @@ def _round(state: DataFrame, texts: DataFrame, threshold: float, heads: int) ->
     better = _better(("w1", "id1"), ("w2", "id2")) & _length_fits(F.col("l1"), F.col("l2"), threshold)
     near = _salted_join(c, v).where(better & gain).select("id1", "id2", "w1").distinct()
     found = (
-        _verified(near, texts, threshold)
+        _verified(near, texts, threshold, small)
         .groupBy(F.col("id2").alias("id"))
         .agg(F.min(F.struct(F.col("w1").alias("weight"), F.col("id1").alias("id"))).alias("found"))
     )
@@ -282,11 +291,12 @@ def star_clusters(df: DataFrame, column: str, threshold: float = DEFAULT_THRESHO
         ),
         "state",
     )
+    small = _fits_broadcast(texts)
     while True:
         left = state.where("status = 'open'").agg(F.sum(F.size("keys"))).first()[0]
         if not left:
             break
-        state = written(_round(state, texts, threshold, max(HEADS, ROUND_PAIRS // left)), "state")
+        state = written(_round(state, texts, threshold, max(HEADS, ROUND_PAIRS // left), small), "state")
     placed = state.select("id", F.coalesce("center.id", "id").alias("center_id")).join(nodes, "id")
     members = raw.join(placed.select("norm", "center_id"), "norm").select("center_id", "value", "n", "first_row")
     heads = members.where("first_row = center_id").select(

@@ -13,12 +13,15 @@ from pyspark.sql import Window
 from siftframe.functions.dates import column_formats, looks_like_date, parse_date
 from siftframe.functions.values import (
     BOOLEAN_WORDS,
+    DIGEST,
+    LONG_TEXT,
     col,
+    digested,
     dtype_of,
     is_missing,
     is_native_number,
     is_native_time,
-    is_nested,
+    is_text,
     present,
     raw_text,
     shown,
@@ -44,8 +47,6 @@ WARNING_SCORE = 60
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 # ----------------------------------------------------------------------------
 
-DIGEST = "\u0001"  # first character of a digest
-LONG_TEXT = 64  # longer values are grouped by digest, so whole documents are not shuffled
 HEAD_STEP = 1000
 
 
@@ -67,14 +68,6 @@ def _unpivot(df: DataFrame, columns: list[str], row_id: str | None, cells: list[
     )
 
 
-def _digested(text: Column) -> Column:
-    return F.when(F.length(text) > LONG_TEXT, F.concat(F.lit(DIGEST), F.sha2(text, 256))).otherwise(text)
-
-
-def _is_text(dtype: T.DataType) -> bool:
-    return isinstance(dtype, (T.StringType, T.BinaryType)) or is_nested(dtype)
-
-
 def _key(c: Column, dtype: T.DataType, utc: bool) -> dict[str, Column]:
     """Grouping key of a cell: a whole number, a double or a text, whichever its type needs."""
     if isinstance(dtype, (T.IntegralType, T.BooleanType)):
@@ -86,7 +79,7 @@ def _key(c: Column, dtype: T.DataType, utc: bool) -> dict[str, Column]:
     if isinstance(dtype, T.DoubleType):
         return {"real": present(c, dtype) + F.lit(0.0)}
     text = raw_text(c, dtype)
-    return {"text": _digested(text) if _is_text(dtype) else text}
+    return {"text": digested(text) if is_text(dtype) else text}
 
 
 KEY = {"whole": "bigint", "real": "double", "text": "string"}
@@ -189,7 +182,7 @@ def top_values(
     """(column, rank, value, count): the k most frequent values per column, ties by first appearance."""
     names = _columns(df, columns)
     top = _ranked_keys(df, row_id, names, k).where("rank > 0")
-    texts = [c for c in names if _is_text(dtype_of(df, c))]
+    texts = [c for c in names if is_text(dtype_of(df, c))]
     if texts:
         top = _with_long_text(df, texts, row_id, top)
     return top.select("column", "rank", _show_by_column(df, names, F.col("key")).alias("value"), F.col("n").alias("count"))

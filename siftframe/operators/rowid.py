@@ -10,7 +10,7 @@ from siftframe.functions.values import col, dtype_of
 from siftframe.work import written
 
 ROW_INDEX = "row_index"
-BUCKET = 1 << 18  # a bucket of this many consecutive unique integers holds at most that many rows
+BUCKET_BITS = 18  # a bucket of 2**18 consecutive unique integers holds at most that many rows
 
 
 def data_columns(df: DataFrame) -> list[str]:
@@ -21,7 +21,7 @@ def data_columns(df: DataFrame) -> list[str]:
 def _offsets(sizes: DataFrame, key: str) -> DataFrame:
     """Running row count before each block.
 
-    The input has one row per block (rows / BUCKET, or one per input partition),
+    The input has one row per block (rows / 2**18, or one per input partition),
     so ordering it in a single task is cheap at any table size.
     """
     before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
@@ -47,10 +47,10 @@ def _input_order(df: DataFrame, name: str) -> DataFrame:
 
 
 def _integer_order(df: DataFrame, key: str, name: str) -> DataFrame:
-    marked = df.withColumn("_block", F.floor(col(key) / F.lit(BUCKET)).cast("long"))
+    marked = df.withColumn("_block", F.shiftright(col(key).cast("long"), BUCKET_BITS))
     sizes = marked.groupBy("_block").agg(F.count("*").alias("_size"))
     local = F.row_number().over(Window.partitionBy("_block").orderBy(col(key))) - 1
-    # one row per non-empty bucket, so at most rows / BUCKET plus one per gap;
+    # one row per non-empty bucket, so at most rows / 2**18 plus one per gap;
     # left unhinted: the join side size is decided from run-time statistics
     joined = marked.withColumn("_local", local).join(_offsets(sizes, "_block"), "_block")
     return _finish(joined, df.columns, name)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftframe.functions.values import col, dtype_of, raw_text, shown, strip, try_num
+from siftframe.functions.values import col, digested, dtype_of, is_text, raw_text, shown, strip, try_num
 from siftframe.operators.anomaly import EMAIL_PATTERN
 from siftframe.operators.joins import hot_keys, semi_join
 from siftframe.operators.profile import ColumnProfile
@@ -168,19 +168,23 @@ def _row_failures(df: DataFrame, rules: list[tuple[int, Rule]], row_id: str) ->
     return df.select(F.explode(F.array(*cells)).alias("f")).where("f is not null").select("f.*")
 
 
-def repeated_rows(df: DataFrame, key: str, row_id: str) -> DataFrame:
-    """(row, key) of every row whose non-missing key occurs more than once.
+def repeated_rows(df: DataFrame, column: str, row_id: str) -> DataFrame:
+    """(row_index, value) of every row whose non-missing value occurs more than once.
 
-    Counts combine map-side, and the rows of a hot key never meet in one task.
+    Counts combine map-side, long texts are counted by digest, and the rows of a hot
+    value never meet in one task.
     """
-    cells = df.select(col(row_id).cast("long").alias("row_index"), raw_text(col(key), dtype_of(df, key)).alias("key"))
-    cells = cells.where("key is not null")
+    dtype = dtype_of(df, column)
+    text = raw_text(col(column), dtype)
+    key = digested(text) if is_text(dtype) else text
+    cells = df.select(col(row_id).cast("long").alias("row_index"), key.alias("key"), text.alias("value"))
+    cells = cells.where("value is not null")
     counts = cells.groupBy("key").agg(F.count("*").alias("n"))
-    return semi_join(cells, counts.where(F.col("n") > 1), "key", hot_keys(counts, "key"))
+    return semi_join(cells, counts.where(F.col("n") > 1), "key", hot_keys(counts, "key")).drop("key")
 
 
 def _unique_failures(df: DataFrame, number: int, rule: Rule, row_id: str) -> DataFrame:
-    value = shown(F.col("key"), dtype_of(df, rule.column))
+    value = shown(F.col("value"), dtype_of(df, rule.column))
     row = F.col("row_index").cast("string")
     return repeated_rows(df, rule.column, row_id).select(
         F.lit(number).alias("rule_no"),
