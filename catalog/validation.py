@@ -8,7 +8,7 @@ from catalog.anomalies import summary_sql
 from catalog.profiling import rows_of
 from catalog.registry import query
 from catalog.sqlgen import COLUMNS, facts_sql, LINE_KEY
-from catalog.views import table, view, view_sql
+from catalog.views import spread_table, table, view, view_sql
 from siftframe.operators import rules as R
 from siftframe.operators.anomaly import EMAIL_PATTERN
 from siftframe.operators.clean import clean
@@ -17,7 +17,7 @@ from siftframe.operators.rowid import with_row_index
 from siftframe.plans.profiling import profile_report
 from siftframe.plans.reporting import comparison_frame, quality_report
 from siftframe.streaming.monitor import stream_failures, window_metrics, write_available
-from siftframe.work import new_table_path
+from siftframe.work import new_table_path, written
 
 ORDERS = view_sql("dirty_orders")
 CONTACTS = view_sql("dirty_contacts")
@@ -186,14 +186,8 @@ for _name in ("dirty_orders", "dirty_contacts", "events", "customer", "part"):
     _suggested(_name)
 
 # --- reports ----------------------------------------------------------------
-_CLEAN = (
-    f"SELECT o_orderkey, o_custkey, coalesce(price, 0) AS price, price_txt, trim(priority) AS priority, status, flag FROM ({ORDERS}) "
-    "WHERE price_txt <> 'n/a?'"
-)
-
-
 def _before_after(spark, folder):
-    raw = view(spark, folder, "sparse_events").withColumn("row_index", F.col("event_id"))
+    raw = view(spark, folder, "sparse_events", spread_table).withColumn("row_index", F.col("event_id"))
     config = {
         "imputations": [{"column": "mostly_null", "method": "constant", "value": 5.0}],
         "drop_null_rows": ["event_type"],
@@ -224,7 +218,7 @@ def _after_sql() -> str:
 )
 def _(spark, folder):
     raw, cleaned = _before_after(spark, folder)
-    return comparison_frame(profile_report(raw), profile_report(cleaned))
+    return comparison_frame(profile_report(raw), profile_report(written(cleaned, "clean")))
 
 
 @query("quality_report_document")

@@ -16,7 +16,7 @@ from siftframe.operators.report import (
 from siftframe.operators.rowid import ROW_INDEX
 from siftframe.operators.rules import validate
 from siftframe.plans.profiling import ProfileReport, profile_report
-from siftframe.work import new_table_path
+from siftframe.work import new_table_path, written
 
 INLINE_FAILURES = 10_000  # a longer failure log is written as its own table and named by path
 
@@ -48,9 +48,11 @@ def quality_report(
 ) -> QualityReport:
     """Profile both tables, validate the cleaned one and gather the document.
 
-    The capped anomaly log (at most 92 records per column) is part of the document;
+    The cleaned table is read by every pass, so it is written once and its cleaning is
+    not repeated. The capped anomaly log (at most 92 records per column) is part of the document;
     the failure log only while it is short.
     """
+    clean = written(clean, "clean")
     before, after = profile_report(raw, row_id), profile_report(clean, row_id)
     failures = validate(clean, rules, row_id)
     log = failure_records(failures, INLINE_FAILURES)
