@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from catalog.profiling import rows_of
 from catalog.registry import query
 from catalog.sqlgen import COLUMNS, facts_sql

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from catalog.profiling import rows_of
 from catalog.registry import query
-from catalog.sqlgen import COLUMNS, facts_sql
-from catalog.views import table, view, view_sql
+from catalog.sqlgen import facts_sql
+from catalog.views import view, view_sql
 from siftframe.functions.similarity import similarity
 from siftframe.operators import fuzzy as Z
 from siftframe.operators.profile import profile

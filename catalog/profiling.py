@@ -9,7 +9,6 @@ from catalog.sqlgen import COLUMNS, FACTS, LINE_KEY, PROFILE, ROW_KEY, SAMPLES,
 from catalog.views import spread_table, table, view, view_sql
 from siftframe.operators import profile as P
 from siftframe.operators.rowid import preview, renumber, with_row_index
-from siftframe.plans.profiling import profile_report
 from siftframe.sources.readers import read_table
 from siftframe.sources.writers import write_csv, write_json
 from siftframe.work import new_table_path

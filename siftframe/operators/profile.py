@@ -14,7 +14,6 @@ from siftframe.functions.dates import column_formats, looks_like_date, parse_dat
 from siftframe.functions.values import (
     BOOLEAN_WORDS,
     DIGEST,
-    LONG_TEXT,
     col,
     digested,
     dtype_of,
