@@ -13,12 +13,12 @@ table; other columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,29 +35,44 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 
 class WordIds(dict):
-    """Word -> its ids as little-endian 32-bit numbers; unseen words are encoded by the tokenizer."""
+    """Word -> ids, as little-endian 32-bit numbers, of a space and the word.
+
+    The file is a byte-level BPE of the tokenizers library whose ids are the ranks of its
+    merges; words not seen lately are merged by tiktoken over the same ranks, which gives
+    the same ids. A text that holds the string of a special token, which is one id wherever
+    it stands, is left to the tokenizers library.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = regex.compile(SPLIT).findall
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes written as themselves
+        letters = {chr(b): b for b in plain}
+        letters |= {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        ranks = {bytes(letters[c] for c in word): k for word, k in vocabulary.items() if word not in self.special}
+        self.merges = tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace():  # a run of white space, which no word boundary may cut
+            raise KeyError(word)
         if len(self) >= CACHED_WORDS:
             self.clear()
-        self[word] = ids = self.encoded(word)
+        self[word] = ids = array("I", self.merges(" " + word)).tobytes()
         return ids
 
-    def encoded(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):  # a special token's string is one id wherever it stands
-            return self.encoded(text)
-        return b"".join(map(self.__getitem__, self.words(text)))
+        if any(s in text for s in self.special):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        first, *words = text.split(" ")
+        try:
+            return array("I", self.merges(first)).tobytes() + b"".join(map(self.__getitem__, words))
+        except KeyError:
+            return array("I", self.merges(text)).tobytes()
 
 
 @lru_cache(maxsize=2)
