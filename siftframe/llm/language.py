@@ -151,20 +151,20 @@ def fit(docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text",
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows with lang_pred, score (0 to 1) and ambiguous added."""
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            known = batch[lower].notna().to_numpy()
+    @F.pandas_udf("lang string, score double, close boolean")
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            known = batch.notna().to_numpy()
             names, scores, close = np.full(len(batch), UNKNOWN, object), np.zeros(len(batch)), np.zeros(len(batch), bool)
             if known.any():
-                names[known], scores[known], close[known] = model.decode(batch[lower][known].tolist())
-            yield batch.drop(columns=lower).assign(**dict(zip(added, (names, scores, close))))
-
-    added = fresh(docs, "lang_pred", "score", "ambiguous")
-    (lower,) = fresh(docs, "lower_text")
-    letters = docs.withColumn(lower, F.when(F.col(f"`{text}`").rlike(r"\p{L}"), F.lower(F.col(f"`{text}`"))))
-    # only the text visits Python: the other columns come back beside it
-    schema = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + f", {added[0]} string, {added[1]} double, {added[2]} boolean"
-    return letters.mapInPandas(scored, schema)
+                names[known], scores[known], close[known] = model.decode(batch[known].tolist())
+            yield pd.DataFrame({"lang": names, "score": scores, "close": close})
+
+    found, *added = fresh(docs, "found", "lang_pred", "score", "ambiguous")
+    letters = F.when(F.col(f"`{text}`").rlike(r"\p{L}"), F.lower(F.col(f"`{text}`")))
+    # only the text visits Python; not deterministic: so that filters on the result don't run it twice
+    rows = docs.withColumn(found, scored.asNondeterministic()(letters))
+    return rows.withColumns({name: F.col(found)[part] for name, part in zip(added, ("lang", "score", "close"))}).drop(found)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

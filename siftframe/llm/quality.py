@@ -117,15 +117,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id: str = "doc_id", t
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows with a score (0 to 1, higher: a positive is likelier) and predicted (1 from 0.5) added."""
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.array([features("" if t is None else t) for t in batch[text]])
-            s = model.score(x) if len(x) else np.zeros(0)
-            yield batch.assign(**{added[0]: s, added[1]: (s >= 0.5).astype(np.int32)})
+    @F.pandas_udf("double")
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series(model.score(np.array([features(t) for t in batch])) if len(batch) else [], dtype=float)
 
     added = fresh(docs, "score", "predicted")
-    schema = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + f", {added[0]} double, {added[1]} int"
-    return docs.mapInPandas(scored, schema)
+    # only the text visits Python; not deterministic: so that filters on the result don't run it twice
+    rows = docs.withColumn(added[0], scored.asNondeterministic()(filled(text)))
+    return rows.withColumn(added[1], (F.col(added[0]) >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
