@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftframe.llm import exact, language, packing, quality
+from siftframe.llm import exact, language, minhash, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,3 +66,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     model = quality.fit(docs, table(spark, folder, "labels"), ~held_out)
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op5_minhash")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_groups(table(spark, folder, "documents"), width=2)
