@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftframe.llm import exact, language, minhash, packing, quality
+from siftframe.llm import exact, language, minhash, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,3 +71,21 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_minhash")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_groups(table(spark, folder, "documents"), width=2)
+
+
+@query(
+    "op3_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+    d AS (SELECT *, [('0x' || substr(hex, 1 + 10 * k, 10))::BIGINT FOR k IN range(4)] AS parts FROM h)
+    SELECT page_id, payload_bytes,
+           array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((parts[1 + c // 8] >> (35 - 5 * (c % 8))) & 31)::INT, 1) FOR c IN range(32)], '') AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM d
+    """,
+)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.round_trip(table(spark, folder, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
