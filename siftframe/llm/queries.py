@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftframe.llm import exact, extract, language, minhash, packing, quality, warc
+from siftframe.llm import exact, extract, language, minhash, packing, quality, spots, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,3 +95,37 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     pages = extract.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+_ANCHORS = ", ".join(f"'{w}'" for w in spots.ANCHORS)
+
+
+def _signatures(text: str) -> str:
+    """SQL for the sorted distinct signatures of a text."""
+    return f"""(SELECT list_sort(list_distinct(CASE WHEN len(spots) > 0 THEN spots ELSE list_transform(w, lambda x: substr(md5(x), 1, 8)) END))
+      FROM (SELECT w, list_filter(list_transform(marks, lambda m, j: substr(md5(m.w || ' ' || content[m.i - j + 1] || ' ' || content[m.i - j + 2]), 1, 8)), lambda x: x IS NOT NULL) AS spots
+        FROM (SELECT w, list_filter(w, lambda x: x NOT IN ({_ANCHORS})) AS content,
+                list_filter(list_transform(w, lambda x, i: {{'w': x, 'i': i}}), lambda m: m.w IN ({_ANCHORS})) AS marks
+          FROM (SELECT list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w))))"""
+
+
+def _likeness(a: str, b: str) -> str:
+    common = f"len(list_intersect({a}, {b}))"
+    return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE {common}::DOUBLE / (len({a}) + len({b}) - {common}) END"
+
+
+@query(
+    "op10_spot_signatures",
+    f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    n AS (SELECT *, length(text) AS n_chars, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text FROM d WINDOW w AS (ORDER BY doc_id DESC)),
+    e AS (SELECT *, substr(text, 1, n_chars - n_chars // 3) || substr(next_text, 1, n_chars // 3) AS edited FROM n),
+    s AS (SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_signatures("text")} AS a, {_signatures("edited")} AS b, {_signatures("next_text")} AS c FROM e)
+    SELECT doc_id, n_chars, edited_sha256, array_to_string(a, ' ') AS fingerprint, array_to_string(b, ' ') AS edited_fingerprint,
+           {_likeness("a", "b")} AS near_edited, {_likeness("a", "c")} AS near_next
+    FROM s
+    """,
+)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    found = spots.fingerprint_edits(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
