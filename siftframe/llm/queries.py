@@ -97,15 +97,15 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-_ANCHORS = ", ".join(f"'{w}'" for w in spots.ANCHORS)
+_ANCHOR = f"(x IN ({', '.join(f"'{w}'" for w in spots.ANCHORS)}) OR length(x) = {spots.ANCHOR_LENGTH})"
 
 
 def _signatures(text: str) -> str:
     """SQL for the sorted distinct signatures of a text."""
     return f"""(SELECT list_sort(list_distinct(CASE WHEN len(spots) > 0 THEN spots ELSE list_transform(w, lambda x: substr(md5(x), 1, 8)) END))
       FROM (SELECT w, list_filter(list_transform(marks, lambda m, j: substr(md5(m.w || ' ' || content[m.i - j + 1] || ' ' || content[m.i - j + 2]), 1, 8)), lambda x: x IS NOT NULL) AS spots
-        FROM (SELECT w, list_filter(w, lambda x: x NOT IN ({_ANCHORS})) AS content,
-                list_filter(list_transform(w, lambda x, i: {{'w': x, 'i': i}}), lambda m: m.w IN ({_ANCHORS})) AS marks
+        FROM (SELECT w, list_filter(w, lambda x: NOT {_ANCHOR}) AS content,
+                list_filter(list_transform(w, lambda x, i: {{'w': x, 'i': i}}), lambda m: {_ANCHOR.replace('(x', '(m.w').replace('length(x', 'length(m.w')}) AS marks
           FROM (SELECT list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w))))"""
 
 

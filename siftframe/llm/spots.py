@@ -1,7 +1,7 @@
 """Document fingerprints by spot signatures: chains of content words that follow common words.
 
-Every occurrence of a common word (an anchor of the language's most frequent words) gives one
-signature: the anchor and the next two words that are not common. A text's fingerprint is its
+Every occurrence of a common word (an anchor: a frequent function word, or a word of just
+ANCHOR_LENGTH characters, for texts without such) gives one signature: the anchor and the next two words that are not common. A text's fingerprint is its
 set of signatures; a text without any has the set of its words instead. Likeness is the Jaccard
 of two sets. Everything is a DataFrame expression.
 
@@ -32,13 +32,18 @@ ANCHORS = (
     " al como con del el ella era esta este ha lo los las más no o para pero por sin sobre su sus también y ya"
 ).split()
 
+ANCHOR_LENGTH = 7  # words of so many characters are anchors too, so that lists and unknown languages have spots
 CHAIN = 2  # content words of a signature
 BUCKET_ROWS = 20_000  # documents of a stretch of the order that one task walks through
 MAX_BUCKETS = 10_000
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+
+
+def is_anchor(word: Column) -> Column:
+    return word.isin(*ANCHORS) | (F.char_length(word) == ANCHOR_LENGTH)
 
 
 def with_signatures(rows: DataFrame, text: str, name: str, chain: int = CHAIN) -> DataFrame:
@@ -49,13 +54,14 @@ def with_signatures(rows: DataFrame, text: str, name: str, chain: int = CHAIN) -
     """
     short = lambda c: F.substring(F.md5(c.cast("binary")), 1, 8)
     rows = rows.withColumn("all_words", words(F.col(text)))
-    marks = F.filter(F.transform("all_words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda m: m["w"].isin(*ANCHORS))
-    rows = rows.withColumns({"marks": marks, "content": F.filter("all_words", lambda w: ~w.isin(*ANCHORS))})
-    chains = F.transform("marks", lambda m, j: F.when(m["i"] - j + chain <= F.size("content"), F.concat_ws(" ", m["w"], F.slice("content", m["i"] - j + 1, chain))))
+    places = F.array_compact(F.transform("all_words", lambda w, i: F.when(is_anchor(w), i)))
+    rows = rows.withColumns({"places": places, "content": F.filter("all_words", lambda w: ~is_anchor(w))})
+    follow = lambda i, j: [F.get("content", i - j + k) for k in range(chain)]
+    chains = F.transform("places", lambda i, j: F.when(i - j + chain <= F.size("content"), F.concat_ws(" ", F.get("all_words", i), *follow(i, j))))
     rows = rows.withColumn("chains", F.array_distinct(F.array_compact(chains)))
     units = F.when(F.size("chains") > 0, F.col("chains")).otherwise(F.array_distinct("all_words"))
-    rows = rows.withColumn(name, F.array_sort(F.array_distinct(F.transform(units, short))))
-    return rows.drop("all_words", "marks", "content", "chains")
+    rows = rows.withColumn(name, F.sort_array(F.array_distinct(F.transform(units, short))))
+    return rows.drop("all_words", "places", "content", "chains")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -143,7 +149,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id: str = "doc_id",
     sizes = classes.withColumn("part", F.floor(F.log(F.size("own").cast("double")) / math.log(1 / threshold)).cast("int"))
     entries = sizes.select("class", "part", F.size("own").alias("n"), F.explode("own").alias("spot"))
     ranked = entries.join(entries.groupBy("spot").agg(F.count("*").alias("df")), "spot")
-    rarest = ranked.groupBy("class", "part", "n").agg(F.array_sort(F.collect_list(F.struct("df", "spot"))).alias("all"))
+    rarest = ranked.groupBy("class", "part", "n").agg(F.sort_array(F.collect_list(F.struct("df", "spot"))).alias("all"))
     need = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
     prefix = rarest.select("class", "part", "n", F.explode(F.slice("all", 1, need))["spot"].alias("spot"))
     prefix = written(prefix, "spot-prefixes")
