@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftframe.llm import exact, extract, language, minhash, packing, quality, spots, warc
+from siftframe.llm import exact, extract, language, licences, minhash, packing, quality, spots, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -129,3 +129,32 @@ def _likeness(a: str, b: str) -> str:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = spots.fingerprint_edits(table(spark, folder, "documents"))
     return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def _canonical(text: str) -> str:
+    out = f"lower({text})"
+    for pattern, to in licences.STEPS:
+        out = "regexp_replace({}, '{}', '{}', 'g')".format(out, pattern, to.replace("$", "\\"))
+    return f"trim({out})"
+
+
+def _known() -> str:
+    values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licences.TEXTS)
+    return f"known AS (SELECT sha256({_canonical('text')}) AS digest, min(licence) AS licence FROM (VALUES {values}) AS t(licence, text) GROUP BY 1)"
+
+
+@query(
+    "op4_license_scan",
+    f"""
+    WITH {_known()},
+    d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT doc_id, sha256({_canonical("text")}) AS text_digest FROM d),
+    l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+    n AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices FROM l JOIN known ON digest = sha256({_canonical("line")}) GROUP BY doc_id)
+    SELECT w.doc_id, text_digest, licence AS license_id, coalesce(notices, '') AS notices
+    FROM w LEFT JOIN known ON digest = text_digest LEFT JOIN n ON n.doc_id = w.doc_id
+    """,
+)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text_digest", F.col("licence").alias("license_id"), F.array_join("notices", ",").alias("notices"))
