@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftframe.llm import exact, extract, language, licences, minhash, packing, quality, spots, warc
+from siftframe.llm import exact, extract, language, licences, minhash, packing, quality, spots, unigram, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -158,3 +158,10 @@ def _known() -> str:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = licences.scan(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "text_digest", F.col("licence").alias("license_id"), F.array_join("notices", ",").alias("notices"))
+
+
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    model = unigram.load(tokenizer_path("piece_bpe_32k.model"))
+    rows = unigram.decode(unigram.encode(table(spark, folder, "documents").select("doc_id", "text"), model), model)
+    return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
