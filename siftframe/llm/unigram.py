@@ -31,6 +31,9 @@ from siftframe.llm.common import filled, fresh
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHED_WORDS = 1 << 19
+LONGEST = 48  # bytes of a word that takes its steps together with others
+TOGETHER = 1 << 13  # words that do
+TEXT_SIZE = 1 << 21  # characters split at once
 _WORD = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
 
 
@@ -54,7 +57,7 @@ def double_array(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
     taken = bytearray(size)
     taken[0] = 1
-    place, free, dense = {0: 0}, 1, 1  # first free slot; where the search for several slots starts
+    place, free, dense = {0: 0}, 257, 257  # first slot not taken that every byte can use; where the search for several slots starts
     for node in range(len(children)):
         at = place[node]
         value[at] = ends[node]
@@ -145,25 +148,80 @@ class Unigram:
             at = start[at]
         return out[::-1]
 
-    def encode(self, text: str) -> np.ndarray:
+    def viterbi_many(self, words: list[str]) -> list[bytes]:
+        """The ids of many words, as 32-bit numbers: all words take each step of the trie together."""
+        if not hasattr(self, "tables"):
+            self.tables = [np.frombuffer(t, np.int32) for t in (self.base, self.check, self.value)] + [np.array(self.scores)]
+        base, check, value, scores = self.tables
+        coded = [w.encode("utf-8", "replace") for w in words]
+        out: list = [None] * len(words)
+        short = sorted((k for k, c in enumerate(coded) if 0 < len(c) <= LONGEST), key=lambda k: len(coded[k]))
+        for at in range(0, len(short), TOGETHER):
+            part = short[at : at + TOGETHER]
+            sizes = np.array([len(coded[k]) for k in part])
+            n, longest = len(part), int(sizes.max())
+            data = np.frombuffer(b"".join(coded[k].ljust(longest, b"\0") for k in part), np.uint8).reshape(n, longest).astype(np.int32)
+            width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
+            best = np.full((n, longest + 5), -np.inf)
+            best[:, 0] = 0.0
+            start, ids = np.zeros((n, longest + 5), np.int32), np.zeros((n, longest + 5), np.int32)
+            for s in range(longest):
+                here = np.flatnonzero((best[:, s] > -np.inf) & (s < sizes))
+                alone = np.zeros(n, bool)
+                rows, node = here, np.zeros(len(here), np.int32)
+                for end in range(s, longest):
+                    child = base[node] + data[rows, end] + 1
+                    on = (check[child] == node) & (end < sizes[rows])
+                    rows, node = rows[on], child[on]
+                    if not len(rows):
+                        break
+                    found = value[node] >= 0
+                    to, piece = rows[found], value[node[found]]
+                    alone[to[end + 1 - s == width[to, s]]] = True
+                    total = best[to, s] + scores[piece]
+                    better = total > best[to, end + 1]
+                    to, piece = to[better], piece[better]
+                    best[to, end + 1], start[to, end + 1], ids[to, end + 1] = total[better], s, piece
+                rest = here[~alone[here]]
+                to, total = s + width[rest, s], best[rest, s] + self.unknown_score
+                better = total > best[rest, to]
+                rest, to = rest[better], to[better]
+                best[rest, to], start[rest, to], ids[rest, to] = total[better], s, -1
+            chosen, count, place = np.zeros((n, longest + 1), np.int32), np.zeros(n, np.int64), sizes.copy()
+            while (left := np.flatnonzero(place > 0)).size:
+                count[left] += 1
+                chosen[left, longest + 1 - count[left]] = ids[left, place[left]]
+                place[left] = start[left, place[left]]
+            unknown = (chosen < 0).any(1)
+            for row, k in enumerate(part):
+                if not unknown[row]:
+                    out[k] = chosen[row, longest + 1 - count[row] :].tobytes()
+        return [array("i", self.viterbi(w)).tobytes() if ids is None else ids for w, ids in zip(words, out)]
+
+    def _split(self, text: str) -> list[str]:
+        """The words of a text; one that follows a single space stands without its marker."""
         if not text:
-            return np.zeros(0, np.int32)
-        marked = MARK + text.replace(" ", MARK)
+            return []
+        words = text.split(" ")
+        if "" not in words and MARK not in text:
+            return words
+        chunks = _WORD(MARK + text.replace(" ", MARK))
+        return [c[1:] if c[0] == MARK and len(c) > 1 and MARK not in c[1:] else c for c in chunks]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
-            return np.array(self.viterbi(marked), np.int32)
-        words, cache = _WORD(marked), self.cache
-        try:
-            return np.frombuffer(b"".join([cache[w] for w in words]), np.int32)
-        except KeyError:
-            parts = []
-            for w in words:
-                ids = cache.get(w)
-                if ids is None:
-                    if len(cache) >= CACHED_WORDS:
-                        cache.clear()
-                    cache[w] = ids = array("i", self.viterbi(w)).tobytes()
-                parts.append(ids)
-            return np.frombuffer(b"".join(parts), np.int32)
+            return [np.array(self.viterbi(MARK + t.replace(" ", MARK)) if t else [], np.int32) for t in texts]
+        split = [self._split(t) for t in texts]
+        unseen = list(set().union(*split).difference(self.cache))
+        if len(self.cache) + len(unseen) > CACHED_WORDS:
+            self.cache.clear()
+            unseen = list(set().union(*split))
+        self.cache.update(zip(unseen, self.viterbi_many([w if w[:1] == MARK else MARK + w for w in unseen])))
+        get = self.cache.__getitem__
+        return [np.frombuffer(b"".join(map(get, words)), np.int32) for words in split]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_many([text])[0]
 
     def decode(self, ids) -> str:
         kinds, pieces = self.kinds, self.pieces
@@ -203,7 +261,15 @@ def encode(docs: DataFrame, model: Unigram, text: str = "text") -> DataFrame:
     @F.pandas_udf("array<int>")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(shared.value.encode)
+            texts, out, at = batch.tolist(), [], 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and (end == at or size + len(texts[end]) <= TEXT_SIZE):
+                    size += len(texts[end])
+                    end += 1
+                out += shared.value.encode_many(texts[at:end])
+                at = end
+            yield pd.Series(out, dtype=object)
 
     (ids,) = fresh(docs, "ids")
     return docs.withColumn(ids, encoded.asNondeterministic()(filled(text)))
