@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +39,15 @@ def attach(rows: DataFrame, table: DataFrame, key: str, n: str, total: int, how:
     direct = rows.join(hot, key, "inner")
     rest = rows.join(hot.select(key), key, "left_anti").join(cold, key, how)
     return direct.unionByName(rest)
+
+
+def stretches(texts: list[str], size: int = 1 << 21) -> Iterator[slice]:
+    """Slices of a list of texts that hold at most ``size`` characters, or one text."""
+    at = 0
+    while at < len(texts):
+        end, held = at, 0
+        while end < len(texts) and (end == at or held + len(texts[end]) <= size):
+            held += len(texts[end])
+            end += 1
+        yield slice(at, end)
+        at = end

@@ -23,12 +23,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftframe.llm.common import filled, fresh
+from siftframe.llm.common import filled, fresh, stretches
 
 BUCKETS = 1 << 15
 ORDERS = 3
 PER_LANGUAGE = 3000  # training documents of a language
-SLICE = 1 << 20  # bytes scored at once
+SLICE = 1 << 18  # bytes scored at once
 UNKNOWN = "und"
 AMBIGUOUS = 0.1  # least difference of the two best scores
 
@@ -54,15 +54,23 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def gram_counts(texts: list[str]) -> np.ndarray:
     """Occurrences of each bucket in the texts."""
-    counts, (data, starts) = np.zeros(BUCKETS), _joined(texts)
-    for at in range(0, starts[-1], SLICE):
-        for codes in _grams(data[at : at + SLICE + ORDERS - 1]):
-            counts += np.bincount(codes, minlength=BUCKETS)
+    counts = np.zeros(BUCKETS)
+    for part in stretches(texts):
+        data, starts = _joined(texts[part])
+        for at in range(0, starts[-1], SLICE):
+            for codes in _grams(data[at : at + SLICE + ORDERS - 1]):
+                counts += np.bincount(codes, minlength=BUCKETS)
     return counts
 
 
 def gram_means(texts: list[str], weights: np.ndarray) -> np.ndarray:
     """Mean over its n-grams, per text, of the weight rows of their buckets."""
+    if not texts:
+        return np.zeros((0, weights.shape[1]))
+    return np.concatenate([_gram_means(texts[part], weights) for part in stretches(texts)])
+
+
+def _gram_means(texts: list[str], weights: np.ndarray) -> np.ndarray:
     data, starts = _joined(texts)
     sums = np.zeros((len(texts), weights.shape[1]))
     for at in range(0, starts[-1], SLICE):

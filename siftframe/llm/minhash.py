@@ -28,13 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftframe.llm.common import attach, filled
+from siftframe.llm.common import attach, filled, stretches
 from siftframe.llm.components import components
 from siftframe.work import written
 
 BANDS = 24
 ROWS = 4  # coordinates of a band
-CACHED_WORDS = 1 << 19
+CACHED_WORDS = 1 << 16
 SLICE = 1 << 16  # shingles hashed at once
 STRAGGLERS, MEMBERS = 128, 512  # of a block of comparisons
 BROADCAST_KEYS = 1_000_000  # of about 40 bytes each
@@ -112,11 +112,11 @@ def _key(grams: np.ndarray) -> bytes:
 
 def _signed(width: int, bands: int, rows: int):
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingles(t, width) for t in batch["text"]]
+        for batch, part in ((b, part) for b in batches for part in stretches(b["text"].tolist())):
+            sets = [shingles(t, width) for t in batch["text"].iloc[part]]
             known = [s for s in sets if len(s)]
             hashes = iter(band_hashes(signatures(known, bands * rows), bands, rows)) if known else iter(())
-            yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in sets], "key": [_key(s) if len(s) else None for s in sets], "bands": [next(hashes) if len(s) else None for s in sets]})
+            yield pd.DataFrame({"id": batch["id"].iloc[part].to_numpy(), "n": [len(s) for s in sets], "key": [_key(s) if len(s) else None for s in sets], "bands": [next(hashes) if len(s) else None for s in sets]})
 
     return signed
 
@@ -169,10 +169,10 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     texts = slim.join(_small(wanted), slim["id"].eqNullSafe(F.col("of"))).select("key", "text")
 
     def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingles(t, width) for t in batch["text"]]
-            right = [k for k, (key, s) in enumerate(zip(batch["key"], sets)) if _key(s) == key]  # an id may repeat
-            yield pd.DataFrame({"key": batch["key"].iloc[right], "grams": [sets[k].view(np.int64) for k in right]})
+        for batch, part in ((b, part) for b in batches for part in stretches(b["text"].tolist())):
+            pairs = zip(batch["key"].iloc[part], (shingles(t, width) for t in batch["text"].iloc[part]))
+            right = [(key, s.view(np.int64)) for key, s in pairs if _key(s) == key]  # an id may repeat
+            yield pd.DataFrame(right, columns=["key", "grams"])
 
     grams = written(texts.mapInPandas(gathered, "key binary, grams array<long>").dropDuplicates(["key"]), "candidate-sets")
 

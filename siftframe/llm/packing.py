@@ -29,7 +29,7 @@ WINDOW = 2048
 END_ID = 1
 CHUNK_TOKENS = 1 << 22  # tokens that a task packs at once
 TAIL_FREE = 64  # windows with more free places than this are cut into powers of two
-CACHED_WORDS = 1 << 19
+CACHED_WORDS = 1 << 18
 # Fixed value: the split of byte-level BPE before its merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

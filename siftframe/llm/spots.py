@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id: str = "doc_id",
     ranked = entries.join(entries.groupBy("spot").agg(F.count("*").alias("df")), "spot")
     rarest = ranked.groupBy("class", "part", "n").agg(F.sort_array(F.collect_list(F.struct("df", "spot"))).alias("all"))
     need = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
-    prefix = rarest.select("class", "part", "n", F.explode(F.slice("all", 1, need))["spot"].alias("spot"))
+    prefix = rarest.select("class", "part", "n", F.explode(F.slice("all", 1, need)).alias("low")).withColumn("spot", F.col("low.spot")).drop("low")
     prefix = written(prefix, "spot-prefixes")
     left = prefix.select(F.col("class").alias("a"), F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), F.col("n").alias("n_a"), F.col("part").alias("own_part"), "spot")
     right = prefix.select(F.col("class").alias("b"), "part", F.col("n").alias("n_b"), "spot")

@@ -26,14 +26,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftframe.llm.common import filled, fresh
+from siftframe.llm.common import filled, fresh, stretches
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHED_WORDS = 1 << 19
 LONGEST = 48  # bytes of a word that takes its steps together with others
 TOGETHER = 1 << 13  # words that do
-TEXT_SIZE = 1 << 21  # characters split at once
 _WORD = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
 
 
@@ -261,14 +260,9 @@ def encode(docs: DataFrame, model: Unigram, text: str = "text") -> DataFrame:
     @F.pandas_udf("array<int>")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            texts, out, at = batch.tolist(), [], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= TEXT_SIZE):
-                    size += len(texts[end])
-                    end += 1
-                out += shared.value.encode_many(texts[at:end])
-                at = end
+            texts, out = batch.tolist(), []
+            for part in stretches(texts):
+                out += shared.value.encode_many(texts[part])
             yield pd.Series(out, dtype=object)
 
     (ids,) = fresh(docs, "ids")
