@@ -34,7 +34,7 @@ ANCHORS = (
 
 ANCHOR_LENGTH = 7  # words of so many characters are anchors too, so that lists and unknown languages have spots
 CHAIN = 2  # content words of a signature
-BUCKET_ROWS = 20_000  # documents of a stretch of the order that one task walks through
+BUCKET_ROWS = 5_000  # documents of a stretch of the order that one task walks through
 MAX_BUCKETS = 10_000
 
 
@@ -118,7 +118,8 @@ def fingerprint_edits(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     edited_fingerprint, near_edited, near_next.
     """
     order = Window.partitionBy("stretch").orderBy("ahead", F.col("id").desc_nulls_last(), F.col("text").desc())
-    rows = with_signatures(in_order_with_next(docs, id, text), "text", "own")
+    # texts alone shuffle; signatures are made where the stretch lies
+    rows = with_signatures(in_order_with_next(docs, id, text).repartition("stretch"), "text", "own")
     rows = rows.withColumns({"next_text": F.lead("text").over(order), "next": F.lead("own").over(order)}).where("not ahead")
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
