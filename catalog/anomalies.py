@@ -65,7 +65,12 @@ def _(spark, folder):
     return A.rare_categories(view(spark, folder, "dirty_orders"), "status")
 
 
-def log_sql(name: str, capped: bool = True) -> str:
+def _overflow_sql(i: int, step: int, lit: str, rows: str, kind: str, short: str, long: str) -> str:
+    return f"""SELECT {i}, {step}, '{lit}', CAST(NULL AS BIGINT), n || ' {short}', '{kind}',
+        'Column ''{lit}'' has ' || n || ' {long} (first 20 shown above).' FROM (SELECT count(*) AS n FROM {rows}) WHERE n > 20"""
+
+
+def log_sql(name: str, capped: bool = False) -> str:
     """The whole anomaly log of a view, numbered in order."""
     cap = lambda n: f"WHERE k <= {n}" if capped else ""
     parts = []
@@ -105,14 +110,18 @@ def log_sql(name: str, capped: bool = True) -> str:
                 f"""SELECT {i}, 1, '{lit}', _row, t, 'rare_value',
                 'Rare categorical value ''' || t || ''' (occurs < 1%) in row ' || _row || '.' FROM {rare} {cap(20)}"""
             )
+            if capped:
+                parts.append(_overflow_sql(i, 1, lit, rare, "rare_value", "rare values", "rare categorical values"))
         kind_of = A.format_pattern(c)
         if kind_of:
+            bad = f"""(SELECT _row, {t} AS t, row_number() OVER (ORDER BY _row) AS k FROM v
+                 WHERE {t} <> '' AND NOT regexp_matches(trim({t}), '{kind_of[1]}'))"""
             parts.append(
                 f"""SELECT {i}, 2, '{lit}', _row, t, 'format_error',
-                'Invalid {kind_of[0]} format in row ' || _row || ': ''' || t || '''' FROM
-                (SELECT _row, {t} AS t, row_number() OVER (ORDER BY _row) AS k FROM v
-                 WHERE {t} <> '' AND NOT regexp_matches(trim({t}), '{kind_of[1]}')) {cap(20)}"""
+                'Invalid {kind_of[0]} format in row ' || _row || ': ''' || t || '''' FROM {bad} {cap(20)}"""
             )
+            if capped:
+                parts.append(_overflow_sql(i, 2, lit, bad, "format_error", "format errors", "malformed values"))
     return facts_sql(name) + ", log AS (" + " UNION ALL ".join(f"({p})" for p in parts) + ")"
 
 
@@ -124,14 +133,23 @@ _NUMBERED = (
 
 
 def _log(name: str) -> None:
-    @query(f"anomaly_log_{name}", f"{log_sql(name)} {_NUMBERED}")
+    @query(f"anomaly_log_{name}", f"{log_sql(name)} {_NUMBERED.replace('AS INTEGER', 'AS BIGINT')}")
     def _(spark, folder):
         df, row = rows_of(spark, folder, name)
         return profile_report(df, row, list(COLUMNS[name])).anomalies(numbered=True)
 
 
+def _capped_log(name: str) -> None:
+    @query(f"anomaly_log_{name}_capped", f"{log_sql(name, True)} {_NUMBERED}")
+    def _(spark, folder):
+        df, row = rows_of(spark, folder, name)
+        return profile_report(df, row, list(COLUMNS[name])).anomalies(capped=True, numbered=True)
+
+
 for _name in ("events", "dirty_orders", "dirty_contacts", "sparse_events", "lineitem", "documents"):
     _log(_name)
+for _name in ("events", "dirty_orders", "dirty_contacts"):
+    _capped_log(_name)
 
 
 @query("anomaly_log_uncapped", f"{log_sql('dirty_contacts', False)} {_LOG}")
@@ -141,10 +159,10 @@ def _(spark, folder):
 
 
 def _kind_log(name: str, view_name: str, kind: str, extra: str = "", spark_extra: str = "true"):
-    @query(name, f"{log_sql(view_name)} {_LOG} WHERE type = '{kind}'{extra}")
+    @query(name, f"{log_sql(view_name, 'capped' in name)} {_LOG} WHERE type = '{kind}'{extra}")
     def _(spark, folder):
         df, row = rows_of(spark, folder, view_name)
-        return profile_report(df, row).anomalies().where(f"type = '{kind}' and {spark_extra}")
+        return profile_report(df, row).anomalies(capped="capped" in name).where(f"type = '{kind}' and {spark_extra}")
 
 
 _kind_log("outliers_capped", "events", "outlier")
@@ -174,7 +192,7 @@ def _(spark, folder):
     return A.anomaly_counts_frame(df, P.profile(df, row))
 
 
-def summary_sql(name: str, capped: bool = True) -> str:
+def summary_sql(name: str, capped: bool = False) -> str:
     """One row: counts, missing share and score of a view."""
     return f"""{log_sql(name, capped)} SELECT n AS row_count, c AS column_count, n * c AS total_cells, m AS missing_cells,
       CASE WHEN n > 0 THEN round(m / (n * c) * 100, 2) ELSE 0.0 END AS missing_pct,
@@ -195,6 +213,12 @@ for _name in ("events", "dirty_contacts", "sparse_events"):
     _summary(_name)
 
 
+@query("dataset_summary_capped", summary_sql("dirty_contacts", True))
+def _(spark, folder):
+    df, row = rows_of(spark, folder, "dirty_contacts")
+    return profile_report(df, row, list(COLUMNS["dirty_contacts"]), uncapped=False).summary_frame()
+
+
 @query("quality_score_uncapped", summary_sql("sparse_events", False))
 def _(spark, folder):
     df, row = rows_of(spark, folder, "sparse_events")

@@ -16,7 +16,7 @@ from siftframe.operators.profile import profile
 from siftframe.operators.rowid import with_row_index
 from siftframe.plans.profiling import profile_report
 from siftframe.plans.reporting import comparison_frame, quality_report
-from siftframe.streaming.monitor import stream_failures, window_metrics, write_available
+from siftframe.streaming.monitor import latest_updates, stream_failures, window_metrics, write_available, write_updates
 from siftframe.work import new_table_path, written
 
 ORDERS = view_sql("dirty_orders")
@@ -150,7 +150,7 @@ def _(spark, folder):
 # --- suggestions ------------------------------------------------------------
 
 
-def suggested_sql(name: str) -> str:
+def suggested_sql(name: str, most: int | None = None) -> str:
     parts = []
     for i, c in enumerate(COLUMNS[name]):
         email = "email" in c.lower()
@@ -162,7 +162,7 @@ def suggested_sql(name: str) -> str:
         parts.append(f"SELECT {i}, 3, '{c}', 'range', lo, hi, NULL, NULL {f} AND ty = 'numeric'")
         parts.append(
             f"""SELECT {i}, 4, '{c}', 'in_set', NULL, NULL, NULL, (SELECT string_agg(t, '|' ORDER BY k DESC, r) FROM
-            (SELECT CAST("{c}" AS VARCHAR) AS t, count(*) AS k, min(_row) AS r FROM v WHERE "{c}" IS NOT NULL GROUP BY 1 ORDER BY k DESC, r LIMIT 5))
+            (SELECT CAST("{c}" AS VARCHAR) AS t, count(*) AS k, min(_row) AS r FROM v WHERE "{c}" IS NOT NULL GROUP BY 1 ORDER BY k DESC, r {f"LIMIT {most}" if most else ""}))
             {f} AND ty = 'categorical' AND u <= 8"""
         )
         if email:
@@ -185,6 +185,14 @@ def _suggested(name: str) -> None:
 for _name in ("dirty_orders", "dirty_contacts", "events", "customer", "part"):
     _suggested(_name)
 
+
+@query("suggested_rules_capped", suggested_sql("part", 5))
+def _(spark, folder):
+    df, row = rows_of(spark, folder, "part")
+    return R.suggested_rules_frame(df, R.suggest_rules(profile(df, row, list(COLUMNS["part"]), quartiles=False), most=5))
+
+
+
 # --- reports ----------------------------------------------------------------
 def _before_after(spark, folder):
     raw = view(spark, folder, "sparse_events", spread_table).withColumn("row_index", F.col("event_id"))
@@ -223,7 +231,7 @@ def _(spark, folder):
 
 @query("quality_report_document")
 def _(spark, folder):
-    """One JSON document; failures beyond a limit are named by path."""
+    """One JSON document; the failure and anomaly logs are tables that it names."""
     raw, cleaned = _before_after(spark, folder)
     rules = [{"column": "const", "type": "range", "params": {"max": 100}}, {"column": "event_type", "type": "non_null"}]
     return quality_report("events", raw, cleaned, rules, timestamp="1970-01-01T00:00:00+00:00").frame()
@@ -278,11 +286,13 @@ def _(spark, folder):
 @query(
     "stream_window_metrics",
     """SELECT date_trunc('day', ts) AS window_start, count(*) AS "rows", count(*) - count(value) AS missing,
-    count(*) FILTER (value < 1 OR value > 20) AS failures FROM events GROUP BY 1
-    HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+    count(*) FILTER (value < 1 OR value > 20) AS failures FROM events GROUP BY 1""",
 )
 def _(spark, folder):
-    """Windows closed by the watermark; the last ones stay open."""
+    """Windows as their last update left them, those still open at the end included."""
     stream = _events_stream(spark, folder)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    return _run(window_metrics(stream, "ts", "value", _STREAM_RULES, "1 day"), spark)
+    path = new_table_path(spark, "stream")
+    metrics = window_metrics(stream, "ts", "value", _STREAM_RULES, "1 day")
+    write_updates(metrics, path, new_table_path(spark, "stream-state")).awaitTermination()
+    return latest_updates(spark, path, ["window_start"])

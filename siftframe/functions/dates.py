@@ -21,22 +21,25 @@ DATE_HINTS = (
 DIRECTIVES = {
     "Y": "yyyy", "y": "yy", "m": "M", "d": "d", "H": "H", "I": "h", "M": "m",
     "S": "s", "f": "SSSSSS", "p": "a", "b": "MMM", "B": "MMMM", "a": "EEE",
-    "A": "EEEE", "j": "D", "z": "xx", "Z": "z", "%": "%",
+    "A": "EEEE", "j": "D", "z": "[XXX][XX]", "Z": "z", "%": "%",
 }
 # Formats tried, in this order, on the first value of a column.
 DATE_FORMATS = (
     "%Y-%m-%d", "%Y/%m/%d", "%Y%m%d", "%m/%d/%Y", "%m-%d-%Y", "%d/%m/%Y", "%d-%m-%Y",
     "%m/%d/%y", "%m-%d-%y", "%d/%m/%y", "%d-%m-%y", "%b %d, %Y", "%B %d, %Y", "%d %b %Y", "%d %B %Y",
 )
-TIME_SUFFIXES = ("", " %H:%M:%S", "T%H:%M:%S", " %H:%M", "T%H:%M", " %H:%M:%S.%f", "T%H:%M:%S.%f")
+TIME_SUFFIXES = ("", " %H:%M:%S", "T%H:%M:%S", " %H:%M", "T%H:%M", " %H:%M:%S.%f", "T%H:%M:%S.%f",
+    " %H:%M:%S%z", "T%H:%M:%S%z", " %H:%M:%S.%f%z", "T%H:%M:%S.%f%z")
 # ----------------------------------------------------------------------------
 
 
 def java_format(fmt: str) -> str:
-    """Translate a strptime format; month, day and time fields accept one or two digits."""
-    if fmt == "%Y%m%d":
-        return "yyyyMMdd"
+    """Translate a strptime format; month, day and time fields accept one or two digits.
+
+    Where number fields touch, as in ``%Y%m%d``, each has its full width.
+    """
     out, literal, i = [], "", 0
+    touching = {k for m in re.finditer(r"(?:%[YymdHIMS]){2,}", fmt) for k in range(m.start(), m.end(), 2)}
 
     def flush() -> None:
         nonlocal literal
@@ -49,7 +52,8 @@ def java_format(fmt: str) -> str:
             flush()
             if fmt[i + 1] not in DIRECTIVES:
                 raise ValueError(f"unsupported date directive %{fmt[i + 1]}")
-            out.append(DIRECTIVES[fmt[i + 1]])
+            field = DIRECTIVES[fmt[i + 1]]
+            out.append(field * 2 if i in touching and len(field) == 1 else field)
             i += 2
         else:
             literal += fmt[i]
@@ -76,10 +80,27 @@ def guess_format(value: str) -> str | None:
 
 def parse_date(c: Column, formats: list[str]) -> Column:
     """Timestamp by the first format that reads the text, else null."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(java_format(f))) for f in formats])
+    return F.coalesce(*[_read(c, f) for f in formats])
+
+
+def _read(c: Column, fmt: str) -> Column:
+    read = F.try_to_timestamp(c, F.lit(java_format(fmt)))
+    if "%y" not in fmt:
+        return read
+    # two digits mean 1969 to 2068
+    return F.when(F.year(read) > 2068, read - F.expr("INTERVAL 100 YEARS")).otherwise(read)
+
+
+def readable(fmt: str) -> bool:
+    """Whether every directive of the format is known."""
+    try:
+        java_format(fmt)
+    except ValueError:
+        return False
+    return True
 
 
 def column_formats(first_value: str | None) -> list[str]:
     """One format fixed by the first value, or every known one if it fits none."""
     guess = guess_format(first_value) if first_value is not None else None
-    return [guess] if guess else list(DATE_FORMATS)
+    return [guess] if guess else [d + t for d in DATE_FORMATS for t in TIME_SUFFIXES]

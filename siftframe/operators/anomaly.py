@@ -22,7 +22,7 @@ from siftframe.functions.values import (
 )
 from siftframe.operators.profile import ColumnProfile, summary
 from siftframe.operators.quantiles import exact_quantiles
-from siftframe.operators.rowid import ROW_INDEX
+from siftframe.operators.rowid import ROW_INDEX, with_row_index
 
 # --- fixed values -----------------------------------------------------------
 EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
@@ -239,13 +239,20 @@ def _capped(flagged: DataFrame) -> DataFrame:
     return ranked.where(F.col("_n") <= cap).drop("_n")
 
 
-def _overflow(df: DataFrame, prof: list[ColumnProfile], outliers: dict[str, int]) -> DataFrame:
+def _overflow(df: DataFrame, prof: list[ColumnProfile], counts: dict[str, dict[str, int]]) -> DataFrame:
+    """A record for every column and kind of which the capped log leaves some out."""
+    limits = {
+        "outlier": (1, OUTLIER_CAP, "outliers", "numerical outliers"),
+        "rare_value": (1, RARE_CAP, "rare values", "rare categorical values"),
+        "format_error": (2, FORMAT_CAP, "format errors", "malformed values"),
+    }
     rows = []
     for i, p in enumerate(prof):
-        n = outliers.get(p.column, 0)
-        if n > OUTLIER_CAP:
-            message = f"Column '{p.column}' has {n} numerical outliers (first {OUTLIER_CAP} shown above)."
-            rows.append((i, 1, p.column, None, f"{n} outliers", "outlier", message))
+        for kind, (step, cap, short, long) in limits.items():
+            n = counts[kind].get(p.column, 0)
+            if n > cap:
+                message = f"Column '{p.column}' has {n} {long} (first {cap} shown above)."
+                rows.append((i, step, p.column, None, f"{n} {short}", kind, message))
     return df.sparkSession.createDataFrame(rows, "ordinal int, step int, " + ANOMALY_SCHEMA)
 
 
@@ -253,15 +260,15 @@ def anomaly_log(
     df: DataFrame,
     prof: list[ColumnProfile],
     row_id: str = ROW_INDEX,
-    capped: bool = True,
+    capped: bool = False,
     numbered: bool = False,
     checks: AnomalyChecks | None = None,
     counts: dict[str, dict[str, int]] | None = None,
 ) -> DataFrame:
     """All anomalies of a table: missingness, then outliers or rare values, then formats, column by column.
 
-    ``capped`` keeps the first 50 outliers (plus one overflow record) and the
-    first 20 rare and malformed values per column; without it every one is logged.
+    Every one is logged. ``capped`` keeps the first 50 outliers and the first 20 rare and malformed
+    values per column, each plus a record with the number of all.
     """
     checks = checks or anomaly_checks(df, prof)
     flagged = _flagged(df, prof, checks, row_id)
@@ -269,25 +276,27 @@ def anomaly_log(
     if capped:
         counts = counts or anomaly_counts(df, prof, checks)
         log = log.unionByName(_describe(df, prof, _capped(flagged)))
-        log = log.unionByName(_overflow(df, prof, counts["outlier"]))
+        log = log.unionByName(_overflow(df, prof, counts))
     else:
         log = log.unionByName(_describe(df, prof, flagged))
     columns = ["column", "row_index", "value", "type", "message"]
     if not numbered:
         return log.select(*columns)
     if not capped:
-        raise ValueError("numbering is for the capped log; use with_row_index on the uncapped one")
-    # at most 92 records per column
+        order = ["ordinal", "step", "row_index"]
+        indexed = with_row_index(log.select(*order, "value", "type", "message", "column"), order, name="anomaly_id")
+        return indexed.select((F.col("anomaly_id") + 1).alias("anomaly_id"), *columns)
+    # at most 93 records per column
     order = Window.orderBy("ordinal", "step", F.col("row_index").asc_nulls_last())
     return log.select(F.row_number().over(order).alias("anomaly_id"), *columns)
 
 
-def logged_counts(counts: dict[str, dict[str, int]], uncapped: bool = False) -> tuple[int, int]:
-    """(outliers, format errors) that weigh on the score: logged records, or all of them."""
+def logged_counts(counts: dict[str, dict[str, int]], uncapped: bool = True) -> tuple[int, int]:
+    """(outliers, format errors) that weigh on the score: all of them, or the records of a capped log."""
     outliers, formats = counts["outlier"].values(), counts["format_error"].values()
     if uncapped:
         return sum(outliers), sum(formats)
-    return sum(min(n, OUTLIER_CAP) + (n > OUTLIER_CAP) for n in outliers), sum(min(n, FORMAT_CAP) for n in formats)
+    return sum(min(n, OUTLIER_CAP) + (n > OUTLIER_CAP) for n in outliers), sum(min(n, FORMAT_CAP) + (n > FORMAT_CAP) for n in formats)
 
 
 def score(rows: int, columns: int, missing: int, outliers: int, format_errors: int) -> float:
@@ -302,7 +311,7 @@ def score(rows: int, columns: int, missing: int, outliers: int, format_errors: i
     return max(0.0, min(100.0, round(100.0 - lost, 2)))
 
 
-def quality_score(df: DataFrame, prof: list[ColumnProfile], uncapped: bool = False, counts=None) -> float:
+def quality_score(df: DataFrame, prof: list[ColumnProfile], uncapped: bool = True, counts=None) -> float:
     s = summary(df, prof)
     counts = counts or anomaly_counts(df, prof)
     return score(s["row_count"], s["column_count"], s["missing_cells"], *logged_counts(counts, uncapped))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftframe.functions.dates import column_formats, parse_date
+from siftframe.functions.dates import column_formats, parse_date, readable
 from siftframe.functions.values import (
     FALSE_WORDS,
     TRUE_WORDS,
@@ -248,7 +248,8 @@ def _datetime(df: DataFrame, column: str, date_format: str | None) -> Column:
         return F.lit(None).cast("timestamp")
     text = raw_text(c, dtype)
     if date_format:
-        return parse_date(text, [date_format])
+        # a format with an unknown directive leaves the column alone
+        return parse_date(text, [date_format]) if readable(date_format) else c
     rows = df.where(text.isNotNull())
     if ROW_INDEX in df.columns:
         first = rows.select(F.min_by(text, col(ROW_INDEX)).alias("v")).first()

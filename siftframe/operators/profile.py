@@ -312,6 +312,7 @@ class ColumnProfile:
     q3: float | None = None
     date_formats: list = field(default_factory=list)
     frequencies: list | None = None  # raw value and count of every value, where there are few
+    values: list = field(default_factory=list)  # these values as printed, most frequent first
 
     @property
     def unique_pct(self) -> float:
@@ -421,6 +422,7 @@ def profile(
         )
         if unique <= CATEGORY_DISTINCT_LARGE:
             p.frequencies = values
+            p.values = [shown_text(k, types[c]) for k, _ in values]
         p.inferred_type = _semantic_type(types[c], p, stats[c]["n"] if c in stats else 0)
         if p.inferred_type == "numeric" and c in stats:
             p.min, p.max, p.mean, p.std = (stats[c][k] for k in ("min", "max", "mean", "std"))

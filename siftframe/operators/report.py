@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftframe.operators.profile import score_band
-from siftframe.operators.rules import FAILURE_COLUMNS
 
 
 def _signed(x: float, text: str) -> str:
@@ -47,16 +46,17 @@ def report_document(
     raw: dict,
     clean: dict,
     rules: list[dict],
-    failures_count: int,
-    failures_log,
-    anomalies,
+    failures: list[dict],
+    failures_log: str,
+    anomalies: list[dict],
+    anomalies_log: str,
     industry: str = "General",
     timestamp: str | None = None,
 ) -> dict:
     """The report as one nested document.
 
-    ``failures_log`` and ``anomalies`` are lists of records, or the paths of the
-    tables holding them when they are too long for a document.
+    ``failures`` and ``anomalies`` hold the number per column and kind; the logs, which grow
+    with the table, are tables named by their paths.
     """
     gain = clean["quality_score"] - raw["quality_score"]
     return {
@@ -78,10 +78,12 @@ def report_document(
         },
         "validation_checks": {
             "rules_evaluated_count": len(rules),
-            "failures_count": failures_count,
+            "failures_count": sum(f["failures"] for f in failures),
+            "failures": failures,
             "failures_log": failures_log,
         },
         "anomalies_remaining": anomalies,
+        "anomalies_log": anomalies_log,
     }
 
 
@@ -90,12 +92,6 @@ def report_frame(spark, document: dict) -> DataFrame:
     return spark.createDataFrame([(json.dumps(document, indent=2),)], "report string")
 
 
-def failure_records(failures: DataFrame, most: int) -> list[dict] | None:
-    """The failure log as records if it has at most ``most``; None if it has more."""
-    rows = failures.select(*FAILURE_COLUMNS).limit(most + 1).collect()
-    return None if len(rows) > most else [r.asDict() for r in rows]
-
-
 def score_row(raw: dict) -> tuple:
     return tuple(raw[k] for k in ("row_count", "column_count", "total_cells", "missing_cells", "missing_pct", "quality_score"))
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from siftframe.functions.values import col, dtype_of
 from siftframe.work import written
 
 ROW_INDEX = "row_index"
+SPARSE_BITS = 12  # keys are sparse if there is more than a bucket per 2**12 rows,
+DENSE_BLOCKS = 64  # beyond so many buckets
 BUCKET_BITS = 18  # a bucket of 2**18 consecutive unique integers holds at most that many rows
 
 
@@ -33,7 +36,38 @@ def _finish(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     return df.select(*keep, (F.col("_offset") + F.col("_local")).cast("long").alias(name))
 
 
+def _file_order(df: DataFrame, name: str) -> DataFrame | None:
+    """Rows by file path, place of the split in the file and place in the split; None if not a file scan.
+
+    Tasks take files by size, so the number of the task says nothing about their order.
+    """
+    try:
+        marked = df.select(
+            "*",
+            F.col("_metadata.file_path").alias("_path"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_mid"),
+        )
+        marked.schema  # noqa: B018 - resolves the hidden columns
+    except AnalysisException:
+        return None
+    # a split's rows come to one task one after the other, unless they have been dealt anew since the scan
+    blocks = marked.groupBy("_path", "_start").agg(
+        F.count("*").alias("_size"), F.min("_mid").alias("_first"), F.max("_mid").alias("_last")
+    )
+    if not blocks.where("_last - _first + 1 <> _size").isEmpty():
+        return None
+    before = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    # bounded by the number of input splits
+    offsets = blocks.select("_path", "_start", "_first", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    joined = marked.join(F.broadcast(offsets), ["_path", "_start"])
+    return _finish(joined.withColumn("_local", F.col("_mid") - F.col("_first")), df.columns, name)
+
+
 def _input_order(df: DataFrame, name: str) -> DataFrame:
+    by_file = _file_order(df, name)
+    if by_file is not None:
+        return by_file
     marked = df.withColumn("_mid", F.monotonically_increasing_id())
     marked = marked.select(
         "*",
@@ -49,6 +83,9 @@ def _input_order(df: DataFrame, name: str) -> DataFrame:
 def _integer_order(df: DataFrame, key: str, name: str) -> DataFrame:
     marked = df.withColumn("_block", F.shiftright(col(key).cast("long"), BUCKET_BITS))
     sizes = marked.groupBy("_block").agg(F.count("*").alias("_size"))
+    rows, blocks, fullest = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count("*"), F.coalesce(F.max("_size"), F.lit(0))).first()
+    if fullest > 1 << BUCKET_BITS or blocks > DENSE_BLOCKS + (rows >> SPARSE_BITS):
+        return _key_order(df, [key], name)  # repeated or sparse keys
     local = F.row_number().over(Window.partitionBy("_block").orderBy(col(key))) - 1
     # one row per non-empty bucket, so at most rows / 2**18 plus one per gap;
     # left unhinted: the join side size is decided from run-time statistics

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,8 +68,12 @@ def java_pattern(pattern: str) -> str:
 
     Unicode classes and newline-only line ends, as in Python.
     """
-    body = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
-    body = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", body)
+    # the JVM takes no underscore or non-ASCII letter in a group's name
+    numbers: dict[str, str] = {}
+    for name in re.findall(r"\(\?P<(\w+)>", pattern):
+        numbers.setdefault(name, f"g{len(numbers)}")
+    body = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{numbers[m[1]]}>", pattern)
+    body = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{numbers[m[1]]}>", body)
     body = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", body)
     return r"\A(?Ud:" + body + ")"
 
@@ -102,6 +106,12 @@ def value_range(column: str, min_val=None, max_val=None) -> Rule:
 
 def regex(column: str, pattern: str, description: str = DEFAULT_DESCRIPTION) -> Rule:
     re.compile(pattern)  # an invalid pattern is reported when the rule is made
+    spark = SparkSession.getActiveSession()
+    if spark is not None:  # and so is one that the JVM cannot read
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(java_pattern(pattern))
+        except Exception as e:  # noqa: BLE001 - PySpark turns the JVM's exception into one of several
+            raise ValueError(f"not a pattern of the JVM: {str(e).splitlines()[0]}") from None
 
     def check(c, dtype, row):
         text = _text(c, dtype)
@@ -265,11 +275,10 @@ def numbered_failures(log: DataFrame) -> DataFrame:
     return numbered.select((F.col("failure_id") + 1).alias("failure_id"), *FAILURE_COLUMNS)
 
 
-def suggest_rules(prof: list[ColumnProfile], complete: bool = False) -> list[dict]:
-    """Rule definitions that fit a profile.
+def suggest_rules(prof: list[ColumnProfile], most: int | None = None) -> list[dict]:
+    """Rule definitions that fit a profile; an allowed set of up to eight values holds them all.
 
-    An allowed set is suggested from the five most frequent values, even when the
-    column has up to eight; ``complete`` suggests it only when it holds them all.
+    ``most`` keeps only that many of the most frequent ones.
     """
     out = []
 
@@ -284,8 +293,8 @@ def suggest_rules(prof: list[ColumnProfile], complete: bool = False) -> list[dic
         if p.inferred_type == "numeric" and p.min is not None:
             add(p.column, "range", {"min": float(p.min), "max": float(p.max)})
         if p.inferred_type == "categorical" and p.unique_count <= IN_SET_DISTINCT:
-            allowed = [t["value"] for t in p.top_values]
-            if allowed and not (complete and p.unique_count > len(allowed)):
+            allowed = p.values[:most]
+            if allowed:
                 add(p.column, "in_set", {"allowed": allowed})
         if "email" in p.column.lower():
             add(p.column, "regex", {"pattern": EMAIL_PATTERN, "description": EMAIL_DESCRIPTION})

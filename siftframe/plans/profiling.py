@@ -30,12 +30,12 @@ class ProfileReport:
     def summary_frame(self) -> DataFrame:
         return summary_frame(self.table.sparkSession, self.summary)
 
-    def anomalies(self, capped: bool = True, numbered: bool = False) -> DataFrame:
+    def anomalies(self, capped: bool = False, numbered: bool = False) -> DataFrame:
         return anomaly_log(self.table, self.columns, self.row_id, capped, numbered, self.checks, self.counts)
 
 
 def profile_report(
-    df: DataFrame, row_id: str = ROW_INDEX, columns: list[str] | None = None, uncapped: bool = False, limit: int = SMALL
+    df: DataFrame, row_id: str = ROW_INDEX, columns: list[str] | None = None, uncapped: bool = True, limit: int = SMALL
 ) -> ProfileReport:
     """Profile, anomaly checks and 0-100 score; all zero for a table without rows."""
     prof = profile(df, row_id, columns, limit)

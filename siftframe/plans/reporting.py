@@ -5,27 +5,26 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from siftframe.operators.report import (
     COMPARISON_SCHEMA,
     comparison,
-    failure_records,
     report_document,
     report_frame,
 )
 from siftframe.operators.rowid import ROW_INDEX
-from siftframe.operators.rules import validate
+from siftframe.operators.rules import failure_overview, validate
 from siftframe.plans.profiling import ProfileReport, profile_report
 from siftframe.work import new_table_path, written
 
-INLINE_FAILURES = 10_000  # a longer failure log is written as its own table and named by path
-
 
 @dataclass
 class QualityReport:
     raw: ProfileReport
     clean: ProfileReport
     failures: DataFrame
+    anomalies: DataFrame
     document: dict
 
     def frame(self) -> DataFrame:
@@ -49,23 +48,25 @@ def quality_report(
     """Profile both tables, validate the cleaned one and gather the document.
 
     The cleaned table is read by every pass, so it is written once and its cleaning is
-    not repeated. The capped anomaly log (at most 92 records per column) is part of the document;
-    the failure log only while it is short.
+    not repeated. Both logs are written as tables (columns of the failure log and of the numbered
+    anomaly log) of any length; the document names them and holds the numbers per column.
     """
     clean = written(clean, "clean")
+    spark = clean.sparkSession
     before, after = profile_report(raw, row_id), profile_report(clean, row_id)
-    failures = validate(clean, rules, row_id)
-    log = failure_records(failures, INLINE_FAILURES)
-    if log is None:
-        path = new_table_path(clean.sparkSession, "failures")
-        failures.write.parquet(path)
-        failures = clean.sparkSession.read.parquet(path)
-        count, log = failures.count(), path
-    else:
-        count = len(log)
-    anomalies = [
-        {k: v for k, v in r.asDict().items() if k != "anomaly_id"}
-        for r in after.anomalies(numbered=True).orderBy("anomaly_id").collect()
-    ]
-    document = report_document(name, before.summary, after.summary, rules, count, log, anomalies, industry, timestamp)
-    return QualityReport(before, after, failures, document)
+
+    def stored(log: DataFrame, tag: str) -> tuple[DataFrame, str]:
+        path = new_table_path(spark, tag)
+        log.write.parquet(path)
+        return spark.read.schema(log.schema).parquet(path), path
+
+    failures, failures_path = stored(validate(clean, rules, row_id), "failures")
+    anomalies, anomalies_path = stored(after.anomalies(numbered=True), "anomalies")
+    # at most one row per column and rule or kind
+    counted = [r.asDict() for r in failure_overview(failures).orderBy("column", "rule").collect()]
+    kinds = anomalies.groupBy("column", "type").agg(F.count("*").alias("count")).orderBy("column", "type")
+    document = report_document(
+        name, before.summary, after.summary, rules, counted, failures_path,
+        [r.asDict() for r in kinds.collect()], anomalies_path, industry, timestamp,
+    )
+    return QualityReport(before, after, failures, anomalies, document)

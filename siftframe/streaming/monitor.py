@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -51,3 +51,25 @@ def write_available(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery
         .trigger(availableNow=True)
         .start()
     )
+
+
+def write_updates(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write what every batch changed, under the batch's number, then stop when nothing is left.
+
+    A batch that runs again replaces what it wrote. Windows that the watermark has not closed are
+    written too, so nothing is missing when a bounded input ends.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update")
+    return writer.trigger(availableNow=True).start()
+
+
+def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last row written for each key by :func:`write_updates`."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*keys, *(F.col(f"last.{c}").alias(c) for c in rest))

@@ -148,13 +148,16 @@ def test_capped_log_is_part_of_the_uncapped_one(spark):
         F.col("id").alias("row_index"), F.when(F.col("id") % 20 == 0, 1e6 + F.col("id")).otherwise(F.col("id") % 10).alias("v")
     )
     report = profile_report(df)
-    every = {(r["row_index"], r["message"]) for r in report.anomalies(capped=False).collect()}
-    logged = report.anomalies().collect()
+    every = {(r["row_index"], r["message"]) for r in report.anomalies().collect()}
+    logged = report.anomalies(capped=True).collect()
     rows = {(r["row_index"], r["message"]) for r in logged if r["row_index"] is not None}
     assert len(every) == 150 and len(rows) == 50 and rows <= every
     assert [r["value"] for r in logged if r["row_index"] is None] == ["150 outliers"]
-    assert report.summary["quality_score"] == round(100 - 30 * 51 / 3000, 2)
-    assert profile_report(df, uncapped=True).summary["quality_score"] == round(100 - 30 * 150 / 3000, 2)
+    assert report.summary["quality_score"] == round(100 - 30 * 150 / 3000, 2)
+    assert profile_report(df, uncapped=False).summary["quality_score"] == round(100 - 30 * 51 / 3000, 2)
+    numbered = report.anomalies(numbered=True).orderBy("anomaly_id").collect()
+    assert [r["anomaly_id"] for r in numbered] == list(range(1, 151))
+    assert [r["row_index"] for r in numbered] == sorted(r["row_index"] for r in numbered)
 
 
 @pytest.mark.parametrize("partitions", [1, 3, 11])
@@ -173,6 +176,24 @@ def test_row_index(spark, partitions):
     assert [r["k"] for r in preview(closed, 3).collect()] == [0, 1, 2]
 
 
+def test_row_index_over_files_of_unequal_size(spark, tmp_path):
+    sizes = {"a": 3, "b": 5000, "c": 40}
+    for name, n in sizes.items():
+        with open(tmp_path / f"{name}.csv", "w") as f:
+            f.write("v\n" + "".join(f"{name}{k}\n" for k in range(n)))
+    rows = with_row_index(spark.read.option("header", True).csv(str(tmp_path))).orderBy("row_index").collect()
+    assert [r["v"] for r in rows] == [f"{name}{k}" for name, n in sizes.items() for k in range(n)]
+    assert [r["row_index"] for r in rows] == list(range(len(rows)))
+
+
+def test_row_index_of_sparse_and_repeated_keys(spark):
+    df = spark.range(1000).select((F.col("id") * (1 << 30)).alias("k"))
+    got = with_row_index(df, "k", unique_integer=True)
+    assert [(r["k"], r["row_index"]) for r in got.orderBy("k").collect()] == [(i << 30, i) for i in range(1000)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
+
+
 def test_histogram_of_one_value(spark):
     df = spark.createDataFrame([("5",), ("5",), ("x",)], "v string")
     assert [tuple(r) for r in P.histogram(df, "v").collect()] == [(1, 5.0, 5.0, 2)]

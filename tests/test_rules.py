@@ -113,14 +113,15 @@ def test_rule_list_editing():
         R.remove_rule(rules, 3)
 
 
-def test_suggested_set_may_miss_values(spark):
+def test_suggested_set_holds_all_values(spark):
     from siftframe.operators.profile import profile
 
     df = spark.createDataFrame([(i, f"v{i % 7}") for i in range(70)], "row_index bigint, kind string")
     prof = profile(df)
     allowed = next(r for r in R.suggest_rules(prof) if r["type"] == "in_set")["params"]["allowed"]
-    assert allowed == ["v0", "v1", "v2", "v3", "v4"]
-    assert not [r for r in R.suggest_rules(prof, complete=True) if r["type"] == "in_set"]
+    assert allowed == ["v0", "v1", "v2", "v3", "v4", "v5", "v6"]
+    few = next(r for r in R.suggest_rules(prof, most=5) if r["type"] == "in_set")["params"]["allowed"]
+    assert few == ["v0", "v1", "v2", "v3", "v4"]
 
 
 def test_report(messy, spark):
@@ -131,8 +132,11 @@ def test_report(messy, spark):
     doc = json.loads(report.frame().first()["report"])
     assert doc["metadata"]["raw_records"] == 8 and doc["metadata"]["cleaned_records"] == 7
     assert doc["scores"]["original_quality_score"] == "90.36%"
-    assert doc["validation_checks"]["failures_count"] == 2 and len(doc["validation_checks"]["failures_log"]) == 2
-    assert [a["row_index"] for a in doc["anomalies_remaining"]] == [4, 7]
+    assert doc["validation_checks"]["failures_count"] == 2 and doc["validation_checks"]["failures"][0]["failures"] == 2
+    assert spark.read.parquet(doc["validation_checks"]["failures_log"]).count() == 2
+    log = spark.read.parquet(doc["anomalies_log"]).orderBy("anomaly_id")
+    assert [(a["anomaly_id"], a["row_index"]) for a in log.collect()] == [(1, 4), (2, 7)]
+    assert sum(a["count"] for a in doc["anomalies_remaining"]) == 2
 
 
 def test_stream_refuses_table_wide_rules(spark):
@@ -140,3 +144,13 @@ def test_stream_refuses_table_wide_rules(spark):
     with pytest.raises(ValueError):
         stream_failures(stream, [{"column": "row_index", "type": "unique"}])
     assert stream_failures(stream, [{"column": "row_index", "type": "non_null"}]).isStreaming
+
+
+def test_group_names_and_patterns_of_the_jvm(spark):
+    df = spark.createDataFrame([(0, "ab-ab"), (1, "ab-cd")], "row_index bigint, v string")
+    rule = {"column": "v", "type": "regex", "params": {"pattern": r"(?P<first_part>\w+)-(?P=first_part)"}}
+    assert [r["row_index"] for r in R.validate(df, [rule]).collect()] == [1]
+    odd = {"column": "v", "type": "regex", "params": {"pattern": r"(a)?(?(1)b|c)"}}
+    assert R.validate(df, [odd, rule]).count() == 1
+    skipped = R.skipped_rules(df, [odd, rule, {"column": "v", "type": "no such"}]).collect()
+    assert [r["position"] for r in skipped] == [0, 2] and "JVM" in skipped[0]["reason"]

@@ -77,3 +77,22 @@ def test_format_translation():
     assert dates.java_format("%YT%m") == "yyyy'T'M"
     with pytest.raises(ValueError):
         dates.java_format("%Q")
+
+
+def test_date_forms(spark):
+    cases = [
+        ("01/02/85", "%m/%d/%y", "1985-01-02 00:00:00"),
+        ("01/02/68", "%m/%d/%y", "2068-01-02 00:00:00"),
+        ("20260630 10:00:00", "%Y%m%d %H:%M:%S", "2026-06-30 10:00:00"),
+        ("2026-06-30T10:00:00Z", "%Y-%m-%dT%H:%M:%S%z", "2026-06-30 10:00:00"),
+        ("2026-06-30T10:00:00+02:00", "%Y-%m-%dT%H:%M:%S%z", "2026-06-30 08:00:00"),
+        ("2026-06-30 10:00:00-0130", "%Y-%m-%d %H:%M:%S%z", "2026-06-30 11:30:00"),
+    ]
+    for text, fmt, want in cases:
+        assert dates.guess_format(text) == fmt
+        df = spark.createDataFrame([(text,)], "v string")
+        assert str(df.select(dates.parse_date(F.col("v"), [fmt])).first()[0]) == want
+    # a first value that is no date does not hide the time of the others
+    df = spark.createDataFrame([("2026-07-01 10:00:00",)], "v string")
+    assert str(df.select(dates.parse_date(F.col("v"), dates.column_formats("soon"))).first()[0]) == "2026-07-01 10:00:00"
+    assert not dates.readable("%Q") and dates.readable("%Y")
