@@ -15,22 +15,21 @@ DUPS = view_sql("dirty_dups")
 # --- headers ----------------------------------------------------------------
 _OLD = ["Cust ID", "Cust Name", "Eml", "Ctn Wgt", "Txn-Amt", "Nation  Key (%)", "mkt_Segment_", "???"]
 _STYLED = {
-    "snake_case": ["cust_id", "cust_name", "eml", "ctn_wgt", "txnamt", "nation_key", "mkt_segment", ""],
+    "snake_case": ["cust_id", "cust_name", "eml", "ctn_wgt", "txnamt", "nation_key", "mkt_segment", "column"],
     "camelCase": ["custId", "custName", "eml", "ctnWgt", "txn-amt", "nationKey(%)", "mktSegment", "???"],
-    "uppercase": ["CUST_ID", "CUST_NAME", "EML", "CTN_WGT", "TXNAMT", "NATION__KEY_", "MKT_SEGMENT_", ""],
-    "lowercase": ["cust_id", "cust_name", "eml", "ctn_wgt", "txnamt", "nation__key_", "mkt_segment_", ""],
+    "uppercase": ["CUST_ID", "CUST_NAME", "EML", "CTN_WGT", "TXNAMT", "NATION__KEY_", "MKT_SEGMENT_", "column"],
+    "lowercase": ["cust_id", "cust_name", "eml", "ctn_wgt", "txnamt", "nation__key_", "mkt_segment_", "column"],
     "title_case": ["Cust Id", "Cust Name", "Eml", "Ctn Wgt", "Txn-amt", "Nation Key (%)", "Mkt Segment", "???"],
+    "as they are": ["Cust ID", "Cust Name", "Eml", "Ctn Wgt", "Txn-Amt", "Nation  Key (%)", "mkt_Segment_", "???"],
 }
 
 
 def _headers(style: str) -> None:
-    # the last header has no letter left in some styles, and SQL has no empty name
-    names = _STYLED[style][:-1]
-    columns = ", ".join(f'"{o}" AS "{n}"' for o, n in zip(_OLD, names))
+    columns = ", ".join(f'"{o}" AS "{n}"' for o, n in zip(_OLD, _STYLED[style]))
 
-    @query(f"headers_{style}", f"SELECT {columns} FROM ({view_sql('cryptic_customers')})")
+    @query(f"headers_{style.replace(' ', '_')}", f"SELECT {columns} FROM ({view_sql('cryptic_customers')})")
     def _(spark, folder):
-        return C.standardize_headers(view(spark, folder, "cryptic_customers").drop("???"), style)
+        return C.standardize_headers(view(spark, folder, "cryptic_customers"), style)
 
 
 for _style in _STYLED:
@@ -39,10 +38,10 @@ for _style in _STYLED:
 
 @query(
     "header_collisions",
-    'SELECT c_custkey AS cust_id, c_name AS cust_id_2, c_acctbal AS cust_id_3 FROM customer',
+    'SELECT c_custkey AS cust_id, c_name AS cust_id_2, c_nationkey AS nation, c_acctbal AS cust_id_3, c_mktsegment AS nation_2 FROM customer',
 )
 def _(spark, folder):
-    df = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal").toDF("Cust ID", "cust_id ", "CUST__ID")
+    df = table(spark, folder, "customer").toDF("Cust ID", "cust_id ", "Nation", "CUST__ID", " nation")
     return C.standardize_headers(df)
 
 
@@ -253,3 +252,33 @@ def _(spark, folder):
 def _(spark, folder):
     config = new_config(imputations=[{"column": "Txn Amt", "method": "mean"}], drop_null_rows=["Txn Amt"])
     return C.clean(_messy(spark, folder), config, resolve_names=True).withColumn("txn_amt", F.round("txn_amt", 4))
+
+
+# --- date forms -------------------------------------------------------------
+def _date_form(name: str, spark_form: str, sql_form: str, date_format: str | None) -> None:
+    """Dates of orders written in a form and read back, with a first value that may be no date."""
+    first = "CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN NULL ELSE o_orderdate END" if date_format is None else "o_orderdate"
+
+    @query(f"cast_datetime_{name}", f"SELECT o_orderkey, {first.replace('o_orderdate', sql_form)} AS d FROM orders")
+    def _(spark, folder):
+        df = table(spark, folder, "orders").select("o_orderkey", F.expr(spark_form).alias("d"))
+        if date_format is None:
+            low = df.agg(F.min("o_orderkey")).first()[0]
+            df = df.withColumn("d", F.when(F.col("o_orderkey") == low, "soon").otherwise(F.col("d")))
+            return C.convert(df.withColumn("row_index", F.col("o_orderkey")), "d", "datetime").drop("row_index")
+        return C.convert(df, "d", "datetime", date_format)
+
+
+_DAY = "CAST(date_trunc('day', o_orderdate) AS TIMESTAMP)"
+_date_form("two_digit_year", "date_format(o_orderdate - INTERVAL 20 YEARS, 'MM/dd/yy')", f"{_DAY} - INTERVAL 20 YEARS", "%m/%d/%y")
+_date_form("compact_time", "concat(date_format(o_orderdate, 'yyyyMMdd'), ' 10:20:30')", f"{_DAY} + INTERVAL 37230 SECONDS", "%Y%m%d %H:%M:%S")
+_date_form("zulu", "concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T10:20:30Z')", f"{_DAY} + INTERVAL 37230 SECONDS", "%Y-%m-%dT%H:%M:%S%z")
+_date_form("offset", "concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T10:20:30+02:00')", f"{_DAY} + INTERVAL 30030 SECONDS", "%Y-%m-%dT%H:%M:%S%z")
+_date_form("after_no_date", "concat(date_format(o_orderdate, 'yyyy-MM-dd'), ' 10:20:30')", f"{_DAY} + INTERVAL 37230 SECONDS", None)
+
+
+@query("cast_datetime_unknown_directive", "SELECT o_orderkey, CAST(o_orderdate AS VARCHAR) AS d FROM orders")
+def _(spark, folder):
+    """A format that cannot be read leaves the column alone."""
+    df = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderdate").cast("string").alias("d"))
+    return C.convert(df, "d", "datetime", "%Q")

@@ -41,6 +41,29 @@ def _(spark, folder):
     return with_row_index(table(spark, folder, "events").select("event_id", "user_id"))
 
 
+@query(
+    "row_index_over_files",
+    "SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) - 1 AS row_index FROM events",
+)
+def _(spark, folder):
+    """Files of unequal size in one folder are numbered in the order of their names."""
+    path = new_table_path(spark, "files")
+    events = table(spark, folder, "events").select("event_id", "user_id")
+    for name, part in (("a", "event_id < 40"), ("b", "event_id >= 40 AND event_id < 700"), ("c", "event_id >= 700")):
+        events.where(part).write.parquet(f"{path}/part={name}")
+    return with_row_index(spark.read.parquet(path).select("event_id", "user_id"))
+
+
+@query(
+    "row_index_sparse_keys",
+    "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index FROM orders",
+)
+def _(spark, folder):
+    """Keys with a gap of 2**30 between any two."""
+    keyed = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", (F.col("o_orderkey") * (1 << 30)).alias("k"))
+    return with_row_index(keyed, "k", unique_integer=True).drop("k")
+
+
 @query(
     "row_index_after_removal",
     "SELECT o_orderstatus, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index "
@@ -71,11 +94,11 @@ def _(spark, folder):
     return read_table(spark, path, ".CSV", multi_line=False)
 
 
-@query("csv_text_round_trip", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents")
+@query("csv_text_round_trip", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents")
 def _(spark, folder):
     """Whole documents with line breaks and quotes inside cells."""
     path = new_table_path(spark, "csv")
-    write_csv(table(spark, folder, "documents").select("doc_id", "text", "lang"), path)
+    write_csv(table(spark, folder, "documents"), path)
     return read_table(spark, path, "csv")
 
 

@@ -76,6 +76,8 @@ _PREFIX = _failure(
     CONTACTS, "phone", "c_custkey", "regex", "NOT regexp_matches(phone, '^(555)0+')",
     "'Value ''' || phone || ''' does not match pattern ''Regex pattern'' in row ' || c_custkey || '.'",
 )
+_single("rule_regex_named_group", "dirty_contacts", "c_custkey",
+        {"column": "phone", "type": "regex", "params": {"pattern": r"(?P<area_code>555)0+"}}, _PREFIX)
 _single("rule_regex_start_only", "dirty_contacts", "c_custkey",
         {"column": "phone", "type": "regex", "params": {"pattern": r"(?P<area>555)0+"}}, _PREFIX)
 

@@ -28,6 +28,7 @@ from siftframe.operators.quantiles import exact_quantiles
 from siftframe.operators.rowid import ROW_INDEX, renumber, with_row_index
 
 IMPUTATIONS = ("drop", "mean", "median", "mode", "constant")
+EMPTY_HEADER = "column"  # a header of which a style leaves nothing, as a table needs names
 STYLES = ("snake_case", "camelCase", "uppercase", "lowercase", "title_case")
 
 
@@ -58,10 +59,11 @@ def restyled(name: str, style: str | None) -> str:
 
 
 def without_collisions(names: list[str]) -> list[str]:
-    """Names differing at most in case get ``_2``, ``_3``, ...; Spark cannot tell them apart."""
+    """Names differing at most in case get ``_2``, ``_3``, ...; Spark cannot tell them apart. An empty one is ``column``."""
     taken: set[str] = set()
     out = []
     for name in names:
+        name = name or EMPTY_HEADER
         new, n = name, 1
         while new.lower() in taken:
             n += 1
