@@ -5,11 +5,11 @@ the log odds of hashed byte 1- to 3-grams between the languages that have the bi
 that have not. A text goes to the codeword with the least loss, each bit weighted by how well
 its classifier does on the sample; a text whose two best codewords are close is ambiguous.
 
-Training counts n-grams on executors over at most ``per_language`` documents of each language
-(a sample by hash of the id); everything else reads all rows and whole texts.
+Training counts n-grams on executors over about ``per_language`` documents of each language
+(a share of its rows, by hash of the id); everything else reads all rows and whole texts.
 
 Defined results: null text and text without letters are `und` with score 0 (not ambiguous);
-rows with null language teach nothing; with a single language, or none, in training every text
+rows with null language or id teach nothing; with a single language, or none, in training every text
 gets that language, or `und`; an empty table gives an empty table; other columns are carried.
 """
 
@@ -123,13 +123,13 @@ class Model:
 
 def fit(docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Learn from the rows for which ``train`` holds and whose language is not null."""
-    rows = docs.where(train & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{id}`").cast("string").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
+    rows = docs.where(train & F.col(f"`{lang}`").isNotNull() & F.col(f"`{id}`").isNotNull()).select(F.col(f"`{id}`").cast("string").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
     found = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())
     languages = [name for name, _ in found]
     if not languages:
         return Model([], np.zeros((0, 1)), np.zeros((BUCKETS, 1), np.float32), np.ones(1))
     share = F.coalesce(*(F.when(F.col("lang") == name, F.lit(min(1.0, per_language / n))) for name, n in found))
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)).limit(2 * per_language * len(languages))
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
     sample = sample.select("lang", F.lower(filled("text")).alias("text"), F.pmod(F.xxhash64("id"), F.lit(5)).alias("part"))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -37,7 +37,7 @@ ROWS = 4  # coordinates of a band
 CACHED_WORDS = 1 << 16
 SLICE = 1 << 16  # shingles hashed at once
 STRAGGLERS, MEMBERS = 128, 512  # of a block of comparisons
-BROADCAST_KEYS = 1_000_000  # of about 40 bytes each
+BROADCAST_KEYS = 500_000  # of about 40 bytes each
 
 _U = np.uint64
 
@@ -188,10 +188,11 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     known = crowded.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     mixed = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
     main = centres.join(labels.withColumnRenamed("key", "centre"), "centre", "left").select("bucket", "centre", F.coalesce("label", "centre").alias("main"))
-    open_rows = written(known.join(mixed.join(main, "bucket"), "bucket").where("key <> centre").select("bucket", "key", "label", (F.col("label") != F.col("main")).alias("straggler")), "open-bands")
+    mixed = written(mixed.join(main, "bucket"), "mixed-bands")
+    open_rows = written(known.join(_small(mixed), "bucket").where("key <> centre").select("bucket", "key", "label", (F.col("label") != F.col("main")).alias("straggler")), "open-bands")
     sizes = open_rows.groupBy("bucket").agg(F.count_if("straggler").alias("u"), F.count("*").alias("w")).where("u > 0 and w > 1")
     sizes = sizes.select("bucket", F.ceil(F.col("u") / STRAGGLERS).alias("across"), F.ceil(F.col("w") / MEMBERS).alias("down"))
-    sized = open_rows.join(sizes, "bucket")
+    sized = open_rows.join(_small(written(sizes, "open-band-sizes")), "bucket")
     own = lambda n: F.pmod(F.xxhash64("key"), n)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     blocks = sized.where("straggler").select("bucket", own(F.col("across")).alias("i"), every(F.col("down")).alias("j"), "key", "label", "straggler")

@@ -6,10 +6,10 @@ with the logistic loss l; it is minimised over a linear model of the form of a t
 (character classes, single marks, repeated words, phrases and lines). The class prior is
 estimated as the share of positives among labelled rows. No negative label enters the risk.
 
-Training collects the features, not the texts, of at most ``positives`` and ``unlabelled``
-documents (samples by hash of the id); everything else reads all rows and whole texts.
+Training collects the features, not the texts, of about ``positives`` and ``unlabelled``
+documents (shares of the rows, by hash of the id); everything else reads all rows and whole texts.
 
-Defined results: null text is the empty text and gets a score; rows with a null label teach
+Defined results: null text is the empty text and gets a score; rows with a null label or id teach
 nothing; without positives every score is the prior 0.5; an empty table gives an empty table.
 """
 
@@ -99,11 +99,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id: str = "doc_id", t
         return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0)
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     trusted = known.where(F.col("good") & (place < positives / good)).select("id").distinct().limit(2 * positives).withColumn("positive", F.lit(True))
-    learn = docs.where(train).select(F.col(f"`{id}`").cast("string").alias("id"), filled(text).alias("text"))
+    learn = docs.where(train & F.col(f"`{id}`").isNotNull()).select(F.col(f"`{id}`").cast("string").alias("id"), filled(text).alias("text"))
     rows = learn.select("id").count()
     # the trusted ids are a bounded sample, so they may be broadcast
     picked = learn.join(F.broadcast(trusted), "id", "left").withColumn("free", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < unlabelled / max(rows, 1) * (1 << 30))
-    picked = picked.where(F.coalesce("positive", F.lit(False)) | F.col("free")).select("text", F.coalesce("positive", F.lit(False)).alias("positive"), "free").limit(3 * (positives + unlabelled))
+    picked = picked.where(F.coalesce("positive", F.lit(False)) | F.col("free")).select("text", F.coalesce("positive", F.lit(False)).alias("positive"), "free")
     parts = F.array_compact(F.array(F.when(F.col("positive"), F.lit(True)), F.when(F.col("free"), F.lit(False))))
     sample = picked.select("text", F.explode(parts).alias("positive")).repartition(8)
     got = sample.mapInPandas(_featured, "positive boolean, x array<double>").collect()
