@@ -163,5 +163,5 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_sentencepiece")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     model = unigram.load(tokenizer_path("piece_bpe_32k.model"))
-    rows = unigram.decode(unigram.encode(table(spark, folder, "documents").select("doc_id", "text"), model), model)
+    rows = unigram.round_trip(table(spark, folder, "documents").select("doc_id", "text"), model)
     return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))

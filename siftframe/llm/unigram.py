@@ -30,7 +30,7 @@ from siftframe.llm.common import filled, fresh, stretches
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHED_WORDS = 1 << 19
+CACHED_WORDS = 1 << 18
 LONGEST = 48  # bytes of a word that takes its steps together with others
 TOGETHER = 1 << 13  # words that do
 _WORD = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
@@ -253,6 +253,24 @@ def load(path: str) -> Unigram:
     return Unigram([model.id_to_piece(k) for k in every], [model.get_score(k) for k in every], "".join(map(kind, every)))
 
 
+def round_trip(docs: DataFrame, model: Unigram, text: str = "text") -> DataFrame:
+    """The rows with ``ids`` and ``decoded`` added: both ways in one visit to Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("ids array<int>, decoded string")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, ids, back = batch.tolist(), [], []
+            for part in stretches(texts):
+                ids += shared.value.encode_many(texts[part])
+                back += [shared.value.decode(x.tolist()) for x in ids[part]]
+            yield pd.DataFrame({"ids": ids, "decoded": back})
+
+    found, *added = fresh(docs, "found", "ids", "decoded")
+    rows = docs.withColumn(found, both.asNondeterministic()(filled(text)))
+    return rows.withColumns({name: F.col(found)[part] for name, part in zip(added, ("ids", "decoded"))}).drop(found)
+
+
 def encode(docs: DataFrame, model: Unigram, text: str = "text") -> DataFrame:
     """The rows with ``ids`` added, an array of piece ids; only the text visits Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the model file

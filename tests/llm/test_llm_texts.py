@@ -170,4 +170,6 @@ def test_columns_of_pieces(spark):
     assert got.columns == ["doc_id", "text", "ids", "_ids", "decoded"]
     found = {r["doc_id"]: r["decoded"] for r in got.collect()}
     assert found == {1: "", 2: "", 3: "ab   a", None: "é" * 50_000}
+    both = unigram.round_trip(spark.createDataFrame(rows, "doc_id long, text string, ids string"), MODEL)
+    assert {(r["doc_id"], tuple(r["_ids"]), r["decoded"]) for r in both.collect()} == {(r["doc_id"], tuple(r["_ids"]), r["decoded"]) for r in got.collect()}
     assert unigram.encode(spark.createDataFrame([], "text string"), MODEL).collect() == []
