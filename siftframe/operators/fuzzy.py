@@ -38,8 +38,10 @@ EDIT_FILTER_LENGTH = 512  # the built-in edit distance is a cheap test up to thi
 BROADCAST_LETTERS = 50_000_000  # most letters of all texts together for them to be broadcast
 TILE = 2000  # values of one key compared in one task
 HEADS = 16  # least number of leading values per key looked at in a round
-GROUP_RECORD = 100_000  # most members of a group given as one row
+GROUP_RECORD = 100_000  # members of a group in one record, about
 ROUND_PAIRS = 4_000_000  # pairs a round may look at before HEADS per key applies
+FEW_PAIRS = 20_000_000  # candidate pairs that are verified at once; more if that is
+VALUE_PAIRS = 200  # so many per value
 
 
 def candidate_columns(prof: list[ColumnProfile]) -> list[str]:
@@ -262,6 +264,53 @@ def _round(state: DataFrame, texts: DataFrame, threshold: float, heads: int, sma
     )
 
 
+def _candidate_pairs(keys: DataFrame) -> int:
+    """Pairs of values per key, added up over the keys; the key counts are combined map-side."""
+    counts = keys.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    return counts.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))).first()[0]
+
+
+def _settled(state: DataFrame, texts: DataFrame, threshold: float, small: bool) -> DataFrame:
+    """Decide all open values: every candidate pair is verified once, and rounds go over the links left.
+
+    A value without an undecided better neighbour is a centre and its neighbours are members, so
+    a round takes the links of all those away; values without links are centres at once.
+    """
+    nodes = written(state.where("status = 'open'").select("id", "weight", "length", "keys"), "open")
+    pairs = _tiled_candidates(nodes, threshold)
+    weight = lambda n: nodes.select(F.col("id").alias(f"id{n}"), F.col("weight").alias(f"w{n}"))
+    found = _verified(pairs, texts, threshold, small).join(weight(1), "id1").join(weight(2), "id2")
+    first = _better(("w1", "id1"), ("w2", "id2"))
+    best = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    links = found.select(best("id1", "id2").alias("better"), best("w1", "w2").alias("weight"), best("id2", "id1").alias("worse"))
+    every = links = written(links, "links")
+    members = links.select(F.col("worse").alias("id")).limit(0)
+    while not links.isEmpty():
+        heads = links.select("better").join(links.select(F.col("worse").alias("better")), "better", "left_anti").distinct()
+        taken = written(links.join(heads, "better", "left_semi").select(F.col("worse").alias("id")).distinct(), "members")
+        members = members.unionByName(taken)
+        for end in ("better", "worse"):
+            links = links.join(taken.select(F.col("id").alias(end)), end, "left_anti")
+        links = written(links, "links")
+    members = written(members, "members")
+    from_centers = every.join(members.select(F.col("id").alias("better")), "better", "left_anti")
+    own = from_centers.groupBy(F.col("worse").alias("id")).agg(F.min(F.struct("weight", F.col("better").alias("id"))).alias("found"))
+    # values settled before may be nearer in rank to a centre found only now
+    centers = nodes.join(members, "id", "left_anti").select(
+        F.col("id").alias("id1"), F.col("weight").alias("w1"), F.col("length").alias("l1"), F.explode("keys").alias("key")
+    )
+    held = state.where("status = 'member'").select(
+        F.col("id").alias("id2"), F.col("length").alias("l2"), F.col("center").alias("held"), F.explode("keys").alias("key")
+    )
+    if not held.isEmpty():
+        gain = F.struct(F.col("w1").alias("weight"), F.col("id1").alias("id")) < F.col("held")
+        near = _salted_join(centers, held).where(gain & _length_fits(F.col("l1"), F.col("l2"), threshold))
+        late = _verified(near.select("id1", "id2", "w1").distinct(), texts, threshold, small)
+        late = late.groupBy(F.col("id2").alias("id")).agg(F.min(F.struct(F.col("w1").alias("weight"), F.col("id1").alias("id"))).alias("found"))
+        own = own.unionByName(late)
+    return state.join(own, "id", "left").withColumn("center", F.coalesce("found", "center")).drop("found")
+
+
 def star_clusters(df: DataFrame, column: str, threshold: float = DEFAULT_THRESHOLD, row_id: str = ROW_INDEX) -> DataFrame:
     """(canonical, member, n, first_row, canonical_n): groups of more than one value, one row per member.
 
@@ -269,9 +318,10 @@ def star_clusters(df: DataFrame, column: str, threshold: float = DEFAULT_THRESHO
     grouped value becomes a centre and takes in all ungrouped values similar to
     *it* - not to each other. Equivalently: a value is a centre if no better value
     similar to it is one, and any other value belongs to its best similar centre.
-    That is decided in rounds: per key only the leading undecided values are
-    compared, then everything similar to the new centres is settled, so a crowd of
-    alike values goes in one round and never forms all its pairs.
+    While keys are so common that their pairs are many, only the leading undecided
+    values of a key are compared, and everything similar to the new centres is settled:
+    a crowd of alike values goes in one round and never forms all its pairs. The pairs
+    of the rest are verified once, and rounds go over the similar ones alone.
     """
     raw = written(text_frequencies(df, column, row_id).withColumn("norm", normal_form(F.col("value"))), "texts")
     raw = raw.where("norm <> ''")
@@ -292,11 +342,11 @@ def star_clusters(df: DataFrame, column: str, threshold: float = DEFAULT_THRESHO
         "state",
     )
     small = _fits_broadcast(texts)
-    while True:
-        left = state.where("status = 'open'").agg(F.sum(F.size("keys"))).first()[0]
-        if not left:
-            break
+    few = max(FEW_PAIRS, VALUE_PAIRS * nodes.count())
+    while _candidate_pairs(opened := state.where("status = 'open'")) > few:
+        left = opened.agg(F.sum(F.size("keys"))).first()[0]
         state = written(_round(state, texts, threshold, max(HEADS, ROUND_PAIRS // left), small), "state")
+    state = written(_settled(state, texts, threshold, small), "state")
     placed = state.select("id", F.coalesce("center.id", "id").alias("center_id")).join(nodes, "id")
     members = raw.join(placed.select("norm", "center_id"), "norm").select("center_id", "value", "n", "first_row")
     heads = members.where("first_row = center_id").select(
@@ -310,22 +360,26 @@ def star_clusters(df: DataFrame, column: str, threshold: float = DEFAULT_THRESHO
 
 
 def group_records(stars: DataFrame, most: int = GROUP_RECORD) -> DataFrame:
-    """(canonical, members, frequencies) from :func:`star_clusters`, members from the most frequent on.
+    """(canonical, part, members, frequencies) from :func:`star_clusters`, members from the most frequent on.
 
-    A group has to fit a row for this; with a group of more than ``most`` members
-    it is refused, and the one-row-per-member form is the one to use.
+    A group of more than ``most`` members has as many numbered parts as it takes, of about that
+    size, over which its members are dealt by hash; the canonical value leads part 1.
     """
-    largest = stars.groupBy("canonical").count().agg(F.max("count")).first()[0]
-    if largest and largest > most:
-        raise ValueError(f"a group has {largest} members; use the rows of star_clusters")
+    # fewer than rows / most groups are so large
+    large = stars.groupBy("canonical").count().where(F.col("count") > most)
+    parts = large.select("canonical", F.ceil(F.col("count") / most).alias("parts"))
+    stars = stars.join(F.broadcast(parts), "canonical", "left")
+    dealt = F.pmod(F.xxhash64("member"), F.coalesce("parts", F.lit(1))) + 1
+    stars = stars.withColumn("part", F.when(F.col("member") == F.col("canonical"), 1).otherwise(dealt))
     order = F.struct(
         (F.col("member") != F.col("canonical")).alias("other"), (-F.col("n")).alias("weight"), "first_row", "member", "n"
     )
     return (
-        stars.groupBy("canonical")
+        stars.groupBy("canonical", "part")
         .agg(F.sort_array(F.collect_list(order)).alias("g"))
         .select(
             "canonical",
+            "part",
             F.transform("g", lambda s: s["member"]).alias("members"),
             F.map_from_entries(F.transform("g", lambda s: F.struct(s["member"], s["n"]))).alias("frequencies"),
         )

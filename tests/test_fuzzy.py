@@ -101,17 +101,33 @@ def test_frequent_keys_are_tiled(spark, monkeypatch):
     assert got == want
 
 
-@pytest.mark.parametrize("threshold,heads", [(50, None), (75, 1), (80, None), (80, 2), (90, 1)])
-def test_stars_equal_the_sequential_grouping(spark, monkeypatch, threshold, heads):
-    if heads:  # few leading values per key: many rounds
+@pytest.mark.parametrize("threshold,heads,few", [(50, None, None), (75, 1, 0), (80, None, None), (80, 2, 0), (80, 2, 300), (90, 1, 0)])
+def test_stars_equal_the_sequential_grouping(spark, monkeypatch, threshold, heads, few):
+    if heads:  # few leading values per key: many rounds before (or instead of) all pairs left
         monkeypatch.setattr(Z, "HEADS", heads)
         monkeypatch.setattr(Z, "ROUND_PAIRS", 0)
+        monkeypatch.setattr(Z, "FEW_PAIRS", few)
+        monkeypatch.setattr(Z, "VALUE_PAIRS", 0)
     values = random_values(random.Random(threshold + (heads or 0)), 36 if heads else 110)
     stars = Z.star_clusters(table(spark, values, 3 + (heads or 0)), "v", threshold)
     got = {(r["canonical"], r["member"], r["n"]) for r in stars.collect()}
     assert got == slow_stars(values, threshold)
 
 
+def test_many_dissimilar_values_take_few_writes(spark, monkeypatch):
+    rng = random.Random(9)
+    values = ["item-" + "".join(rng.choice("abcdefghijklmnop") for _ in range(14)) for _ in range(3000)]
+    written, tags = Z.written, []
+
+    def counted(df, tag):
+        tags.append(tag)
+        return written(df, tag)
+
+    monkeypatch.setattr(Z, "written", counted)
+    assert Z.star_clusters(table(spark, values), "v", 90).isEmpty()
+    assert len(tags) <= 12
+
+
 def test_dense_cluster(spark):
     values = [f"Customer#{i:09d}" for i in range(300)]
     got = {(r["canonical"], r["member"], r["n"]) for r in Z.star_clusters(table(spark, values), "v", 80).collect()}
@@ -128,8 +144,12 @@ def test_material_names(spark):
     mapping = Z.replacement_map(stars, "v", keep=["Mer. Wool"])
     got = [r["v"] for r in Z.apply_mapping(df, "v", mapping).orderBy("row_index").collect()]
     assert got == ["Merino Wool", "Mer. Wool", "Viscose", "Merino Wool", "Visc", "Viscose"]
-    with pytest.raises(ValueError):
-        Z.group_records(stars, most=2)
+    parts = Z.group_records(stars, most=2).collect()
+    whole = {g["canonical"]: sorted(g["members"]) for g in groups}
+    for name, members in whole.items():
+        own = sorted((p for p in parts if p["canonical"] == name), key=lambda p: p["part"])
+        assert own[0]["part"] == 1 and own[0]["members"][0] == name
+        assert sorted(m for p in own for m in p["members"]) == members
 
 
 def test_mapping(spark, monkeypatch):
