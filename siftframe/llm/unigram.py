@@ -9,6 +9,9 @@ decoding joins pieces, turns byte pieces into UTF-8 and markers into spaces.
 As no piece holds a marker after another character, the best segmentation of a text is that of
 its words one by one; words seen lately are kept in a table of bounded size.
 
+A task holds the ids and texts of one Arrow batch; spark.sql.execution.arrow.maxRecordsPerBatch
+bounds it where texts are long.
+
 Defined results: null text has no ids, as has the empty text; a marker in the text itself comes
 back as a space; bytes that are not UTF-8 decode to U+FFFD; control ids decode to nothing and the
 unknown id to " ⁇ "; rows are treated one by one; other columns are carried.
