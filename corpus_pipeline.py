@@ -10,34 +10,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftframe.llm import exact, language, minhash, packing, quality
-from siftframe.llm.queries import table, tokenizer_path
+from siftframe.llm.queries import small_batches, table, tokenizer_path
 from siftframe.work import written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good; it learns from two thirds of the labels."""
+    small_batches(spark)
     learned = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels"), learned))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told from their text."""
+    small_batches(spark)
     learned = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
     return language.identify(docs, language.fit(docs, learned))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id."""
+    small_batches(spark)
     return exact.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by five-word shingles at a Jaccard of 0.8 the document with the least id."""
+    small_batches(spark)
     return minhash.drop_near(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 

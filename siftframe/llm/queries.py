@@ -23,7 +23,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Long texts: 1,000 rows at a time go to Python, so that two tasks of an executor hold some megabytes each."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -162,8 +168,6 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op2_sentencepiece")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    # ids take more room than text: 1,000 rows at a time go to Python and come back
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     model = unigram.load(tokenizer_path("piece_bpe_32k.model"))
     rows = unigram.round_trip(table(spark, folder, "documents").select("doc_id", "text"), model)
     return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
