@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOT_SHARE = 1000  # a key is hot above 1/HOT_SHARE of the rows, so at most HOT_SHARE keys are
-BROADCAST_ROWS = 200_000  # largest table joined by broadcast, checked by counting
+BROADCAST_ROWS = 200_000  # largest table joined by broadcast, checked by counting rows
+BROADCAST_BYTES = 64 << 20  # and the bytes of their texts
 
 
 def hot_keys(counts: DataFrame, key: str) -> DataFrame:
@@ -29,7 +31,11 @@ def semi_join(rows: DataFrame, wanted: DataFrame, key: str, hot: DataFrame) -> D
 
 
 def is_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return table.limit(rows + 1).count() <= rows
+    """At most so many rows, with at most BROADCAST_BYTES of text and other variable-length values."""
+    wide = [f.name for f in table.schema.fields if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType))]
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in wide), F.lit(0))
+    found = table.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return found["n"] <= rows and found["bytes"] <= BROADCAST_BYTES
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:

@@ -179,30 +179,44 @@ def _row_failures(df: DataFrame, rules: list[tuple[int, Rule]], row_id: str) ->
 
 
 def repeated_rows(df: DataFrame, column: str, row_id: str) -> DataFrame:
-    """(row_index, value) of every row whose non-missing value occurs more than once.
+    """(row_index, value) of every row whose non-missing value occurs more than once."""
+    return repeated_cells(df, {0: column}, row_id).select("row_index", "value")
 
-    Counts combine map-side, long texts are counted by digest, and the rows of a hot
-    value never meet in one task.
-    """
-    dtype = dtype_of(df, column)
-    text = raw_text(col(column), dtype)
-    key = digested(text) if is_text(dtype) else text
-    cells = df.select(col(row_id).cast("long").alias("row_index"), key.alias("key"), text.alias("value"))
-    cells = cells.where("value is not null")
-    counts = cells.groupBy("key").agg(F.count("*").alias("n"))
-    return semi_join(cells, counts.where(F.col("n") > 1), "key", hot_keys(counts, "key")).drop("key")
 
+def repeated_cells(df: DataFrame, columns: dict[int, str], row_id: str) -> DataFrame:
+    """(number, row_index, value) of the cells, of several numbered columns, whose non-missing value repeats.
 
-def _unique_failures(df: DataFrame, number: int, rule: Rule, row_id: str) -> DataFrame:
-    value = shown(F.col("value"), dtype_of(df, rule.column))
+    One scan and one count serve all columns. Counts combine map-side, long texts are
+    counted by digest, and the rows of a hot value never meet in one task.
+    """
+    cells = []
+    for number, column in columns.items():
+        dtype = dtype_of(df, column)
+        text = raw_text(col(column), dtype)
+        key = digested(text) if is_text(dtype) else text
+        cell = F.struct(F.lit(number).alias("number"), _say(f"{number}:", key).alias("key"), text.alias("value"))
+        cells.append(F.when(text.isNotNull(), cell))
+    rows = df.select(col(row_id).cast("long").alias("row_index"), F.explode(F.array(*cells)).alias("c"))
+    rows = rows.where("c is not null").select("row_index", "c.*")
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
+    return semi_join(rows, counts.where(F.col("n") > 1), "key", hot_keys(counts, "key")).select("number", "row_index", "value")
+
+
+def _unique_failures(df: DataFrame, rules: list[tuple[int, Rule]], row_id: str) -> DataFrame:
+    """Failures of all ``unique`` rules together."""
+    value = F.col("value")
+    for i, rule in rules:
+        value = F.when(F.col("number") == i, shown(F.col("value"), dtype_of(df, rule.column))).otherwise(value)
+    column = F.coalesce(*[F.when(F.col("number") == i, F.lit(rule.column)) for i, rule in rules])
     row = F.col("row_index").cast("string")
-    return repeated_rows(df, rule.column, row_id).select(
-        F.lit(number).alias("rule_no"),
-        F.lit(rule.column).alias("column"),
+    found = repeated_cells(df, {i: rule.column for i, rule in rules}, row_id)
+    return found.select("number", "row_index", value.alias("value"), column.alias("column")).select(
+        F.col("number").alias("rule_no"),
+        "column",
         "row_index",
-        value.alias("value"),
+        "value",
         F.lit("unique").alias("rule"),
-        _say("Duplicate value '", value, "' in row ", row, ".").alias("message"),
+        _say("Duplicate value '", F.col("value"), "' in row ", row, ".").alias("message"),
     )
 
 
@@ -216,10 +230,10 @@ def in_table(
     dtype = dtype_of(df, column)
     text = _text(col(column), dtype)
     cells = df.where(_filled(col(column), dtype)).select(
-        col(row_id).cast("long").alias("row_index"), text.alias("value"), F.lower(strip(text)).alias("word")
+        col(row_id).cast("long").alias("row_index"), text.alias("value"), digested(F.lower(strip(text))).alias("word")
     )
     name = allowed.columns[0]
-    words = allowed.select(F.lower(strip(raw_text(col(name), dtype_of(allowed, name)))).alias("word")).distinct()
+    words = allowed.select(digested(F.lower(strip(raw_text(col(name), dtype_of(allowed, name))))).alias("word")).distinct()
     counts = cells.groupBy("word").agg(F.count("*").alias("n"))
     outside = counts.join(words, "word", "left_anti")
     bad = semi_join(cells, outside, "word", hot_keys(counts, "word"))
@@ -241,7 +255,9 @@ def failure_log(df: DataFrame, rules: list[Rule], row_id: str = ROW_INDEX) -> Da
     row_level = [(i, r) for i, r in known if r.row_check is not None]
     if row_level:
         parts.append(_row_failures(df, row_level, row_id))
-    parts += [_unique_failures(df, i, r, row_id) for i, r in known if r.row_check is None]
+    table_level = [(i, r) for i, r in known if r.row_check is None]
+    if table_level:
+        parts.append(_unique_failures(df, table_level, row_id))
     if not parts:
         return df.sparkSession.createDataFrame(
             [], "rule_no int, column string, row_index bigint, value string, rule string, message string"

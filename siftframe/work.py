@@ -21,7 +21,8 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_table_path(spark: SparkSession, tag: str) -> str:
-    return f"{work_dir(spark)}/siftframe/{tag}-{uuid.uuid4().hex}"
+    """A new place in the folder of this application, which can be expired as a whole."""
+    return f"{work_dir(spark)}/siftframe/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
