@@ -212,6 +212,7 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
 
 
 def drop_near(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows with all their columns, of every group of near-duplicates only the least id."""
-    dropped = written(near_groups(docs, id, text, **options).where("not kept").select(F.col(id).alias("_of")).distinct(), "near-copies")
-    return docs.join(_small(dropped), docs[f"`{id}`"].eqNullSafe(F.col("_of")), "left_anti")
+    """The rows with all their columns, of every group of near-duplicates only the least id; null ids stay."""
+    groups = near_groups(docs, id, text, **options).where("not kept").select(F.col(f"`{id}`").alias("_of"))
+    dropped = written(groups.where("_of is not null").distinct(), "near-copies")
+    return docs.join(_small(dropped), docs[f"`{id}`"] == F.col("_of"), "left_anti")

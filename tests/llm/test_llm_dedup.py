@@ -123,7 +123,8 @@ def test_null_ids_and_clashing_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, key long, label string")
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_groups(docs).collect()), key=repr)
     assert got == sorted([(None, 5, False), (5, 5, True), (6, 5, False), (None, None, True)], key=repr)
-    assert minhash.drop_near(docs).columns == docs.columns
+    left = minhash.drop_near(docs)
+    assert left.columns == docs.columns and sorted((r["doc_id"] or 0) for r in left.collect()) == [0, 0, 5]
 
 
 def test_circulant_signature_estimates_jaccard():
