@@ -125,7 +125,8 @@ def normalise(spark: SparkSession, path: str, to: str) -> DataFrame:
     """Rewrite the archives under ``path`` into ``to``; the index: archive, offset, length, record, type, uri.
 
     A compressed file is one split, so its parts come to one task in order. Parts between double
-    line ends are put together again by Content-Length; a record is all that is held in memory.
+    line ends are put together again and cut by Content-Length, whatever line ends the content
+    has at its end; a record and the next one's head are all that is held in memory.
     """
 
     def rewritten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,17 +139,21 @@ def normalise(spark: SparkSession, path: str, to: str) -> DataFrame:
                     if archive:
                         yield archive.close()
                     archive, source = _Archive(to, file), file
-                if head is None:
-                    head, parts, size = part, [], -len(gap)
-                    wanted = int(_headers(head)["content-length"])
-                    continue
-                parts.append(part)
-                size += len(gap) + len(part)
-                if size > wanted:
-                    raise ValueError(f"a record of {file} is longer than its Content-Length")
-                if size == wanted:
-                    archive.add(head, gap.join(parts))
-                    head = None
+                if head is not None:
+                    parts.append(part)
+                    size += len(gap) + len(part)
+                    if size < wanted:
+                        continue
+                    content = gap.join(parts)
+                    if size > wanted and not content.startswith(gap, wanted):
+                        raise ValueError(f"a record of {file} is longer than its Content-Length")
+                    archive.add(head, content[:wanted])
+                    head, part = None, content[wanted + len(gap) :]
+                    # line ends of the content joined those after it if anything is left, which is the next head
+                    if not part:
+                        continue
+                head, parts, size = part, [], -len(gap)
+                wanted = int(_headers(head)["content-length"])
         if head is not None:
             raise ValueError(f"{source} ends within a record")
         if archive:

@@ -81,3 +81,12 @@ def test_stream_that_ends_within_a_record(spark, tmp_path):
 
 def test_empty_table(spark):
     assert warc.round_trip(pages_of(spark).limit(0)).collect() == []
+
+
+def test_payloads_that_end_in_any_line_ends(spark):
+    htmls = ["abc\r\n", "\r\n", "\r", "\n", "abc\r", "abc\r\n\r", "\r\n" * 3, "abc" + "\r\n" * 5, "\n\r\n", "a\r\n\r\nb\r\n", "plain"]
+    for shuffled in (htmls, htmls[::-1], htmls[:1]):
+        rows = [(k, "u", h) for k, h in enumerate(shuffled)]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+        got = {r["page_id"]: bytes(r["payload"]) for r in warc.round_trip(pages).collect()}
+        assert got == {k: h.encode() for k, h in enumerate(shuffled)}
