@@ -3,7 +3,8 @@
 A text is brought to a canonical form - lower case, one spelling of equivalent words and marks,
 no copyright lines, no punctuation, single spaces - and its SHA-256 is joined with the digests of
 known licences. Whole texts are looked up, and so is every line as a text of its own, which
-finds the usual one-line notices. Everything is a DataFrame expression; the table of known
+finds the usual one-line notices. A copyright line goes only if a year, a sign or the reservation
+of rights shows it to be one: wrapped sentences may begin with the word. Everything is a DataFrame expression; the table of known
 digests is the only thing broadcast and has one row per known text.
 
 Defined results: null text is the empty text; texts that are canonically empty match nothing;
@@ -12,6 +13,8 @@ rows are judged one by one, so ties, repeated rows and null ids are carried as t
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,10 +113,37 @@ TEXTS: list[tuple[str, str]] = [
     ("CC0-1.0", "Licensed under CC0 1.0."),
 ]
 
+#: The last line of the terms where instructions for using the licence follow, which many copies leave out.
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
+
+def _full_texts() -> list[tuple[str, str]]:
+    """The licences of ``licence_texts``, each named by its file, whole and up to the end of the terms."""
+    out = []
+    for file in sorted((resources.files("siftframe.llm") / "licence_texts").iterdir(), key=lambda f: f.name):
+        name, text = file.name.removesuffix(".txt"), file.read_text("utf-8")
+        out.append((name, text))
+        terms, end, _ = text.partition(END_OF_TERMS)
+        if end:
+            out += [(name, terms + end), (name, terms)]
+    return out
+
+
+TEXTS += _full_texts()
+
+# A line that states who holds the copyright: a year, a sign or the reservation goes with the word.
+_MARK = r"(?:copyright|copr\.|\(c\)|©)"
+_HOLDER = (
+    r"(?:all rights reserved|©"
+    rf"|{_MARK}[ \t:,]*(?:{_MARK}[ \t:,]*)*(?:[0-9]{{4}}|[<\[({{]+(?:year|yyyy))"
+    r"|(?:copyright|copr\.)[ \t:]*(?:\(c\)|©)"
+    rf"|{_MARK}[^\n]*(?:all rights reserved|[0-9]{{4}}[., \t\r]*$))"
+)
+
 # Patterns that Java's and RE2's regular expressions read alike; applied to lower-case text in this order.
 STEPS: list[tuple[str, str]] = [
     (r"[\x{00A0}\x{2000}-\x{200B}\x{3000}]", " "),
-    (r"(?m)^[ \t/*#;>-]*(?:copyright|\(c\)|©|copr\.|all rights reserved)[^\n]*$", " "),
+    (rf"(?m)^[ \t/*#;>-]*{_HOLDER}[^\n]*$", " "),
     (r"https://", "http://"),
     (r"licence", "license"),
     (r"favour", "favor"),
@@ -123,7 +153,7 @@ STEPS: list[tuple[str, str]] = [
     (r"non-infring", "noninfring"),
     (r"©|\(c\)", "copyright"),
     (r"&", " and "),
-    (r"(^|[^\p{L}\p{N}])v(?:ersion|er)?[. ]*([0-9])", "$1version $2"),
+    (r"(^|[^\p{L}\p{N}])v(?:ersion|er)?[. \n]*([0-9])", "$1version $2"),
     (r"[^\p{L}\p{N}]+", " "),
 ]
 

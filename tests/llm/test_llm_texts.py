@@ -1,8 +1,10 @@
 """Licences, fingerprints and unigram pieces against brute force."""
 
 import hashlib
+import pathlib
 import random
 import re
+import textwrap
 
 import pytest
 from hypothesis import given, settings
@@ -173,3 +175,23 @@ def test_columns_of_pieces(spark):
     both = unigram.round_trip(spark.createDataFrame(rows, "doc_id long, text string, ids string"), MODEL)
     assert {(r["doc_id"], tuple(r["_ids"]), r["decoded"]) for r in both.collect()} == {(r["doc_id"], tuple(r["_ids"]), r["decoded"]) for r in got.collect()}
     assert unigram.encode(spark.createDataFrame([], "text string"), MODEL).collect() == []
+
+
+def test_wrapped_and_whole_licences(spark):
+    def wrapped(text, width):
+        return "\n\n".join(textwrap.fill(part, width) for part in re.split(r"\n\s*\n|\n(?=\d\.)", text))
+
+    isc = next(t for name, t in licences.TEXTS if name == "ISC")
+    usual = "Copyright (c) 2004, 2012 A. Holder <a@b.org>\nCopyright 1995-2003 by Another Holder\n\n" + isc.replace("the above\ncopyright", "the above copyright").replace(" copyright notice", "\ncopyright notice")
+    folder = pathlib.Path(licences.__file__).parent / "licence_texts"
+    texts = [("ISC", usual), ("ISC", "© A. Holder\nAll rights reserved.\n" + isc)]
+    for file in folder.iterdir():
+        text = file.read_text()
+        texts += [(file.stem, text), (file.stem, text.upper()), (file.stem, "\n".join(" * " + line for line in text.splitlines()))]
+    apache = (folder / "Apache-2.0.txt").read_text()
+    texts += [("Apache-2.0", apache.split("APPENDIX")[0]), ("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2020 A. Holder"))]
+    texts += [(name, wrapped(t, width)) for name, t in licences.TEXTS if name in ("MIT", "BSD-2-Clause", "ISC", "MPL-2.0") or t.startswith("BSD 3") for width in (40, 60, 72, 79)]
+    texts += [(None, isc + " And more."), (None, "copyright 2020 A. Holder"), (None, apache[:9000])]
+    rows = [(k, text) for k, (_, text) in enumerate(texts)]
+    found = {r["doc_id"]: r["licence"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [k for k, (name, _) in enumerate(texts) if found[k] != name] == []
