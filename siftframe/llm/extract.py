@@ -2,10 +2,10 @@
 
 Markup is stripped to lines, one per block of text. Lines of menus, headers, footers, sidebars,
 notices, adverts, forms and reader comments - told by element, role, class or by holding nothing
-but links - count no characters, and neither do lines outside the article where a page marks one.
-The characters of windows of ``window`` lines are summed: at a surge the sum leaves zero, at a
-dive it returns to zero, and the text between them is kept. Where a page marks no article, a
-stretch is kept only if its largest window reaches ``least`` characters or is the page's largest.
+but links - count no characters. The characters of windows of ``window`` lines are summed, those
+inside <article> or <main> ``least`` times: at a surge the sum leaves zero, at a dive it returns
+to zero, and the text between them is kept if the largest window reaches ``least`` or is the
+page's largest.
 
 Defined results: null, empty or text-free html gives the empty text; broken markup is read as far
 as it goes (an element that is never closed ends before the article or at the end of the page);
@@ -92,13 +92,13 @@ def _closings(tokens: list[tuple[str, bool, str, str]]) -> dict[int, int]:
     return found
 
 
-def lines(page: str, window: int = WINDOW) -> tuple[list[tuple[str, int]], bool]:
-    """(text, characters that count) of each line; whether the page marks its article."""
+def lines(page: str, window: int = WINDOW) -> list[tuple[str, int, bool]]:
+    """(text, characters that count, whether inside <article> or <main>) of each line."""
     tokens = list(_tokens(page))
     ends = _closings(tokens)
     out: list[tuple[str, int, bool]] = []
     spans: list[tuple[str, bool]] = []  # of the line being read: text, in a link
-    links, mains, items, skip_to, marked = 0, [], 0, -1, False
+    links, mains, items, skip_to = 0, [], 0, -1
 
     def line() -> None:
         text = " ".join(entities.unescape("".join(s for s, _ in spans)).split())
@@ -135,7 +135,6 @@ def lines(page: str, window: int = WINDOW) -> tuple[list[tuple[str, int]], bool]
         kind = _kind(name, attributes)
         if kind == "main":
             gap()
-            marked = True
             mains.append(ends.get(k, len(tokens)))
         elif kind == "drop" and name not in VOID:
             gap()
@@ -144,27 +143,24 @@ def lines(page: str, window: int = WINDOW) -> tuple[list[tuple[str, int]], bool]
                 stop = next((j - 1 for j in range(k + 1, len(tokens)) if not tokens[j][1] and (tokens[j][0] in ("article", "main", "body") or tokens[j][0] == "h1")), len(tokens))
             skip_to, links = stop, 0
     line()
-    return [(text, n if inside or not marked else 0) for text, n, inside in out], marked
+    return out
 
 
 def main_text(page: str, window: int = WINDOW, least: int = LEAST) -> str:
     """The blocks between surges and dives of the window sums, a line each."""
-    found, marked = lines(page, window)
-    counts = [n for _, n in found]
+    found = lines(page, window)
+    counts = [n * (least if marked else 1) for _, n, marked in found]
     sums = [sum(counts[max(k, 0) : k + window]) for k in range(1 - window, len(counts))]
     stretches, start = [], None
     for k, total in enumerate([*sums, 0]):
         if total and start is None:
             start = k  # surge
         elif not total and start is not None:
-            stretches.append((max(sums[start:k]), start, k))  # dive
-            start = None
-    top = max((s[0] for s in stretches), default=0)
-    kept = []
-    for peak, start, end in stretches:
-        if marked or peak >= least or peak == top:
             # window k covers the lines from k - window + 1
-            kept += [text for text, n in found[max(0, start - window + 1) : end] if n]
+            stretches.append((max(sums[start:k]), range(max(0, start - window + 1), min(k, len(found)))))  # dive
+            start = None
+    level = min(least, max((peak for peak, _ in stretches), default=0))
+    kept = [found[k][0] for peak, covered in stretches if peak >= level for k in covered if found[k][1]]
     return "\n".join(kept)
 
 

@@ -35,6 +35,15 @@ def test_short_stretch_far_from_the_main_one_is_left_out():
     assert main_text(page) == "\n".join(["A sentence of the main text. " * 7 + "A sentence of the main text."] * 2)
 
 
+LONG = "A sentence of the main text. " * 7 + "A sentence of the main text."
+
+
+def test_surges_choose_the_text_where_a_page_marks_an_article():
+    assert LONG in main_text(f"<body><article class=card>Teaser</article><div><p>{LONG}</p><p>{LONG}</p></div></body>").split("\n")
+    assert main_text(f"<article><p>One</p></article><nav>{LONG}</nav><div><p>{LONG}</p><p>tail</p></div>") == f"One\n{LONG}\ntail"
+    assert main_text("<article><p>One</p></article><div>short line outside</div>") == "One"
+
+
 def test_table_with_nulls_repeats_and_clashes(spark):
     rows = [(1, "u", "<p>x</p>", "t"), (1, "u", "<p>x</p>", "t"), (None, None, None, None), (2, "v", "<p>" + "y " * 200_000 + "</p>", "t")]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
