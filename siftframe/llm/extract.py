@@ -1,11 +1,15 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one per block of text. Lines of menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments - told by element, role, class or by holding nothing
-but links - count no characters. The characters of windows of ``window`` lines are summed, those
-inside <article> or <main> ``least`` times: at a surge the sum leaves zero, at a dive it returns
-to zero, and the text between them is kept if the largest window reaches ``least`` or is the
-page's largest.
+Markup is stripped to lines, one per block of text. Menus, headers, footers, sidebars, notices,
+adverts, forms and reader comments - told by element, role or class - are left out, and lists of
+links outside <article> and <main> count no characters. The characters of windows of ``window``
+lines are summed, those inside <article> or <main> ``least`` times: at a surge the sum leaves
+zero, at a dive it returns to zero. A stretch whose largest window reaches ``least``, or is the
+page's largest, is the text; so is what lies between the first and the last of these and what
+stands in the same element as one of them, cut off by an advert.
+
+A class or id tells only by a whole token made of known words, and never for an element with most
+of the page's text, unless an <article>, <main> or <h1> stands elsewhere.
 
 Defined results: null, empty or text-free html gives the empty text; broken markup is read as far
 as it goes (an element that is never closed ends before the article or at the end of the page);
@@ -42,6 +46,14 @@ WORDS = set(
     " disqus respond replies reply share sharing social related recommended newsletter subscribe subscription signup login pagination pager"
     " toolbar copyright legal disclaimer".split()
 )
+# words that may stand beside them in a token
+BESIDE = set(
+    "site main top bottom left right global primary secondary fixed sticky mobile desktop bar box container wrapper wrap inner outer block area"
+    " section list links link item items buttons button icons unit slot form text body content title policy message thread inline column col row".split()
+)
+TOKENS = set("related-posts related-articles related-stories related-content user-comments reader-comments post-comments".split())
+# elements that hold text side by side
+HOMES = set("article aside body center div html main section td th".split())
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
@@ -52,20 +64,26 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([a-z_:][\w:.-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 
 
+def _known(token: str) -> bool:
+    """Whether a class or id is made of known words alone, as in ``cookie-notice`` or ``ad_slot-2``."""
+    words = [w for w in re.split(r"[-_0-9]+", token) if w]
+    return token in TOKENS or (not WORDS.isdisjoint(words) and all(w in WORDS or w in BESIDE for w in words))
+
+
 def _kind(name: str, attributes: str) -> str:
-    """`drop`, `main` or nothing."""
+    """`drop`, `class` (drop, as its class says), `main` or nothing."""
     if name in DROPPED:
         return "drop"
-    main = name in ("article", "main")
+    main, named = name in ("article", "main"), False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
             return "drop"
         if key == "role" and value in ("main", "article"):
             main = True
-        if key in ("class", "id") and name not in ("html", "body") and not WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return "drop"
-    return "main" if main else ""
+        if key in ("class", "id") and name not in ("html", "body") and any(map(_known, value.split())):
+            named = True
+    return "class" + " main" * main if named else "main" if main else ""
 
 
 def _tokens(page: str) -> Iterator[tuple[str, bool, str, str]]:
@@ -92,24 +110,44 @@ def _closings(tokens: list[tuple[str, bool, str, str]]) -> dict[int, int]:
     return found
 
 
-def lines(page: str, window: int = WINDOW) -> list[tuple[str, int, bool]]:
-    """(text, characters that count, whether inside <article> or <main>) of each line."""
+class _Wrappers:
+    """Tells elements with most of the text of a page, menus and the like left aside."""
+
+    def __init__(self, tokens: list[tuple[str, bool, str, str]], ends: dict[int, int], least: int):
+        self.ends, self.least, self.before, skip_to = ends, least, [0], -1
+        for k, (name, closing, _, text) in enumerate(tokens):
+            self.before.append(self.before[-1] + (len(text.strip()) if k > skip_to else 0))
+            if k > skip_to and name in DROPPED and not closing:
+                skip_to = ends.get(k, -1)
+        self.marks = [k for k, (name, closing, _, _) in enumerate(tokens) if not closing and name in ("article", "main", "h1")]
+
+    def __contains__(self, k: int) -> bool:
+        end = self.ends.get(k)
+        if end is None:
+            return False
+        held = self.before[end + 1] - self.before[k + 1]
+        return held >= self.least and 2 * held > self.before[-1] and (not self.marks or any(k <= m < end for m in self.marks))
+
+
+def lines(page: str, window: int = WINDOW, least: int = LEAST) -> list[tuple[str, int, bool, int]]:
+    """(text, characters that count, whether inside <article> or <main>, element that holds it) of each line."""
     tokens = list(_tokens(page))
     ends = _closings(tokens)
-    out: list[tuple[str, int, bool]] = []
+    wrappers = None
+    out: list[tuple[str, int, bool, int]] = []
     spans: list[tuple[str, bool]] = []  # of the line being read: text, in a link
-    links, mains, items, skip_to = 0, [], 0, -1
+    links, mains, homes, items, skip_to = 0, [], [], 0, -1
 
     def line() -> None:
         text = " ".join(entities.unescape("".join(s for s, _ in spans)).split())
-        linked = items and spans and all(inside or not s.strip() for s, inside in spans)
+        linked = items and not mains and spans and all(inside or not s.strip() for s, inside in spans)
         spans.clear()
         if text:
-            out.append((text, 0 if linked else len(text), bool(mains)))
+            out.append((text, 0 if linked else len(text), bool(mains), homes[-1] if homes else -1))
 
     def gap() -> None:
         line()
-        out.extend([("", 0, bool(mains))] * window)
+        out.extend([("", 0, bool(mains), -1)] * window)
 
     for k, (name, closing, attributes, before) in enumerate(tokens):
         if k <= skip_to:
@@ -126,6 +164,8 @@ def lines(page: str, window: int = WINDOW) -> list[tuple[str, int, bool]]:
             line()
         elif name == "br":
             spans.append((" ", links > 0))
+        while homes and k >= ends[homes[-1]]:
+            homes.pop()
         if name == "a":
             links = 0 if closing else 1
         elif name == "li":
@@ -133,6 +173,9 @@ def lines(page: str, window: int = WINDOW) -> list[tuple[str, int, bool]]:
         if closing:
             continue
         kind = _kind(name, attributes)
+        if kind.startswith("class"):
+            wrappers = wrappers or _Wrappers(tokens, ends, least)
+            kind = kind.removeprefix("class").strip() if k in wrappers else "drop"
         if kind == "main":
             gap()
             mains.append(ends.get(k, len(tokens)))
@@ -142,14 +185,16 @@ def lines(page: str, window: int = WINDOW) -> list[tuple[str, int, bool]]:
             if stop is None:  # never closed: up to the article, or to the end
                 stop = next((j - 1 for j in range(k + 1, len(tokens)) if not tokens[j][1] and (tokens[j][0] in ("article", "main", "body") or tokens[j][0] == "h1")), len(tokens))
             skip_to, links = stop, 0
+        if name in HOMES and kind != "drop" and k in ends:
+            homes.append(k)
     line()
     return out
 
 
 def main_text(page: str, window: int = WINDOW, least: int = LEAST) -> str:
     """The blocks between surges and dives of the window sums, a line each."""
-    found = lines(page, window)
-    counts = [n * (least if marked else 1) for _, n, marked in found]
+    found = lines(page, window, least)
+    counts = [n * (least if marked else 1) for _, n, marked, _ in found]
     sums = [sum(counts[max(k, 0) : k + window]) for k in range(1 - window, len(counts))]
     stretches, start = [], None
     for k, total in enumerate([*sums, 0]):
@@ -160,7 +205,12 @@ def main_text(page: str, window: int = WINDOW, least: int = LEAST) -> str:
             stretches.append((max(sums[start:k]), range(max(0, start - window + 1), min(k, len(found)))))  # dive
             start = None
     level = min(least, max((peak for peak, _ in stretches), default=0))
-    kept = [found[k][0] for peak, covered in stretches if peak >= level for k in covered if found[k][1]]
+    chosen = [covered for peak, covered in stretches if peak >= level]
+    homes = {found[k][3] for covered in chosen for k in covered if found[k][1]}
+    kept = []
+    for _, covered in stretches:
+        between = chosen[0].start <= covered.start <= chosen[-1].start
+        kept += [found[k][0] for k in covered if found[k][1] and (between or found[k][3] in homes)]
     return "\n".join(kept)
 
 

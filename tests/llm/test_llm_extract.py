@@ -50,3 +50,25 @@ def test_table_with_nulls_repeats_and_clashes(spark):
     assert got.columns == ["page_id", "url", "html", "text", "_text"]
     assert sorted((r["page_id"] or 0, len(r["_text"])) for r in got.collect()) == [(0, 0), (1, 1), (1, 1), (2, 399_999)]
     assert extract(spark.createDataFrame([], "html string")).collect() == []
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "has-comments", "social-post", "legal-news", "layout no-sidebar"])
+def test_classes_that_only_hold_a_known_word(name):
+    assert main_text(f"<article class='{name}'><p>Kept</p></article>") == "Kept"
+    assert main_text(f"<div id='{name}'><p>Kept</p></div>") == "Kept"
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "ad_slot-2", "site-header", "x sidebar", "cookie-notice", "related-posts"])
+def test_whole_known_classes(name):
+    assert main_text(f"<article><p>{LONG}</p><div class='{name}'>gone</div></article>") == LONG
+    # not for an element with most of the text, unless the article is elsewhere
+    assert main_text(f"<nav>{LONG * 3}</nav><div class='{name}'><h1>T</h1><p>{LONG}</p></div><p>x</p>").startswith(f"T\n{LONG}")
+    assert main_text(f"<article><p>Text</p></article><div class='{name}'>{LONG}</div>") == "Text"
+
+
+def test_link_lists_and_short_blocks_of_the_article():
+    sources = "<ul><li><a href=1>Source one</a></li><li><a href=2>Source two</a></li></ul>"
+    assert main_text(f"{sources}<article><p>Text</p>{sources}</article>{sources}") == "Text\nSource one\nSource two"
+    advert = "<div class=ad>Buy</div>"
+    assert main_text(f"<div><p>{LONG}</p>{advert}<p>The end.</p></div><div>other</div>") == f"{LONG}\nThe end."
+    assert main_text(f"<div>{LONG}</div>{advert}<div>Short.</div>{advert}<div>{LONG}</div>{advert}<div>tiny</div>") == f"{LONG}\nShort.\n{LONG}"
