@@ -64,12 +64,25 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
                 row.clear()
 
 
+def _header(first: list[str | None], width: int) -> list[str]:
+    """Names for the widest row of the sheet; repeated ones get ``_2``, ``_3``, ... so that no cell is lost."""
+    names: dict[str, None] = {}
+    taken = set(first)
+    for i in range(width):
+        name = base = (first[i] if i < len(first) else None) or f"Unnamed: {i}"
+        k = 2
+        while name in names or (name != base and name in taken):
+            name, k = f"{base}_{k}", k + 1
+        names[name] = None
+    return list(names)
+
+
 def _decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         for path, content in zip(part["path"], part["content"]):
             rows = list(sheet_rows(content))
             if rows:
-                header = [h or f"Unnamed: {i}" for i, h in enumerate(rows[0])]
+                header = _header(rows[0], max(map(len, rows)))
                 cells = [dict(zip(header, r + [None] * (len(header) - len(r)))) for r in rows[1:]]
                 yield pd.DataFrame({"path": path, "row": range(len(cells)), "cells": cells})
 

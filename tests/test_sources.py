@@ -46,6 +46,14 @@ def test_excel(spark, tmp_path):
     assert sorted(map(tuple, df.collect()), key=str) == [("1", "Ana", "True"), ("2.5", None, "False"), ("7", "Bo", None)]
 
 
+def test_excel_keeps_every_cell(spark, tmp_path):
+    shared = ["Id", "Name", "Name_2"]
+    (tmp_path / "a.xlsx").write_bytes(workbook([["Id", "Name", "Name", "Name_2"], [1, 2, 3, 4], [5, 6, 7, 8, 9, 10]], shared))
+    df = readers.read_table(spark, str(tmp_path), "xlsx")
+    assert df.columns == ["Id", "Name", "Name_3", "Name_2", "Unnamed: 4", "Unnamed: 5"]
+    assert sorted(map(tuple, df.collect()), key=str) == [("1", "2", "3", "4", None, None), ("5", "6", "7", "8", "9", "10")]
+
+
 def test_csv(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text('id,text,n\n1,"a ""quoted"", b\nline",NA\n2,N/A,nan\n3,na, 5\n')
