@@ -5,26 +5,34 @@ Two texts of lengths a and b with similarity >= t differ by at most
 each text on its own, (1) the lengths it can pair with and (2) how many of its
 letter pairs (or letters) a partner can lack. Taking one more of them than that,
 in one global order from rare to common, gives every text a few *keys* such that
-any two similar texts share a key. Candidates are joined on keys; nothing similar
-is lost, and texts without a common key are never compared.
+any two similar texts share one that both keep at the same place of their common
+part. That place is moved by no more than the characters inserted before it, or
+removed, so a key carries its place, and texts meet on a key only where lengths and
+places fit. Nothing similar is lost, texts without a common key are never compared,
+and keys are made by built-in functions alone.
+
+Star clusters go through the values in order, in batches of ranks. A batch is as large as
+its candidate pairs allow - all values, where they are few - and twice the one before
+at most. Its similar pairs settle its centres, and everything after the batch that is
+similar to a new centre leaves with it. So a crowd of alike values never forms
+its pairs, and the number of batches is bounded by the logarithm of the number of
+values and the square root of the candidate pairs over FEW_PAIRS.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from siftframe.functions.similarity import normal_form, similar_udf, similarity
 from siftframe.functions.values import col, dtype_of, show_cell
-from siftframe.operators.joins import BROADCAST_ROWS, is_small, lookup
+from siftframe.operators.joins import BROADCAST_ROWS, lookup
 from siftframe.operators.profile import ColumnProfile
-from siftframe.operators.rowid import ROW_INDEX
+from siftframe.operators.rowid import ROW_INDEX, with_row_index
 from siftframe.work import written
 
 # --- fixed values -----------------------------------------------------------
@@ -33,15 +41,15 @@ CANDIDATE_TYPES = ("categorical", "text")
 # ----------------------------------------------------------------------------
 
 EPS = 1e-6
-COMMON_TOKENS = 4096  # tokens whose frequency is looked at; all others count as rare
+COMMON_TOKENS = 64  # the most frequent letters and letter pairs are keys last; all others count as rare
 EDIT_FILTER_LENGTH = 512  # the built-in edit distance is a cheap test up to this length
 BROADCAST_LETTERS = 50_000_000  # most letters of all texts together for them to be broadcast
 TILE = 2000  # values of one key compared in one task
-HEADS = 16  # least number of leading values per key looked at in a round
+BATCH = 1000  # least number of values in a batch
 GROUP_RECORD = 100_000  # members of a group in one record, about
-ROUND_PAIRS = 4_000_000  # pairs a round may look at before HEADS per key applies
-FEW_PAIRS = 20_000_000  # candidate pairs that are verified at once; more if that is
+FEW_PAIRS = 20_000_000  # candidate pairs of a batch; more if that is
 VALUE_PAIRS = 200  # so many per value
+ONE_TASK = 500_000  # similar pairs that one task may go through in order
 
 
 def candidate_columns(prof: list[ColumnProfile]) -> list[str]:
@@ -61,75 +69,58 @@ def text_frequencies(df: DataFrame, column: str, row_id: str = ROW_INDEX) -> Dat
 # --- keys -------------------------------------------------------------------
 
 
-def _common_tokens(nodes: DataFrame) -> dict[str, int]:
-    """Rank of the most frequent letters and letter pairs; the rarer of them rank lower."""
-    places = F.sequence(F.lit(1), F.greatest(F.length("norm") - 1, F.lit(1)))
-    pairs = F.transform(places, lambda i: F.substring(F.col("norm"), i, F.lit(2)))
-    letters = F.split("norm", "")
-    token = F.explode(F.array_distinct(F.concat(pairs, letters))).alias("token")
-    top = nodes.select(token).groupBy("token").count().orderBy(F.desc("count"), "token").limit(COMMON_TOKENS).collect()
-    return {r["token"]: len(top) - i for i, r in enumerate(top)}
+def _grams(size: int) -> Column:
+    """(token, place) of the letters or letter pairs of ``norm``, repeats included."""
+    letters = F.filter(F.split("norm", ""), lambda c: c != "")
+    following = letters if size == 1 else F.zip_with(letters, F.slice(letters, 2, 1 << 30), lambda a, b: F.concat(a, b))
+    # beyond the shorter array the second letter is missing
+    known = F.array_compact(following)
+    return F.transform(known, lambda token, i: F.struct(token.alias("token"), i.alias("place")))
 
 
-def _pair_keys_udf(r: float, rank: dict[str, int]):
-    slack = max(4 * r / (1 + r), 2 * r / (1 - r)) if r < 1 else math.inf
+def _common_tokens(nodes: DataFrame) -> list[str]:
+    """The most frequent letters and letter pairs, the rarer first."""
+    tokens = F.array_distinct(F.concat(*[F.transform(_grams(n), lambda g: g["token"]) for n in (1, 2)]))
+    counts = nodes.select(F.explode(tokens).alias("token")).groupBy("token").count()
+    return [r["token"] for r in counts.orderBy(F.desc("count"), "token").limit(COMMON_TOKENS).collect()][::-1]
 
-    @pandas_udf("array<string>")
-    def keys(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            pairs = {text[i : i + 2] for i in range(len(text) - 1)}
-            lacking = slack * len(text) + EPS
-            if len(pairs) <= lacking:
-                out.append([])  # a partner may share no letter pair at all
-            else:
-                out.append(sorted(pairs, key=lambda p: (rank.get(p, 0), p))[: int(lacking) + 1])
-        return pd.Series(out)
 
-    return keys
+def _keys(size: int, slack: float, common: list[str]) -> Column:
+    """One gram more than a partner can lack, rare ones first; none if it can lack all."""
+    lacking = F.floor(F.length("norm") * F.lit(slack) + EPS).cast("int")
+    rank = lambda token: F.array_position(F.lit(common), token) if common else F.lit(0)
+    ordered = F.array_sort(F.transform(_grams(size), lambda g: F.struct(rank(g["token"]).alias("rank"), g["token"].alias("token"), g["place"].alias("place"))))
+    return F.when(F.size(ordered) > lacking, F.slice(ordered, F.lit(1), lacking + 1)).otherwise(F.slice(ordered, 1, 0))
 
 
-def _letter_keys_udf(r: float, rank: dict[str, int]):
-    slack = 2 * r / (1 + r)
+def _keyed(nodes: DataFrame, threshold: float, common: list[str]) -> DataFrame:
+    """One row per key of a text: ``length``, ``token`` and ``place`` beside the other columns but ``norm``.
 
-    @pandas_udf("array<string>")
-    def keys(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            seen: dict[str, int] = {}
-            tokens = []
-            for ch in text:
-                seen[ch] = seen.get(ch, 0) + 1
-                tokens.append((rank.get(ch, 0), -seen[ch], ch))
-            tokens.sort()
-            out.append([f"{ch}#{-n}" for _, n, ch in tokens[: int(slack * len(text) + EPS) + 1]])
-        return pd.Series(out)
-
-    return keys
-
-
-def _with_keys(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Add ``length`` and ``keys``: letter-pair keys, and letter keys where pairs may not suffice."""
+    A text all of whose letter pairs a partner can lack has letters as keys. Those that may pair with such a
+    text, by length, have both.
+    """
     r = 1 - threshold / 100
-    rank = _common_tokens(nodes)
-    keyed = written(
-        nodes.withColumn("length", F.length("norm")).withColumn("pair_keys", _pair_keys_udf(r, rank)("norm")), "keys"
-    )
-    longest = keyed.where(F.size("pair_keys") == 0).agg(F.max("length")).first()[0]
-    if longest is None:
-        return keyed.withColumnRenamed("pair_keys", "keys")
-    # partners of a text without pair keys are at most this long
-    reach = longest * (1 + r) / (1 - r) + EPS if r < 1 else math.inf
-    letters = F.when(F.col("length") <= F.lit(reach), _letter_keys_udf(r, rank)("norm")).otherwise(
-        F.array().cast("array<string>")
-    )
-    return written(keyed.withColumn("letter_keys", letters), "keys").select(
-        *nodes.columns, "length", F.concat("pair_keys", "letter_keys").alias("keys")
-    )
-
-
-def _length_fits(a: Column, b: Column, threshold: float) -> Column:
-    return F.abs(a - b) <= (1 - threshold / 100) * (a + b) + EPS
+    # taking one letter out breaks two pairs, putting one in breaks one; a partner as long as that allows
+    pairs = max(4 * r / (1 + r), 2 * r / (1 - r)) if r < 1 else math.inf
+    length = F.length("norm")
+    keys = []
+    if pairs < 1:
+        keys.append(_keys(2, pairs, common))
+    # pairs lack for lengths n with n - 1 <= pairs * n; partners of these are at most so long
+    reach = 1 / (1 - pairs) * (1 + r) / (1 - r) + EPS if pairs < 1 else math.inf
+    letters = _keys(1, 2 * r / (1 + r), common)
+    keys.append(F.when(length <= F.lit(reach), letters).otherwise(F.slice(letters, 1, 0)))
+    rest = [c for c in nodes.columns if c != "norm"]
+    found = nodes.select(*rest, length.alias("length"), F.explode(F.concat(*keys)).alias("key"))
+    return found.select(*rest, "length", F.col("key.token").alias("token"), F.col("key.place").alias("place"))
+
+
+def _fits(threshold: float) -> Column:
+    """Whether lengths, and the places of a shared key, of sides 1 and 2 allow the threshold."""
+    longer = F.col("length2") - F.col("length1")
+    edits = (1 - threshold / 100) * (F.col("length1") + F.col("length2")) + EPS
+    moved = 2 * (F.col("place2") - F.col("place1"))
+    return (F.abs(longer) <= edits) & (moved >= longer - edits) & (moved <= longer + edits)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, small: bool) -> DataFrame:
@@ -150,31 +141,36 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, small: bool)
     return both.where(near).where(similar("norm1", "norm2")).drop("norm1", "norm2")
 
 
-def _fits_broadcast(texts: DataFrame) -> bool:
-    """At most BROADCAST_ROWS texts with BROADCAST_LETTERS letters together."""
-    row = texts.agg(F.count("*").alias("n"), F.sum(F.length("norm")).alias("letters")).first()
-    return row["n"] <= BROADCAST_ROWS and (row["letters"] or 0) <= BROADCAST_LETTERS
+class _Facts(NamedTuple):
+    n: int
+    small: bool  # at most BROADCAST_ROWS texts with BROADCAST_LETTERS letters together
+
+
+def _facts(texts: DataFrame) -> _Facts:
+    row = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("norm")), F.lit(0)).alias("letters")).first()
+    return _Facts(row["n"], row["n"] <= BROADCAST_ROWS and row["letters"] <= BROADCAST_LETTERS)
 
 
 # --- all similar pairs ------------------------------------------------------
 
 
-def _tiled_candidates(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (id1 < id2) sharing a key.
+def _candidates(left: DataFrame, right: DataFrame, first: Column, threshold: float, heavy: bool) -> DataFrame:
+    """Distinct (id1, id2) of keyed texts that share a fitting key and for which ``first`` holds.
 
-    The values of a frequent key are cut into tiles, and each pair of tiles is a
-    group of its own, so no task compares more than TILE x TILE values of a key.
+    If there may be ``heavy`` keys, with more than TILE texts on the right, these texts are cut into parts, and the
+    left ones meet every part, so that no task compares all texts of such a key.
     """
-    k = nodes.select("id", "length", F.explode("keys").alias("key"))
-    counts = k.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE)
-    tiles = counts.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    k = lookup(k, tiles, "key").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    place = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    left = k.select(F.col("id").alias("id1"), F.col("length").alias("length1"), "key", place.alias("i"), every.alias("j"))
-    right = k.select(F.col("id").alias("id2"), F.col("length").alias("length2"), "key", every.alias("i"), place.alias("j"))
-    fits = (F.col("id1") < F.col("id2")) & _length_fits(F.col("length1"), F.col("length2"), threshold)
-    return left.join(right, ["key", "i", "j"]).where(fits).select("id1", "id2").distinct()
+    side = lambda d, n: d.select("token", *[F.col(c).alias(f"{c}{n}") for c in d.columns if c not in ("token", "part", "parts")])
+    on = ["token"]
+    one, two = side(left, 1), side(right, 2)
+    if heavy:
+        counts = right.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > TILE)
+        parts = written(counts.select("token", F.ceil(F.col("n") / TILE).cast("int").alias("parts")), "heavy-keys")
+        known = F.coalesce("parts", F.lit(1))
+        one = lookup(one, parts, "token").withColumn("part", F.explode(F.sequence(F.lit(0), known - 1))).drop("parts")
+        two = lookup(two, parts, "token").withColumn("part", F.pmod(F.xxhash64("id2"), known).cast("int")).drop("parts")
+        on.append("part")
+    return one.join(two, on).where(first & _fits(threshold)).select("id1", "id2").distinct()
 
 
 def similar_pairs(df: DataFrame, column: str, threshold: float = DEFAULT_THRESHOLD, row_id: str = ROW_INDEX) -> DataFrame:
@@ -187,7 +183,10 @@ def similar_pairs(df: DataFrame, column: str, threshold: float = DEFAULT_THRESHO
         F.col("first_row").alias("id"), "value", normal_form(F.col("value")).alias("norm")
     )
     values = written(values.where("norm <> ''"), "values")
-    pairs = _verified(_tiled_candidates(_with_keys(values, threshold), threshold), values, threshold, _fits_broadcast(values))
+    keyed = written(_keyed(values.select("id", "norm"), threshold, _common_tokens(values)), "keys")
+    facts = _facts(values)
+    pairs = _candidates(keyed, keyed, F.col("id1") < F.col("id2"), threshold, facts.n > TILE)
+    pairs = _verified(pairs, values, threshold, facts.small)
     one = values.select(F.col("id").alias("id1"), F.col("value").alias("value1"))
     two = values.select(F.col("id").alias("id2"), F.col("value").alias("value2"))
     named = pairs.join(one, "id1").join(two, "id2")
@@ -197,118 +196,89 @@ def similar_pairs(df: DataFrame, column: str, threshold: float = DEFAULT_THRESHO
 # --- star clusters ----------------------------------------------------------
 
 
-def _better(order1: Iterable[str], order2: Iterable[str]) -> Column:
-    return F.struct(*[F.col(c) for c in order1]) < F.struct(*[F.col(c) for c in order2])
+def _candidate_pairs(keyed: DataFrame) -> float:
+    """Pairs of texts per key, added up over the keys; the key counts are combined map-side."""
+    counts = keyed.groupBy("token").agg(F.count("*").alias("n"))
+    return counts.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))).first()[0]
 
 
-def _salted_join(centers: DataFrame, others: DataFrame) -> DataFrame:
-    """Join on key; a key shared by very many values is spread over several tasks."""
-    if is_small(centers, BROADCAST_ROWS):
-        return others.join(F.broadcast(centers), "key")
-    salts = 16
-    spread = centers.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return others.withColumn("salt", F.pmod(F.xxhash64("id2"), F.lit(salts)).cast("int")).join(spread, ["key", "salt"])
+def _in_order(links: pd.DataFrame) -> pd.DataFrame:
+    """Members and their centres, going through the linked texts from the best rank on."""
+    centre: dict[int, int] = {}
+    members = []
+    for worse, better in links.sort_values(["worse", "better"])[["worse", "better"]].itertuples(index=False):
+        # links of a text come together, the best neighbour first; neighbours are settled before
+        if worse not in centre and centre.get(better, better) == better:
+            centre[worse] = better
+            members.append((worse, better))
+    return pd.DataFrame(members, columns=["rank", "centre"])
 
 
-def _round(state: DataFrame, texts: DataFrame, threshold: float, heads: int, small: bool) -> DataFrame:
-    """Decide the leading values and everything similar to the new centres."""
-    open_keys = state.where("status = 'open'").select(
-        "id", "weight", "length", F.size("keys").alias("n_keys"), F.explode("keys").alias("key")
-    )
-    by_rank = Window.partitionBy("key").orderBy("weight", "id")
-    lead = open_keys.withColumn("place", F.row_number().over(by_rank)).where(F.col("place") <= heads)
-    lead = written(lead.drop("place"), "leading")
-    # a value leading in all its keys has every better undecided candidate among the leading
-    exposed = lead.groupBy("id", "n_keys").agg(F.count("*").alias("n")).where("n = n_keys").select("id")
-    one = lead.select(F.col("id").alias("id1"), F.col("weight").alias("w1"), F.col("length").alias("l1"), "key")
-    two = lead.join(exposed, "id", "left_semi").select(
-        F.col("id").alias("id2"), F.col("weight").alias("w2"), F.col("length").alias("l2"), "key"
-    )
-    better = _better(("w1", "id1"), ("w2", "id2")) & _length_fits(F.col("l1"), F.col("l2"), threshold)
-    rivals = _verified(one.join(two, "key").where(better).select("id1", "id2").distinct(), texts, threshold, small)
-    centers = written(exposed.join(rivals.select(F.col("id2").alias("id")), "id", "left_anti"), "centers")
+def _one_by_one(links: DataFrame) -> DataFrame:
+    return links.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_in_order, "rank long, centre long")
 
-    marks = state.join(centers, "id", "left_semi")
-    c = marks.select(
-        F.col("id").alias("id1"), F.col("weight").alias("w1"), F.col("length").alias("l1"), F.explode("keys").alias("key")
-    )
-    # members are looked at again: a centre found later may rank before the present one
-    v = (
-        state.where("status <> 'center'")
-        .join(centers, "id", "left_anti")
-        .select(
-            F.col("id").alias("id2"), F.col("weight").alias("w2"), F.col("length").alias("l2"),
-            F.col("center").alias("held"), F.explode("keys").alias("key"),
-        )
-    )
-    gain = F.col("held").isNull() | (F.struct(F.col("w1").alias("weight"), F.col("id1").alias("id")) < F.col("held"))
-    better = _better(("w1", "id1"), ("w2", "id2")) & _length_fits(F.col("l1"), F.col("l2"), threshold)
-    near = _salted_join(c, v).where(better & gain).select("id1", "id2", "w1").distinct()
-    found = (
-        _verified(near, texts, threshold, small)
-        .groupBy(F.col("id2").alias("id"))
-        .agg(F.min(F.struct(F.col("w1").alias("weight"), F.col("id1").alias("id"))).alias("found"))
-    )
-    is_center = centers.withColumn("is_center", F.lit(True))
-    return (
-        state.join(is_center, "id", "left")
-        .join(found, "id", "left")
-        .select(
-            "id", "weight", "length", "keys",
-            F.when(F.col("is_center"), F.lit("center"))
-            .when(F.col("found").isNotNull(), F.lit("member"))
-            .otherwise(F.col("status"))
-            .alias("status"),
-            F.coalesce("found", "center").alias("center"),
-        )
-    )
 
+def _settled(links: DataFrame) -> DataFrame:
+    """(rank, centre) of the members that the similar pairs (better, worse) make.
 
-def _candidate_pairs(keys: DataFrame) -> int:
-    """Pairs of values per key, added up over the keys; the key counts are combined map-side."""
-    counts = keys.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    return counts.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))).first()[0]
-
-
-def _settled(state: DataFrame, texts: DataFrame, threshold: float, small: bool) -> DataFrame:
-    """Decide all open values: every candidate pair is verified once, and rounds go over the links left.
-
-    A value without an undecided better neighbour is a centre and its neighbours are members, so
-    a round takes the links of all those away; values without links are centres at once.
+    A text without an undecided better neighbour is a centre and its neighbours are members.
+    Few pairs are gone through in one task, in order; else a round takes the pairs of all such
+    centres away, so that rounds are as many as the longest chain of better neighbours.
     """
-    nodes = written(state.where("status = 'open'").select("id", "weight", "length", "keys"), "open")
-    pairs = _tiled_candidates(nodes, threshold)
-    weight = lambda n: nodes.select(F.col("id").alias(f"id{n}"), F.col("weight").alias(f"w{n}"))
-    found = _verified(pairs, texts, threshold, small).join(weight(1), "id1").join(weight(2), "id2")
-    first = _better(("w1", "id1"), ("w2", "id2"))
-    best = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
-    links = found.select(best("id1", "id2").alias("better"), best("w1", "w2").alias("weight"), best("id2", "id1").alias("worse"))
-    every = links = written(links, "links")
-    members = links.select(F.col("worse").alias("id")).limit(0)
+    if links.count() <= ONE_TASK:
+        return _one_by_one(links)
+    every, members = links, links.select(F.col("worse").alias("rank")).limit(0)
     while not links.isEmpty():
         heads = links.select("better").join(links.select(F.col("worse").alias("better")), "better", "left_anti").distinct()
-        taken = written(links.join(heads, "better", "left_semi").select(F.col("worse").alias("id")).distinct(), "members")
+        taken = written(links.join(heads, "better", "left_semi").select(F.col("worse").alias("rank")).distinct(), "members")
         members = members.unionByName(taken)
         for end in ("better", "worse"):
-            links = links.join(taken.select(F.col("id").alias(end)), end, "left_anti")
+            links = links.join(taken.select(F.col("rank").alias(end)), end, "left_anti")
         links = written(links, "links")
     members = written(members, "members")
-    from_centers = every.join(members.select(F.col("id").alias("better")), "better", "left_anti")
-    own = from_centers.groupBy(F.col("worse").alias("id")).agg(F.min(F.struct("weight", F.col("better").alias("id"))).alias("found"))
-    # values settled before may be nearer in rank to a centre found only now
-    centers = nodes.join(members, "id", "left_anti").select(
-        F.col("id").alias("id1"), F.col("weight").alias("w1"), F.col("length").alias("l1"), F.explode("keys").alias("key")
-    )
-    held = state.where("status = 'member'").select(
-        F.col("id").alias("id2"), F.col("length").alias("l2"), F.col("center").alias("held"), F.explode("keys").alias("key")
-    )
-    if not held.isEmpty():
-        gain = F.struct(F.col("w1").alias("weight"), F.col("id1").alias("id")) < F.col("held")
-        near = _salted_join(centers, held).where(gain & _length_fits(F.col("l1"), F.col("l2"), threshold))
-        late = _verified(near.select("id1", "id2", "w1").distinct(), texts, threshold, small)
-        late = late.groupBy(F.col("id2").alias("id")).agg(F.min(F.struct(F.col("w1").alias("weight"), F.col("id1").alias("id"))).alias("found"))
-        own = own.unionByName(late)
-    return state.join(own, "id", "left").withColumn("center", F.coalesce("found", "center")).drop("found")
+    from_centres = every.join(members.select(F.col("rank").alias("better")), "better", "left_anti")
+    return from_centres.groupBy(F.col("worse").alias("rank")).agg(F.min("better").alias("centre"))
+
+
+def _ranked(nodes: DataFrame, most: int) -> DataFrame:
+    """The nodes (weight, id, norm) with their rank by weight and id; there are ``most`` of them or fewer."""
+    if most <= BROADCAST_ROWS:
+        # so few rows are numbered in one task
+        return nodes.withColumn("rank", F.row_number().over(Window.orderBy("weight", "id")) - F.lit(1).cast("long"))
+    return with_row_index(nodes, ["weight", "id"], name="rank")
+
+
+def _clustered(nodes: DataFrame, facts: _Facts, threshold: float) -> DataFrame:
+    """(rank, centre) of all members among the nodes (rank, norm), ranks 0 to n - 1."""
+    texts, n = nodes.select(F.col("rank").alias("id"), "norm"), facts.n
+    before = F.col("id1") < F.col("id2")
+    similar = lambda pairs: _verified(pairs, texts, threshold, facts.small)
+    named = lambda pairs: pairs.select(F.col("id1").alias("better"), F.col("id2").alias("worse"))
+    if n <= BATCH:  # any keys will do, and one task has all pairs
+        keyed = _keyed(texts, threshold, [])
+        return _one_by_one(named(similar(_candidates(keyed, keyed, before, threshold, False))))
+    keyed = written(_keyed(texts, threshold, _common_tokens(nodes)), "keys")
+    few = max(FEW_PAIRS, VALUE_PAIRS * n)
+    opened, low, size = keyed, 0, n
+    if n * (n - 1) / 2 > few and _candidate_pairs(keyed) > few:
+        size = BATCH
+    members = None
+    while low < n:
+        inside = opened.where(F.col("id") < low + size)
+        while size > BATCH and low + size < n and _candidate_pairs(inside) > few:
+            size = max(BATCH, size // 2)
+            inside = opened.where(F.col("id") < low + size)
+        found = written(_settled(written(named(similar(_candidates(inside, inside, before, threshold, size > TILE))), "links")), "members")
+        if low + size < n:
+            after = opened.where(F.col("id") >= low + size)
+            centres = inside.join(found.select(F.col("rank").alias("id")), "id", "left_anti")
+            late = similar(_candidates(centres, after, F.lit(True), threshold, True))
+            late = written(late.groupBy(F.col("id2").alias("rank")).agg(F.min("id1").alias("centre")), "late-members")
+            opened = written(after.join(late.select(F.col("rank").alias("id")), "id", "left_anti"), "open-keys")
+            found = found.unionByName(late)
+        members = found if members is None else members.unionByName(found)
+        low, size = low + size, 2 * size
+    return members
 
 
 def star_clusters(df: DataFrame, column: str, threshold: float = DEFAULT_THRESHOLD, row_id: str = ROW_INDEX) -> DataFrame:
@@ -318,43 +288,26 @@ def star_clusters(df: DataFrame, column: str, threshold: float = DEFAULT_THRESHO
     grouped value becomes a centre and takes in all ungrouped values similar to
     *it* - not to each other. Equivalently: a value is a centre if no better value
     similar to it is one, and any other value belongs to its best similar centre.
-    While keys are so common that their pairs are many, only the leading undecided
-    values of a key are compared, and everything similar to the new centres is settled:
-    a crowd of alike values goes in one round and never forms all its pairs. The pairs
-    of the rest are verified once, and rounds go over the similar ones alone.
     """
     raw = written(text_frequencies(df, column, row_id).withColumn("norm", normal_form(F.col("value"))), "texts")
     raw = raw.where("norm <> ''")
     # spellings equal in normal form share their fate; the best of them stands for all
-    nodes = written(
-        raw.groupBy("norm")
-        .agg(F.min(F.struct((-F.col("n")).alias("weight"), F.col("first_row").alias("id"))).alias("best"))
-        .select("best.id", "best.weight", "norm"),
-        "nodes",
-    )
-    texts = nodes.select("id", "norm")
-    state = written(
-        _with_keys(nodes, threshold).select(
-            "id", "weight", "length", "keys",
-            F.lit("open").alias("status"),
-            F.lit(None).cast(T._parse_datatype_string("weight bigint, id bigint")).alias("center"),
-        ),
-        "state",
-    )
-    small = _fits_broadcast(texts)
-    few = max(FEW_PAIRS, VALUE_PAIRS * nodes.count())
-    while _candidate_pairs(opened := state.where("status = 'open'")) > few:
-        left = opened.agg(F.sum(F.size("keys"))).first()[0]
-        state = written(_round(state, texts, threshold, max(HEADS, ROUND_PAIRS // left), small), "state")
-    state = written(_settled(state, texts, threshold, small), "state")
-    placed = state.select("id", F.coalesce("center.id", "id").alias("center_id")).join(nodes, "id")
-    members = raw.join(placed.select("norm", "center_id"), "norm").select("center_id", "value", "n", "first_row")
-    heads = members.where("first_row = center_id").select(
-        "center_id", F.col("value").alias("canonical"), F.col("n").alias("canonical_n")
+    best = raw.groupBy("norm").agg(F.min(F.struct((-F.col("n")).alias("weight"), F.col("first_row").alias("id"))).alias("best"))
+    nodes = written(_ranked(best.select("best.weight", "best.id", "norm"), raw.count()), "nodes")
+    facts = _facts(nodes)
+    if not facts.n:
+        none = F.lit(0).cast("long")
+        return raw.limit(0).select(F.col("value").alias("canonical"), F.col("value").alias("member"), "n", "first_row", none.alias("canonical_n"))
+    placed = nodes.select("norm", "rank").join(_clustered(nodes, facts, threshold), "rank", "left")
+    members = raw.join(placed.select("norm", F.coalesce("centre", "rank").alias("centre")), "norm")
+    members = written(members.select("centre", "value", "n", "first_row"), "clusters")
+    best = nodes.select(F.col("rank").alias("centre"), F.col("id").alias("first_row"))
+    heads = members.join(best, ["centre", "first_row"]).select(
+        "centre", F.col("value").alias("canonical"), F.col("n").alias("canonical_n")
     )
-    sizes = members.groupBy("center_id").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = members.groupBy("centre").agg(F.count("*").alias("size")).where("size > 1")
     return (
-        members.join(sizes.select("center_id").join(heads, "center_id"), "center_id")
+        members.join(sizes.select("centre").join(heads, "centre"), "centre")
         .select("canonical", F.col("value").alias("member"), "n", "first_row", "canonical_n")
     )
 

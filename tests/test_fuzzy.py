@@ -101,19 +101,51 @@ def test_frequent_keys_are_tiled(spark, monkeypatch):
     assert got == want
 
 
-@pytest.mark.parametrize("threshold,heads,few", [(50, None, None), (75, 1, 0), (80, None, None), (80, 2, 0), (80, 2, 300), (90, 1, 0)])
-def test_stars_equal_the_sequential_grouping(spark, monkeypatch, threshold, heads, few):
-    if heads:  # few leading values per key: many rounds before (or instead of) all pairs left
-        monkeypatch.setattr(Z, "HEADS", heads)
-        monkeypatch.setattr(Z, "ROUND_PAIRS", 0)
+@pytest.mark.parametrize("threshold,batch,few,one_task", [(50, None, None, True), (75, 4, 0, True), (80, None, None, False), (80, 6, 300, False)])
+def test_stars_equal_the_sequential_grouping(spark, monkeypatch, threshold, batch, few, one_task):
+    if batch:  # few candidate pairs allowed: many batches
+        monkeypatch.setattr(Z, "BATCH", batch)
         monkeypatch.setattr(Z, "FEW_PAIRS", few)
         monkeypatch.setattr(Z, "VALUE_PAIRS", 0)
-    values = random_values(random.Random(threshold + (heads or 0)), 36 if heads else 110)
-    stars = Z.star_clusters(table(spark, values, 3 + (heads or 0)), "v", threshold)
+    if not one_task:
+        monkeypatch.setattr(Z, "ONE_TASK", -1)
+    values = random_values(random.Random(threshold + (batch or 0)), 36 if batch else 110)
+    stars = Z.star_clusters(table(spark, values, 3 + (batch or 0)), "v", threshold)
     got = {(r["canonical"], r["member"], r["n"]) for r in stars.collect()}
     assert got == slow_stars(values, threshold)
 
 
+def test_batches_are_few_and_a_crowd_never_forms_its_pairs(spark, monkeypatch):
+    values = [f"Customer#{i:09d}" for i in range(3000)]
+    monkeypatch.setattr(Z, "FEW_PAIRS", 0)
+    monkeypatch.setattr(Z, "VALUE_PAIRS", 0)
+    monkeypatch.setattr(Z, "BATCH", 100)
+    settled, sizes = Z._settled, []
+
+    def counted(links):
+        sizes.append(links.count())
+        return settled(links)
+
+    monkeypatch.setattr(Z, "_settled", counted)
+    got = {(r["canonical"], r["member"], r["n"]) for r in Z.star_clusters(table(spark, values), "v", 80).collect()}
+    assert got == slow_stars(values, 80)
+    assert len(sizes) <= 30 and sum(sizes) < 200_000  # all pairs are 4.5 million
+
+
+def test_candidates_are_bounded(spark):
+    """Rows out of the candidate join: texts of 14 random letters share rare keys at fitting places only."""
+    rng = random.Random(2)
+    values = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14)) for _ in range(3000)]
+    values += [v[:6] + "x" + v[7:] for v in values[:500]]
+    nodes = spark.createDataFrame(list(enumerate(values)), "id long, norm string")
+    keyed = Z._keyed(nodes, 85, Z._common_tokens(nodes))
+    found = Z._candidates(keyed, keyed, F.col("id1") < F.col("id2"), 85, False)
+    pairs = {(r["id1"], r["id2"]) for r in found.collect()}
+    assert pairs >= {(i, 3000 + i) for i in range(500) if values[i] != values[3000 + i]}
+    assert len(pairs) < 0.08 * len(values) ** 2 / 2
+    assert keyed.count() <= 10 * len(values)
+
+
 def test_many_dissimilar_values_take_few_writes(spark, monkeypatch):
     rng = random.Random(9)
     values = ["item-" + "".join(rng.choice("abcdefghijklmnop") for _ in range(14)) for _ in range(3000)]
