@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftframe.llm.common import attach, filled, fresh
@@ -26,7 +26,8 @@ BLOCK_BITS = 1 << 16  # positions of a block, so that one is an unsigned 16-bit
 BITS_PER_ROW = 16
 PROBES = 4  # at 16 bits a row, about 0.2 % of the unique rows are called possibly repeated
 PARTIAL_ROWS = 1 << 18  # rows of a task that one partial filter covers
-BROADCAST_BLOCKS = 8192  # of 8 KB each: 64 MB at most are broadcast
+BROADCAST_BLOCKS = 8192  # of 8 KB each: 64 MB at most are broadcast at a time
+SLICES = 32
 
 
 def _addresses(text: str, blocks: int) -> list:
@@ -84,27 +85,45 @@ def repeat_filter(docs: DataFrame, text: str) -> tuple[DataFrame, int, int]:
     return written(merged, "repeat-filter"), blocks, rows
 
 
-def mark_possible_repeats(docs: DataFrame, text: str, flag: str) -> tuple[DataFrame, int]:
-    """The rows with a boolean column: false means that no other row has this text."""
-    words, blocks, rows = repeat_filter(docs, text)
-    block, probes, bits = fresh(docs, "block", "probes", "words")
-    words = words.select(F.col("block").alias(block), F.col("words").alias(bits))
-    addressed = docs.withColumns(dict(zip((block, probes), (c for c in _addresses(text, blocks)))))
-    joined = addressed.join(F.broadcast(words) if blocks <= BROADCAST_BLOCKS else words, block, "left")
+def _hit(bits: str, probes: Column) -> Column:
+    """Whether all positions are set in the bit words."""
     hit = F.lit(True)
     for k in range(PROBES):
         spot = F.shiftrightunsigned(probes, 16 * k).bitwiseAND(F.lit(0xFFFF))
         word = F.element_at(bits, (F.shiftright(spot, 6) + 1).cast("int"))
         # the shift distance is a column, so the bit is tested in SQL
         hit = hit & (F.call_function("bit_get", word, spot.bitwiseAND(F.lit(63)).cast("int")) == 1)
-    return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(block, probes, bits), rows
+    return F.coalesce(hit, F.lit(False))
+
+
+def mark_possible_repeats(docs: DataFrame, text: str, flag: str) -> tuple[DataFrame, int]:
+    """The rows with a boolean column: false means that no other row has this text.
+
+    A filter of at most BROADCAST_BLOCKS blocks is broadcast. A larger one is cut into slices of so many, each a
+    broadcast that answers for the rows of its blocks, so that rows stay where they are: up to SLICES of them, with which
+    executors hold 2 GB for a billion rows. Beyond that the rows are joined with the filter on the block and shuffle whole,
+    so callers with more rows bring a digest instead of the text, as ``label_copies`` always does.
+    """
+    words, blocks, rows = repeat_filter(docs, text)
+    block, probes, bits = fresh(docs, "block", "probes", "words")
+    words = words.select(F.col("block").alias(block), F.col("words").alias(bits))
+    marked = docs.withColumns(dict(zip((block, probes), (c for c in _addresses(text, blocks))))).withColumn(flag, F.lit(False))
+    if blocks <= BROADCAST_BLOCKS:
+        parts = [F.broadcast(words)]
+    elif blocks <= BROADCAST_BLOCKS * SLICES:
+        parts = [F.broadcast(words.where(F.col(block).between(low, low + BROADCAST_BLOCKS - 1))) for low in range(0, blocks, BROADCAST_BLOCKS)]
+    else:
+        parts = [words]
+    for part in parts:
+        marked = marked.join(part, block, "left").withColumn(flag, F.col(flag) | _hit(bits, F.col(probes))).drop(bits)
+    return marked.drop(block, probes), rows
 
 
 def label_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, keep_id (the largest id of equal texts), group_size, kept, text_sha256."""
-    slim = docs.select(F.col(f"`{id}`").alias("id"), filled(text).alias("text"))
-    marked, rows = mark_possible_repeats(slim, "text", "maybe")
-    marked = marked.select("id", F.sha2("text", 256).alias("sha"), "maybe")
+    # no text passes this line, so whatever shuffles is a digest with an id
+    slim = docs.select(F.col(f"`{id}`").alias("id"), F.sha2(filled(text), 256).alias("sha"))
+    marked, rows = mark_possible_repeats(slim, "sha", "maybe")
     maybe = written(marked.where("maybe").drop("maybe"), "possible-repeats")
     groups = written(maybe.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("n")).where("n > 1"), "copy-groups")
     alone = marked.where("not maybe").select("id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n"))

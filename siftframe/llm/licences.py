@@ -13,6 +13,7 @@ rows are judged one by one, so ties, repeated rows and null ids are carried as t
 
 from __future__ import annotations
 
+from collections import Counter
 from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -170,10 +171,35 @@ def digest(text: Column) -> Column:
 
 
 def known_licences(spark: SparkSession, texts: list[tuple[str, str]] = TEXTS) -> DataFrame:
-    """(licence, digest, size): the canonical digests of known texts and the length of their canonical form."""
+    """(licence, digest, form): the canonical digests of known texts and their canonical form."""
     rows = spark.createDataFrame(texts, "licence string, text string")
     form = rows.select("licence", canonical(F.col("text")).alias("form"))
-    return form.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("licence").alias("licence"), F.max(F.char_length("form")).alias("size"))
+    return form.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("licence").alias("licence"), F.max("form").alias("form"))
+
+
+#: Beginnings of words that a step may have made out of something else.
+MADE = ("http", "favor", "organiz", "acknowledgment", "sublicense", "noninfring", "copyright", "and", "version")
+FRAGMENTS = 50
+
+
+def fragments(forms: list[str]) -> list[str]:
+    """A few pieces of words of which every text with one of the canonical forms holds one in lower case.
+
+    Empty if a form has none, or if more than FRAGMENTS would be needed: then every text has to be looked at.
+    """
+
+    def of(form: str) -> set[str]:
+        own = {w for w in form.split() if len(w) >= 4 and w.isascii() and w.isalpha() and not any(m in w for m in MADE) and "licens" not in w}
+        return own | ({"licen"} if "licens" in form else set())
+
+    left, found = [of(f) for f in forms], []
+    if not all(left):
+        return []
+    while left:
+        counts = Counter(w for words in left for w in words)
+        found.append(min(counts, key=lambda w: (-counts[w], w)))
+        left = [words for words in left if found[-1] not in words]
+    return found if len(found) <= FRAGMENTS else []
 
 
 def scan(docs: DataFrame, text: str = "text", texts: list[tuple[str, str]] = TEXTS) -> DataFrame:
@@ -183,10 +209,13 @@ def scan(docs: DataFrame, text: str = "text", texts: list[tuple[str, str]] = TEX
     whole, licence, notices = fresh(docs, "text_digest", "licence", "notices")
     (form,) = fresh(docs, "form")
     known = F.broadcast(spark.createDataFrame([(r["digest"], r["licence"]) for r in table], f"`{whole}` string, `{licence}` string"))
-    # every known text has a word of NAMED, and no form longer than the longest can match
-    names = F.create_map(*(F.lit(x) for r in table for x in (r["digest"], r["licence"])))
-    longest = max(r["size"] for r in table)
-    lines = F.filter(F.split(filled(text), "\n"), lambda line: F.lower(line).rlike(NAMED))
+    # a line without any of the fragments, or with a longer form than the longest, cannot match
+    pairs = [F.lit(x) for r in table for x in (r["digest"], r["licence"])]
+    names = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    longest = max((len(r["form"]) for r in table), default=0)
+    lines, pieces = F.split(filled(text), "\n"), fragments([r["form"] for r in table])
+    if pieces:
+        lines = F.filter(lines, lambda line: F.lower(line).rlike("|".join(pieces)))
     forms = F.filter(F.transform(lines, canonical), lambda f: F.char_length(f) <= longest)
     found = F.array_compact(F.transform(forms, lambda f: names[F.sha2(f, 256)]))
     rows = docs.withColumn(notices, F.sort_array(F.array_distinct(found)))
@@ -194,6 +223,3 @@ def scan(docs: DataFrame, text: str = "text", texts: list[tuple[str, str]] = TEX
     rows = rows.withColumn(whole, F.sha2(form, 256)).drop(form)
     return rows.join(known, whole, "left").select(*(F.col(f"`{c}`") for c in docs.columns), whole, licence, notices)
 
-
-#: Every known text holds one of these words, so a line without them is no notice.
-NAMED = r"licen|permi|redistribut|provided|warrant"

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftframe.llm.common import attach, filled, stretches
+from siftframe.llm.common import attach, filled, fresh, stretches
 from siftframe.llm.components import components
 from siftframe.work import written
 
@@ -149,8 +149,16 @@ def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
-def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (least id of its component), kept."""
+def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (least id of its component), kept.
+
+    ``options``: width (words of a shingle, 5), percent (of the union, 80), bands and rows (of a signature).
+    """
+    return _grouped(docs, id, text, **options).drop("set_key")
+
+
+def _grouped(docs: DataFrame, id: str, text: str, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """As ``near_groups`` with ``set_key``, which tells the shingle sets of rows with one id apart; null for the empty set."""
     slim = docs.select(F.col(f"`{id}`").alias("id"), filled(text).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
     signed = written(slim.select(F.col("id").cast("string").alias("id"), "text").mapInPandas(_signed(width, bands, rows), "id string, n long, key binary, bands array<long>").withColumn("id", F.col("id").cast(kind)), "signatures")
@@ -206,13 +214,36 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     least = joined.groupBy("label").agg(F.min("id").alias("least"))
     heads = joined.join(least, "label").select("key", "least")
     heads = written(vertices.select("key", "id", "copies").join(heads, "key", "left").select("key", F.coalesce("least", "id").alias("head"), "copies"), "component-heads")
-    found = attach(signed.where("n > 0").select("id", "n", "key"), heads, "key", "copies", total).select("id", "n", "head")
-    empty = signed.where("n = 0").select("id", "n", F.col("id").alias("head"))
-    return found.unionByName(empty).select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("head").alias("component_id"), F.col("id").eqNullSafe(F.col("head")).alias("kept"))
+    found = attach(signed.where("n > 0").select("id", "n", "key"), heads, "key", "copies", total).select("id", "n", "head", "key")
+    empty = signed.where("n = 0").select("id", "n", F.col("id").alias("head"), "key")
+    kept = F.col("id").eqNullSafe(F.col("head")).alias("kept")
+    return found.unionByName(empty).select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("head").alias("component_id"), kept, F.col("key").alias("set_key"))
 
 
 def drop_near(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows with all their columns, of every group of near-duplicates only the least id; null ids stay."""
-    groups = near_groups(docs, id, text, **options).where("not kept").select(F.col(f"`{id}`").alias("_of"))
-    dropped = written(groups.where("_of is not null").distinct(), "near-copies")
-    return docs.join(_small(dropped), docs[f"`{id}`"] == F.col("_of"), "left_anti")
+    """The rows with all their columns, of every group of near-duplicates only the least id; null ids stay.
+
+    Rows that share an id are told apart by their shingle sets: a row goes only if its own set is in
+    the group of a lesser id.
+    """
+    gone, key, mine = fresh(docs, "near_id", "near_key", "near_own")
+    found = _grouped(docs, id, text, **options).where("not kept and set_key is not null")
+    dropped = found.select(F.col(f"`{id}`").alias(gone), F.col("set_key").alias(key)).where(F.col(gone).isNotNull())
+    dropped = written(dropped.distinct(), "near-copies")
+    # an id of one row in the table goes with its row; only the texts of repeated ids are looked at again
+    repeated = docs.groupBy(F.col(f"`{id}`").alias(gone)).count().where("count > 1").select(gone)
+    repeated = written(dropped.select(gone).distinct().join(repeated, gone, "left_semi"), "repeated-ids")
+    single = docs.join(_small(dropped.join(repeated, gone, "left_anti").select(gone)), F.col(f"`{id}`") == F.col(gone), "left_anti")
+    if repeated.isEmpty():
+        return single
+    shared = F.col(f"`{id}`") == F.col(gone)
+    width = options.get("width", 5)
+
+    @F.pandas_udf("binary")
+    def set_key(texts: pd.Series) -> pd.Series:
+        sets = [shingles(t, width) for t in texts]
+        return pd.Series([_key(s) if len(s) else None for s in sets], dtype=object)
+
+    told = docs.join(_small(repeated), shared, "left_semi").withColumn(mine, set_key(filled(text)))
+    told = told.join(_small(dropped), shared & F.col(mine).eqNullSafe(F.col(key)), "left_anti").drop(mine)
+    return single.join(_small(repeated), shared, "left_anti").unionByName(told)

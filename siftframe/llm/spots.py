@@ -20,8 +20,10 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftframe.llm.common import filled
+from siftframe.operators.rowid import with_row_index
 from siftframe.work import written
 
 # Frequent function words of English, German, French and Spanish.
@@ -76,29 +78,33 @@ def in_order_with_next(docs: DataFrame, id: str, text: str) -> DataFrame:
 
     The last row of a stretch finds its successor as a copy of the next stretch's first row, which
     is marked ``ahead``; the last stretch is followed by the first. Stretches are bounded by
-    quantiles of the ids; only ids are read to find them.
+    quantiles of numeric ids; ids of other types, texts among them, are numbered in their order first. Only ids are
+    read to find the bounds.
     """
     slim = docs.select(F.col(f"`{id}`").alias("id"), filled(text).alias("text"))
+    if not isinstance(slim.schema["id"].dataType, T.NumericType):
+        # equal ids are one place; there are as many places as ids, in the ids' own order
+        places = with_row_index(slim.select("id").where("id is not null").distinct(), ["id"], name="place")
+        slim = slim.join(written(places, "id-places"), "id", "left")
+    else:
+        slim = slim.withColumn("place", F.col("id"))
     rows = slim.count()
     stretches = max(1, min(MAX_BUCKETS, rows // BUCKET_ROWS))
     cuts: list[float] = []
+    value = F.col("place").cast("double")
     if stretches > 1:
-        cuts = slim.agg(F.percentile_approx(F.col("id").cast("double"), [k / stretches for k in range(1, stretches)], 20 * stretches).alias("q")).first()["q"] or []
-    place = F.lit(0)
+        cuts = slim.agg(F.percentile_approx(value, [k / stretches for k in range(1, stretches)], 20 * stretches).alias("q")).first()["q"] or []
     bounds = sorted(set(cuts))
+    inner = F.lit(0)
     if bounds:
         # two levels of some hundred bounds at most: which group of bounds, then which of the group
         step = max(1, math.isqrt(len(bounds)))
         groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
-        value = F.col("id").cast("double")
         below = lambda xs: F.size(F.filter(F.array(*map(F.lit, xs)), lambda b: b < value))
-        inner = F.lit(0)
-        group = below([g[0] for g in groups])
+        slim = slim.withColumn("group", below([g[0] for g in groups]))
         for k, g in enumerate(groups):
             inner = F.when(F.col("group") == k + 1, below(g) + k * step).otherwise(inner)
-        numbered = slim.withColumn("group", group).withColumn("stretch", F.when(F.col("id").isNull(), -1).otherwise(inner).cast("int")).drop("group")
-    else:
-        numbered = slim.withColumn("stretch", F.when(F.col("id").isNull(), -1).otherwise(place).cast("int"))
+    numbered = slim.select("id", "text", F.when(F.col("id").isNull(), -1).otherwise(inner).cast("int").alias("stretch"))
     heads = numbered.groupBy("stretch").agg(F.max("id").alias("head"))
     # a row per stretch: the stretch before it in descending order is the next greater one
     order = Window.orderBy(F.col("stretch").desc())

@@ -87,6 +87,15 @@ def _headers(block: bytes) -> dict[str, str]:
     return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
+def archive_name(source: str) -> str:
+    """Name of the normalised archive of a stream, without endings: its own name and a digest of its whole path.
+
+    Streams of the same name in other folders, and names that differ behind a dot, stay apart.
+    """
+    name = source.rstrip("/").rsplit("/", 1)[-1].removesuffix(".gz").removesuffix(".warc").removesuffix(".txt")
+    return f"{name}-{hashlib.sha1(source.encode()).hexdigest()[:12]}"
+
+
 class _Archive:
     """A normalised archive being written, with its index."""
 
@@ -94,7 +103,7 @@ class _Archive:
         from pyarrow import fs
 
         self.files, self.path = fs.FileSystem.from_uri(path)
-        self.name = source.rstrip("/").rsplit("/", 1)[-1].split(".")[0]
+        self.name = archive_name(source)
         self.attempt = TaskContext.get().taskAttemptId()
         self.files.create_dir(self.path)
         self.out = self.files.open_output_stream(self._of(f"warc.gz.{self.attempt}"), compression=None)

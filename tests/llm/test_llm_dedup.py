@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from itertools import combinations
 
 import numpy as np
@@ -43,6 +44,35 @@ def test_labels_and_kept_rows(spark, monkeypatch, blocks):
     assert sorted(texts) == sorted({t or "" for _, t, *_ in rows})
 
 
+def test_no_text_shuffles(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {k % 5000}") for k in range(6000)], "doc_id long, text string")
+
+    def shuffled(df):
+        """Columns that an Exchange of the plan takes in."""
+        plan = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        return {c for m in re.finditer(r"\) Exchange\nInput \[\d+\]: \[([^]]*)\]", plan) for c in re.findall(r"(\w+)#", m[1])}
+
+    for most, slices in ((exact.BROADCAST_BLOCKS, 32), (1, 32), (1, 1)):  # one broadcast, two slices, a join
+        monkeypatch.setattr(exact, "BROADCAST_BLOCKS", most)
+        monkeypatch.setattr(exact, "SLICES", slices)
+        labels = exact.label_copies(docs)
+        assert "text" not in shuffled(labels)
+        assert labels.where("group_size = 2").count() == 2000 and labels.where("kept").count() == 5000
+        if slices > 1:
+            assert not shuffled(exact.mark_possible_repeats(docs, "text", "flag")[0])
+        assert exact.drop_copies(docs).count() == 5000
+
+
+def test_rows_that_share_an_id(spark):
+    t, u = " ".join(f"w{k}" for k in range(40)), " ".join(f"u{k}" for k in range(40))
+    near = t.replace("w39", "other")
+    schema = "doc_id long, text string, _of string, near_id long, set_key string"
+    rows = [(3, t, "a", 1, None), (5, near, "b", 1, None), (5, u, "c", 1, None), (5, None, "d", 1, None), (7, u, "e", 1, None), (9, t, "f", 1, None), (None, t, "g", 1, None)]
+    left = minhash.drop_near(spark.createDataFrame(rows, schema))
+    assert left.columns == ["doc_id", "text", "_of", "near_id", "set_key"]
+    assert sorted(r["_of"] for r in left.collect()) == ["a", "c", "d", "g"]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert exact.label_copies(docs).collect() == [] and exact.drop_copies(docs).collect() == []

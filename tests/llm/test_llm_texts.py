@@ -29,8 +29,21 @@ def test_whole_texts_match_in_any_spelling(spark):
     assert licences.scan(spark.createDataFrame([], "text string")).collect() == []
 
 
-def test_every_known_text_holds_a_word_of_the_prefilter():
-    assert all(re.search(licences.NAMED, text.lower()) for _, text in licences.TEXTS)
+def test_every_known_text_holds_a_word_of_the_prefilter(spark):
+    forms = [r["form"] for r in licences.known_licences(spark).collect()]
+    pieces = licences.fragments(forms)
+    assert 0 < len(pieces) <= 12
+    assert all(re.search("|".join(pieces), text.lower()) for _, text in licences.TEXTS)
+    assert licences.fragments([*forms, "and the"]) == [] and licences.fragments([f"word{k} unlike{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]) == []
+
+
+def test_notices_of_a_callers_texts(spark):
+    own = [("PD", "Dedicated to the public domain by its author."), ("X", "a & b")]
+    rows = [(1, "one\n  * Dedicated to the Public Domain, by its author!\ntwo"), (2, "A and B"), (3, "public domain"), (4, None)]
+    for texts in (own, own[:1]):
+        got = {r["doc_id"]: r["notices"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), texts=texts).collect()}
+        assert got == {1: ["PD"], 2: ["X"] if len(texts) > 1 else [], 3: [], 4: []}
+    assert licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), texts=[]).where("size(notices) > 0 OR licence IS NOT NULL").count() == 0
 
 
 def plain_signatures(text):
@@ -91,6 +104,16 @@ def test_edge_tables(spark):
     assert members.collect() == [] and pairs.collect() == []
 
 
+def test_text_ids(spark, prose, monkeypatch):
+    monkeypatch.setattr(spots, "BUCKET_ROWS", 10)
+    docs = [(f"id-{k:03d}", t) for k, t in enumerate(prose)]
+    got = {r["doc_id"]: r["edited_text"] for r in spots.fingerprint_edits(spark.createDataFrame(docs, "doc_id string, text string").repartition(5)).collect()}
+    numbered = {r["doc_id"]: r["edited_text"] for r in spots.fingerprint_edits(spark.createDataFrame(list(enumerate(prose)), "doc_id long, text string")).collect()}
+    assert got == {f"id-{k:03d}": t for k, t in numbered.items()}
+    mixed = spark.createDataFrame([(None, "a"), ("", "b"), ("", None), ("x", "c d e")], "doc_id string, text string")
+    assert spots.fingerprint_edits(mixed).count() == 4
+
+
 @pytest.mark.parametrize("threshold", [0.8, 0.5])
 def test_near_pairs_are_all_pairs(spark, prose, threshold):
     docs = spark.createDataFrame(list(enumerate(prose)), "doc_id long, text string")

@@ -79,6 +79,19 @@ def test_stream_that_ends_within_a_record(spark, tmp_path):
         warc.normalise(spark, f"{tmp_path}/cut", f"{tmp_path}/out").collect()
 
 
+def test_streams_of_like_names_stay_apart(spark, tmp_path):
+    for k, name in enumerate(("in/crawl.1.warc.gz", "in/crawl.2.warc.gz", "in/crawl.warc.gz", "in/sub/crawl.1.warc.gz")):
+        os.makedirs(os.path.dirname(f"{tmp_path}/{name}"), exist_ok=True)
+        body = f"content {k}".encode()
+        with gzip.open(f"{tmp_path}/{name}", "wb") as f:
+            f.write(b"WARC/1.1\r\nWARC-Record-ID: <urn:%d>\r\nContent-Length: %d\r\n\r\n" % (k, len(body)) + body + b"\r\n\r\n")
+    index = warc.normalise(spark, f"{tmp_path}/in/*.gz,{tmp_path}/in/sub".split(",")[0], f"{tmp_path}/out").collect()
+    index += warc.normalise(spark, f"{tmp_path}/in/sub", f"{tmp_path}/out").collect()
+    assert len({r["archive"] for r in index}) == 4 and all(r["offset"] == 0 for r in index)
+    for r in index:
+        assert b"content " + r["record"][5:-1].encode() in gzip.open(f"{tmp_path}/out/{r['archive']}").read()
+
+
 def test_empty_table(spark):
     assert warc.round_trip(pages_of(spark).limit(0)).collect() == []
 
