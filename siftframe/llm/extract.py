@@ -1,18 +1,20 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one per block of text. Menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments - told by element, role or class - are left out, and lists of
-links outside <article> and <main> count no characters. The characters of windows of ``window``
-lines are summed, those inside <article> or <main> ``least`` times: at a surge the sum leaves
-zero, at a dive it returns to zero. A stretch whose largest window reaches ``least``, or is the
-page's largest, is the text; so is what lies between the first and the last of these and what
-stands in the same element as one of them, cut off by an advert.
-
-A class or id tells only by a whole token made of known words, and never for an element with most
-of the page's text, unless an <article>, <main> or <h1> stands elsewhere.
+Markup is stripped to lines, one per block of text, with ``window`` empty lines where a container (a
+<div>, <section>, <article> ...) begins or ends. A line counts its characters outside links; lists of links count
+none. The counts of windows of ``window`` lines are summed: at a *surge* the sum leaves zero, at a *dive* it
+returns to zero, and what lies between is a stretch. The page's own distribution tells which stretches are text:
+those whose largest window reaches ``share`` of the largest window of the page. So does what lies between the first and the last of them,
+and what stands in the same element as one of them, cut off by an advert.
+
+Tags and classes only veto. Menus, headers, footers, sidebars, notices, adverts, forms and reader comments -
+told by element, role or class - never count. If the page marks an <article> or <main>, its stretches stay,
+and others stay only if they hold the largest window of the page, of at least ``least`` characters. A class or id
+tells only by a whole token made of known words, and never for an element with most of the page's text
+unless an <article>, <main> or <h1> stands elsewhere (reader comments and adverts: unless one stands within).
 
 Defined results: null, empty or text-free html gives the empty text; broken markup is read as far
-as it goes (an element that is never closed ends before the article or at the end of the page);
+as it goes (an element that is never closed ends before the article or at the end of the page, an embedded one has no content);
 rows are treated one by one, so ties, repeats and null ids are carried as they are.
 """
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,8 +33,11 @@ from siftframe.llm.common import filled, fresh
 
 WINDOW = 3
 LEAST = 80
+SHARE = 0.5  # of the largest window sum of a page
 
-RAW = "script|style|noscript|template|textarea|title|svg|iframe|object|math|xmp|noembed|noframes"
+RAW = "script|style|textarea|title|xmp"
+# content of these goes too, if they are closed at all
+EMBEDDED = set("svg iframe object math noscript template noembed noframes".split())
 DROPPED = set("nav header footer aside form button select dialog menu head fieldset".split())
 BLOCKS = set(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
@@ -49,9 +55,13 @@ WORDS = set(
 # words that may stand beside them in a token
 BESIDE = set(
     "site main top bottom left right global primary secondary fixed sticky mobile desktop bar box container wrapper wrap inner outer block area"
-    " section list links link item items buttons button icons unit slot form text body content title policy message thread inline column col row".split()
+    " section list links link item items google dfp gpt adsense doubleclick taboola outbrain buttons button icons unit slot form text body content title policy message thread inline column col row".split()
 )
 TOKENS = set("related-posts related-articles related-stories related-content user-comments reader-comments post-comments".split())
+# of these, words of what never wraps an article: reader comments and adverts
+ASIDES = set("comment comments disqus respond replies reply ad ads adv advert adverts advertisement advertising sponsor sponsored".split())
+# elements around which a stretch ends
+CONTAINERS = set("article aside center div main section".split())
 # elements that hold text side by side
 HOMES = set("article aside body center div html main section td th".split())
 
@@ -71,30 +81,42 @@ def _known(token: str) -> bool:
 
 
 def _kind(name: str, attributes: str) -> str:
-    """`drop`, `class` (drop, as its class says), `main` or nothing."""
+    """`drop`, `class` or `asides` (drop, as its class says), `main` or nothing."""
     if name in DROPPED:
         return "drop"
-    main, named = name in ("article", "main"), False
+    main, named = name in ("article", "main"), ""
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
             return "drop"
         if key == "role" and value in ("main", "article"):
             main = True
-        if key in ("class", "id") and name not in ("html", "body") and any(map(_known, value.split())):
-            named = True
-    return "class" + " main" * main if named else "main" if main else ""
+        if key in ("class", "id") and name not in ("html", "body"):
+            for token in filter(_known, value.split()):
+                named = "asides" if named == "asides" or not ASIDES.isdisjoint(re.split(r"[-_0-9]+", token)) else "class"
+    return named + " main" * main if named else "main" if main else ""
 
 
 def _tokens(page: str) -> Iterator[tuple[str, bool, str, str]]:
     """(name, closing, attributes, text before it)."""
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, unclosed, m = 0, set(), _TOKEN.search(page)
+    while m:
         before, at = page[at : m.start()], m.end()
-        if m["name"] or m["broken"]:
-            yield (m["name"] or m["broken"]).lower(), bool(m["close"]) or m[0].startswith("</"), m["attributes"] or "", before
+        name = (m["name"] or m["broken"] or "").lower()
+        closing = bool(m["close"]) or m[0].startswith("</")
+        if name in EMBEDDED:
+            if not closing and not m[0].endswith("/>") and name not in unclosed:
+                end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
+                if end:
+                    at = end.end()
+                else:
+                    unclosed.add(name)
+            yield "", False, "", before
+        elif name:
+            yield name, closing, m["attributes"] or "", before
         else:
             yield "", False, "", before
+        m = _TOKEN.search(page, at)
     yield "", False, "", page[at:]
 
 
@@ -121,12 +143,14 @@ class _Wrappers:
                 skip_to = ends.get(k, -1)
         self.marks = [k for k, (name, closing, _, _) in enumerate(tokens) if not closing and name in ("article", "main", "h1")]
 
-    def __contains__(self, k: int) -> bool:
+    def holds(self, k: int, asides: bool) -> bool:
+        """Whether the element at ``k`` is one; comments and adverts only with a mark within."""
         end = self.ends.get(k)
         if end is None:
             return False
         held = self.before[end + 1] - self.before[k + 1]
-        return held >= self.least and 2 * held > self.before[-1] and (not self.marks or any(k <= m < end for m in self.marks))
+        marked = any(k <= m < end for m in self.marks)
+        return held >= self.least and 2 * held > self.before[-1] and (marked or not self.marks and not asides)
 
 
 def lines(page: str, window: int = WINDOW, least: int = LEAST) -> list[tuple[str, int, bool, int]]:
@@ -160,7 +184,9 @@ def lines(page: str, window: int = WINDOW, least: int = LEAST) -> list[tuple[str
                 mains.pop()
         if not name:
             continue
-        if name in BLOCKS:
+        if name in CONTAINERS:
+            gap()
+        elif name in BLOCKS:
             line()
         elif name == "br":
             spans.append((" ", links > 0))
@@ -173,9 +199,10 @@ def lines(page: str, window: int = WINDOW, least: int = LEAST) -> list[tuple[str
         if closing:
             continue
         kind = _kind(name, attributes)
-        if kind.startswith("class"):
+        if kind.startswith(("class", "asides")):
             wrappers = wrappers or _Wrappers(tokens, ends, least)
-            kind = kind.removeprefix("class").strip() if k in wrappers else "drop"
+            named, _, kind = kind.partition(" ")
+            kind = kind if wrappers.holds(k, named == "asides") else "drop"
         if kind == "main":
             gap()
             mains.append(ends.get(k, len(tokens)))
@@ -191,36 +218,55 @@ def lines(page: str, window: int = WINDOW, least: int = LEAST) -> list[tuple[str
     return out
 
 
-def main_text(page: str, window: int = WINDOW, least: int = LEAST) -> str:
-    """The blocks between surges and dives of the window sums, a line each."""
-    found = lines(page, window, least)
-    counts = [n * (least if marked else 1) for _, n, marked, _ in found]
-    sums = [sum(counts[max(k, 0) : k + window]) for k in range(1 - window, len(counts))]
-    stretches, start = [], None
+def window_sums(counts: list[int], window: int = WINDOW) -> list[int]:
+    """Sums over windows of so many lines; the first ends at the first line, the last begins at the last one."""
+    totals = [0, *accumulate(counts)]
+    n = len(counts)
+    return [totals[min(k + window, n)] - totals[max(k, 0)] for k in range(1 - window, n)]
+
+
+def stretches(counts: list[int], window: int = WINDOW) -> list[tuple[int, range]]:
+    """(largest window sum, lines) from each surge to its dive."""
+    found, start, sums = [], None, window_sums(counts, window)
     for k, total in enumerate([*sums, 0]):
         if total and start is None:
             start = k  # surge
         elif not total and start is not None:
             # window k covers the lines from k - window + 1
-            stretches.append((max(sums[start:k]), range(max(0, start - window + 1), min(k, len(found)))))  # dive
+            found.append((max(sums[start:k]), range(max(0, start - window + 1), min(k, len(counts)))))  # dive
             start = None
-    level = min(least, max((peak for peak, _ in stretches), default=0))
-    chosen = [covered for peak, covered in stretches if peak >= level]
+    return found
+
+
+def main_text(page: str, window: int = WINDOW, least: int = LEAST, share: float = SHARE) -> str:
+    """The blocks between surges and dives of the window sums, a line each."""
+    found = lines(page, window, least)
+    cut = stretches([n for _, n, _, _ in found], window)
+    inside = lambda covered: any(found[k][2] and found[k][1] for k in covered)
+    most = max((peak for peak, _ in cut), default=0)
+    level = share * most
+    marked = [s for s in cut if inside(s[1])]
+    if marked:
+        # the largest window decides whether anything outside of the marked text competes with it
+        rivals = most >= least and most > max(peak for peak, _ in marked)
+        chosen = [covered for peak, covered in cut if inside(covered) or rivals and peak >= level]
+    else:
+        chosen = [covered for peak, covered in cut if peak >= level]
     homes = {found[k][3] for covered in chosen for k in covered if found[k][1]}
     kept = []
-    for _, covered in stretches:
-        between = chosen[0].start <= covered.start <= chosen[-1].start
+    for _, covered in cut:
+        between = chosen[0].start <= covered.start <= chosen[-1].start and not (marked and not inside(covered) and covered not in chosen)
         kept += [found[k][0] for k in covered if found[k][1] and (between or found[k][3] in homes)]
     return "\n".join(kept)
 
 
-def extract(pages: DataFrame, html: str = "html", window: int = WINDOW, least: int = LEAST) -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", window: int = WINDOW, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """The rows with the main text added as ``text``; only the html visits Python."""
 
     @F.pandas_udf("string")
     def extracted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda page: main_text(page, window, least))
+            yield batch.map(lambda page: main_text(page, window, least, share))
 
     (name,) = fresh(pages, "text")
     return pages.withColumn(name, extracted.asNondeterministic()(filled(html)))

@@ -1,7 +1,12 @@
 """Main text of small pages."""
 
+import random
+import re
+from collections import Counter
+
 import pytest
 
+from siftframe.llm import extract as extraction
 from siftframe.llm.extract import extract, main_text
 
 PAGES = [
@@ -72,3 +77,52 @@ def test_link_lists_and_short_blocks_of_the_article():
     advert = "<div class=ad>Buy</div>"
     assert main_text(f"<div><p>{LONG}</p>{advert}<p>The end.</p></div><div>other</div>") == f"{LONG}\nThe end."
     assert main_text(f"<div>{LONG}</div>{advert}<div>Short.</div>{advert}<div>{LONG}</div>{advert}<div>tiny</div>") == f"{LONG}\nShort.\n{LONG}"
+
+
+def test_embedded_elements_without_content():
+    assert main_text("<article><p>One</p><svg class=i/><p>Two</p></article>") == "One\nTwo"
+    for name in ("iframe", "object", "math", "svg"):
+        assert main_text(f"<article><p>One</p><{name} x=1><p>Two</p></article>") == "One\nTwo"
+        assert main_text(f"<article><p>One</p><{name} x=1>gone</{name}><p>Two</p></article>") == "One\nTwo"
+    assert main_text("<svg>" * 20_000 + "<p>text</p>") == "text"
+
+
+def test_comments_longer_than_the_article():
+    comments = f"<div class=comment-list><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>"
+    assert main_text(f"<div><p>{LONG}</p><p>End.</p></div>{comments}") == f"{LONG}\nEnd."
+    assert main_text(f"<div><p>{LONG}</p></div><div id=google_ads_1>{LONG} {LONG}</div>") == LONG
+
+
+def test_surges_choose_the_text_on_pages_without_marks(spark):
+    """Articles, menus, adverts and footers as plain <div>: the text is still nearly that of the marked pages."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    both = found = wanted = removed = 0
+    for page in pages:
+        bare = re.sub(r"<(/?)(?:article|header|footer|nav|aside|main)\b[^>]*>", r"<\1div>", page)
+        bare = re.sub(r"\s(?:class|id)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", bare)
+        want, got = Counter(main_text(page).split()), main_text(bare)
+        every = "\n".join(t for t, n, _, _ in extraction.lines(bare) if n)
+        removed += got != every
+        got = Counter(got.split())
+        both, found, wanted = both + (want & got).total(), found + got.total(), wanted + want.total()
+    assert both >= 0.99 * found and both >= 0.99 * wanted
+    assert removed > 0.9 * len(pages)  # by surges and dives alone
+
+
+def test_window_sums_and_stretches_by_plain_loops():
+    rng = random.Random(4)
+    for _ in range(400):
+        window = rng.randrange(1, 5)
+        counts = [rng.choice((0, 0, 0, 5, 80)) for _ in range(rng.randrange(15))]
+        sums = [sum(counts[j] for j in range(len(counts)) if k <= j < k + window) for k in range(1 - window, len(counts))]
+        assert extraction.window_sums(counts, window) == sums
+        found = extraction.stretches(counts, window)
+        # runs of counted lines that fewer than ``window`` empty ones part
+        runs, last = [], None
+        for j in (j for j, n in enumerate(counts) if n):
+            if last is None or j - last > window:
+                runs.append([])
+            runs[-1].append(j)
+            last = j
+        assert [[j for j in covered if counts[j]] for _, covered in found] == runs
+        assert [peak for peak, _ in found] == [max(sum(counts[k : k + window]) for k in range(run[0], run[-1] + 1)) for run in runs]
