@@ -27,7 +27,7 @@ from siftframe.functions.values import (
     shown_text,
     try_num,
 )
-from siftframe.operators.quantiles import SMALL, Extent, exact_quantiles
+from siftframe.operators.quantiles import SMALL, Extent, exact_quantiles, marks
 from siftframe.operators.rowid import ROW_INDEX, data_columns
 
 # --- fixed values -----------------------------------------------------------
@@ -235,8 +235,14 @@ def numeric_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     return stats.select("column", "min", "max", "mean", "std")
 
 
-def _number_stats(df: DataFrame, numbers: dict[str, Column]) -> DataFrame:
-    """(column, n, min, max, mean, std) of columns with values; a few rows leave each task."""
+QUARTILES = [0.25, 0.5, 0.75]
+
+
+def _number_stats(df: DataFrame, numbers: dict[str, Column], quartiles: bool = False) -> DataFrame:
+    """(column, n, min, max, mean, std) of columns with values; a few rows leave each task.
+
+    ``quartiles`` adds ``marks``, what a sketch finds around the quartiles.
+    """
     wide = df.select(*[x.alias(c) for c, x in numbers.items()])
     return (
         wide.unpivot([], [col(c) for c in numbers], "column", "x")
@@ -245,6 +251,7 @@ def _number_stats(df: DataFrame, numbers: dict[str, Column]) -> DataFrame:
         .agg(
             F.count("*").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"),
             F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std"),
+            *([marks(F.col("x"), QUARTILES).alias("marks")] if quartiles else []),
         )
     )
 
@@ -402,7 +409,7 @@ def profile(
             aggs += [F.date_format(f(col(c)), TIMESTAMP_FORMAT).alias(f"{k}{i}") for k, f in (("min", F.min), ("max", F.max))]
     with ThreadPoolExecutor(3) as pool:  # independent jobs, submitted together
         wait_facts = pool.submit(df.agg(*aggs).first)
-        wait_stats = pool.submit(_number_stats(df, nums).collect) if nums else None
+        wait_stats = pool.submit(_number_stats(df, nums, quartiles).collect) if nums else None
         wait_values = pool.submit(_collected_values, df, row_id, names)
         facts = wait_facts.result()
         total = facts["total"]
@@ -448,8 +455,8 @@ def profile(
 
     if quartiles:
         wanted = {p.column: nums[p.column] for p in out if p.inferred_type == "numeric"}
-        known = {c: Extent(stats[c]["n"], stats[c]["min"], stats[c]["max"]) if c in stats else Extent(0, None, None) for c in wanted}
-        found = exact_quantiles(df, wanted, [0.25, 0.5, 0.75], limit, known)
+        known = {c: Extent(stats[c]["n"], stats[c]["min"], stats[c]["max"], tuple(stats[c]["marks"])) if c in stats else Extent(0, None, None) for c in wanted}
+        found = exact_quantiles(df, wanted, QUARTILES, limit, known)
         for p in out:
             if p.column in found:
                 p.q1, p.median, p.q3 = found[p.column]

@@ -1,10 +1,13 @@
 """Exact quantiles without holding a whole column in one task.
 
 The built-in ``percentile`` keeps every distinct value of a group in memory. Here
-the bracket of values that holds a wanted rank is narrowed first: each round counts
-the values per bin inside the bracket (a map-side combined aggregate of at most
-``BINS`` rows per bracket) until the bracket is small or holds a single value. Only
-such a small bracket is sorted in one task.
+the pass that finds number and extent of the values also fills a mergeable KLL
+sketch per column, whose quantiles a little below and above a wanted one bracket it.
+One more pass counts the values below each bracket, which tells the exact ranks
+within, and gathers the values of brackets that hold few enough to sort; larger ones it
+counts per bin, and a second pass gathers the bins with the wanted ranks. Should a sketch be wrong by
+more than its margin, or a bin still hold too many values, brackets are narrowed by
+counting per bin until they are small, so the result is exact on any data.
 """
 
 from __future__ import annotations
@@ -17,6 +20,9 @@ from pyspark.sql import functions as F
 
 SMALL = 50_000  # values per column that one task may sort
 BINS = 1024
+MOST_BINS = 8192  # per bracket that a sketch has found; a task gives out so many rows at most
+SKETCH = 4096  # size parameter of the sketches: ranks are right within 0.2 % in all but one of 10,000 cases
+MARGIN = 0.003  # taken on both sides of a wanted rank
 LOG_SHIFT = 750.0  # makes the logarithm of every positive double positive
 LARGEST = 1.7976931348623157e308
 
@@ -123,22 +129,75 @@ def _ranked(df: DataFrame, columns: dict[str, Column], targets: dict[tuple[str,
 
 @dataclass(frozen=True)
 class Extent:
-    """Number of values of a column, and the least and greatest of them."""
+    """Number of values of a column, the least and greatest of them, and what surrounds the wanted quantiles by a sketch."""
 
     count: int
     low: float | None
     high: float | None
+    marks: tuple[float, ...] = ()
 
 
-def extents(df: DataFrame, columns: dict[str, Column]) -> dict[str, Extent]:
-    row = df.agg(
-        *[
-            f(x).alias(f"{k}{i}")
-            for i, x in enumerate(columns.values())
-            for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))
-        ]
-    ).first()
-    return {c: Extent(row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
+def _ranks(probs: list[float]) -> list[float]:
+    return [min(1.0, max(0.0, p + side)) for p in probs for side in (-MARGIN, MARGIN)]
+
+
+def bounded(x: Column) -> Column:
+    """Infinite values count as the largest finite ones, so that bins stay finite."""
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(LARGEST)), F.lit(-LARGEST)))
+
+
+def marks(x: Column, probs: list[float]) -> Column:
+    """Aggregate: values at the ranks that surround the wanted quantiles, by a KLL sketch; null without values."""
+    sketch = F.kll_sketch_agg_double(bounded(x), SKETCH)
+    ranks = F.array(*[F.lit(r) for r in _ranks(probs)])
+    return F.when(F.count(x) > 0, F.kll_sketch_get_quantile_double(sketch, ranks))
+
+
+def extents(df: DataFrame, columns: dict[str, Column], probs: list[float] | None = None) -> dict[str, Extent]:
+    """One pass over all columns."""
+    aggs = [f(x).alias(f"{k}{i}") for i, x in enumerate(columns.values()) for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+    if probs:
+        aggs += [marks(x, probs).alias(f"m{i}") for i, x in enumerate(columns.values())]
+    row = df.agg(*aggs).first()
+    return {c: Extent(row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"], tuple(row[f"m{i}"] or ()) if probs else ()) for i, c in enumerate(columns)}
+
+
+def _placed(df: DataFrame, columns: dict[str, Column], wanted: dict[tuple[str, int], tuple[float, float, float]], limit: int, found: dict) -> dict[tuple[str, int], Bracket]:
+    """One pass over brackets (low, high, expected number of values): values found go to ``found``, other ranks get a bracket.
+
+    A rank that is not within its bracket is left out.
+    """
+    shared = sorted({(c, low, high, size) for (c, _), (low, high, size) in wanted.items()})
+    small = [size <= limit for *_, size in shared]
+    bins = [1 if few else min(MOST_BINS, max(BINS, 4 * int(size / limit))) for few, (*_, size) in zip(small, shared)]
+    of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("id"))
+    long = _long(df, [columns[c] for c, *_ in shared]).where(F.col("x") <= of([high for _, _, high, _ in shared]))
+    low = of([float(low) for _, low, _, _ in shared])
+    # halved, so that the width of a bracket is finite
+    width = of([max(high / 2 - low / 2, 5e-324) for _, low, high, _ in shared])
+    place = F.least(F.floor((F.col("x") / 2 - low / 2) / width * of(bins)).cast("int"), of(bins) - 1)
+    high = of([float(high) for _, _, high, _ in shared])
+    # the ends may be values of many rows and have bins of their own; what lies between is as many rows as expected
+    bin_ = F.when(F.col("x") < low, -1).when(F.col("x") == low, 0).when(F.col("x") == high, of(bins) + 1).otherwise(F.greatest(place, F.lit(0)) + 1)
+    kept = F.when(of(small) & (F.col("x") > low) & (F.col("x") < high), F.col("x"))
+    rows = long.groupBy("id", bin_.alias("bin")).agg(
+        F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.sort_array(F.collect_list(kept)).alias("xs")
+    )
+    got: dict[int, list] = {}
+    for r in rows.orderBy("id", "bin").collect():
+        got.setdefault(r["id"], []).append(r)
+    left = {}
+    for (c, rank), (lo, hi, size) in wanted.items():
+        below = 0
+        for r in got.get(shared.index((c, lo, hi, size)), []):
+            if r["bin"] >= 0 and below <= rank < below + r["n"]:
+                if r["xs"]:
+                    found[c, rank] = r["xs"][rank - below]
+                else:
+                    left[c, rank] = Bracket(r["low"], r["high"], below, r["n"])
+                break
+            below += r["n"]
+    return left
 
 
 def exact_quantiles(
@@ -150,32 +209,39 @@ def exact_quantiles(
 ) -> dict[str, list[float]]:
     """Linearly interpolated quantiles of several double columns (null = not a value).
 
-    ``known`` saves the pass that finds the extent of the columns. Columns without
-    values are left out of the result.
+    ``known`` saves the pass that finds the extent of the columns (with marks for
+    the same ``probs``, or none). Columns without values are left out of the result.
     """
-    known = known or (extents(df, columns) if columns else {})
-    # infinite values count as the largest finite ones, so that bins stay finite
-    bounded = lambda x: max(-LARGEST, min(LARGEST, x))
+    known = known or (extents(df, columns, probs) if columns else {})
+    clip = lambda x: max(-LARGEST, min(LARGEST, x))
     finite = {}
     for c, x in columns.items():
-        if known[c].count and (math.isinf(known[c].low) or math.isinf(known[c].high)):
-            finite[c] = F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(LARGEST)), F.lit(-LARGEST)))
-        else:
-            finite[c] = x
+        infinite = known[c].count and (math.isinf(known[c].low) or math.isinf(known[c].high))
+        finite[c] = bounded(x) if infinite else x
     targets: dict[tuple[str, int], Bracket] = {}
+    wanted: dict[tuple[str, int], tuple[float, float, float]] = {}
     places: dict[str, list[tuple[int, int, float]]] = {}
     for c in columns:
         n = known[c].count
         if not n:
             continue
+        low, high, around = clip(known[c].low), clip(known[c].high), known[c].marks
         places[c] = []
-        for p in probs:
-            low, share = divmod((n - 1) * p, 1)
-            places[c].append((int(low), math.ceil((n - 1) * p), share))
-        for rank in {r for low, high, _ in places[c] for r in (low, high)}:
-            targets[c, rank] = Bracket(bounded(known[c].low), bounded(known[c].high), 0, n)
+        for i, p in enumerate(probs):
+            at, share = divmod((n - 1) * p, 1)
+            places[c].append((int(at), math.ceil((n - 1) * p), share))
+            for rank in places[c][-1][:2]:
+                targets[c, rank] = Bracket(low, high, 0, n)
+                if around and n > limit and low < high:
+                    a, b = _ranks([p])
+                    # the ends of the column are exact
+                    wanted[c, rank] = (low if a == 0 else around[2 * i], high if b == 1 else around[2 * i + 1], (b - a) * n)
+    value: dict[tuple[str, int], float] = {}
+    if wanted:
+        targets |= _placed(df, finite, wanted, limit, value)
+        targets = {k: b for k, b in targets.items() if k not in value}
     _narrow(df, finite, targets, limit)
-    value = _ranked(df, finite, targets)
+    value |= _ranked(df, finite, targets)
     for (c, rank), v in value.items():
         if abs(v) == LARGEST and finite[c] is not columns[c]:
             value[c, rank] = math.copysign(math.inf, v)

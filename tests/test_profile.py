@@ -115,6 +115,33 @@ def test_exact_quantiles(spark, limit):
             assert np.allclose(q, pd.Series(data[c], dtype=float).quantile([0, 0.25, 0.5, 0.75, 1]), rtol=1e-12), c
 
 
+def test_quantiles_take_two_scans_at_most(spark, monkeypatch):
+    """One pass for extents and sketches, then one over brackets, and a second only if these hold too many values."""
+    from siftframe.operators import quantiles as Q
+
+    scans, long = [], Q._long
+    monkeypatch.setattr(Q, "_long", lambda df, parts: scans.append(len(parts)) or long(df, parts))
+    df = spark.range(200_000).select(
+        F.exp(F.randn(3) * 8).alias("skewed"), F.floor(F.rand(4) * 5).cast("double").alias("few"),
+        F.when(F.col("id") % 3 == 0, 1.5).otherwise(F.rand(5) * 3).alias("hot"), (F.col("id") * 1.0).alias("even"),
+    )
+    data = df.toPandas()
+    for limit, most in ((50_000, 1), (300, 2)):
+        scans.clear()
+        got = exact_quantiles(df, {c: F.col(c) for c in df.columns}, [0.25, 0.5, 0.75], limit)
+        assert len(scans) <= most
+        assert all(np.allclose(got[c], data[c].quantile([0.25, 0.5, 0.75]), rtol=1e-12) for c in df.columns)
+
+
+def test_a_wrong_sketch_is_noticed(spark):
+    from siftframe.operators.quantiles import Extent
+
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
+    for marks in ((600.0, 610.0), (10.0, 20.0), (499.0, 499.0)):
+        got = exact_quantiles(df, {"x": F.col("x")}, [0.5], 50, {"x": Extent(1000, 0.0, 999.0, marks)})
+        assert got == {"x": [499.5]}
+
+
 def test_outlier_rules():
     assert A.outlier_bounds(1, 3, 2, 1) == A.OutlierBounds(-2.0, 6.0)
     assert A.outlier_bounds(5, 5, 5.5, 2.0) == A.OutlierBounds(center=5.5, reach=6.0)
