@@ -10,7 +10,7 @@ from catalog.views import spread_table, table, view, view_sql
 from siftframe.operators import profile as P
 from siftframe.operators.rowid import preview, renumber, with_row_index
 from siftframe.sources.readers import read_table
-from siftframe.sources.writers import write_csv, write_json
+from siftframe.sources.writers import write_csv, write_json, write_json_array, write_json_columns
 from siftframe.work import new_table_path
 
 
@@ -110,6 +110,24 @@ def _(spark, folder):
     return read_table(spark, path, "json", lines=True).select(*df.columns)
 
 
+@query("json_array_round_trip", f"SELECT * FROM ({view_sql('dirty_orders')})")
+def _(spark, folder):
+    """Files of arrays of records."""
+    path = new_table_path(spark, "json-arrays")
+    df = view(spark, folder, "dirty_orders")
+    write_json_array(df, path)
+    return read_table(spark, path, "json").select(*df.columns)
+
+
+@query("json_columns", f"SELECT * FROM ({view_sql('dirty_orders')})")
+def _(spark, folder):
+    """Files of the form {column: {row: value}}."""
+    path = new_table_path(spark, "json-columns")
+    df = view(spark, folder, "dirty_orders")
+    write_json_columns(df, path)
+    return read_table(spark, path, "json", orient="columns").select(*df.columns)
+
+
 # --- profile ----------------------------------------------------------------
 
 

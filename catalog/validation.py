@@ -14,9 +14,19 @@ from siftframe.operators.anomaly import EMAIL_PATTERN
 from siftframe.operators.clean import clean
 from siftframe.operators.profile import profile
 from siftframe.operators.rowid import with_row_index
-from siftframe.plans.profiling import profile_report
+from siftframe.plans.profiling import profile_reports
 from siftframe.plans.reporting import comparison_frame, quality_report
-from siftframe.streaming.monitor import latest_updates, stream_failures, window_metrics, write_available, write_updates
+from siftframe.sources.writers import write_report
+from siftframe.streaming.monitor import (
+    freeze_bounds,
+    latest_updates,
+    stream_anomalies,
+    stream_failures,
+    stream_repeats,
+    window_metrics,
+    write_available,
+    write_updates,
+)
 from siftframe.work import new_table_path, written
 
 ORDERS = view_sql("dirty_orders")
@@ -228,7 +238,7 @@ def _after_sql() -> str:
 )
 def _(spark, folder):
     raw, cleaned = _before_after(spark, folder)
-    return comparison_frame(profile_report(raw), profile_report(written(cleaned, "clean")))
+    return comparison_frame(*profile_reports(raw, written(cleaned, "clean")))
 
 
 @query("quality_report_document")
@@ -298,3 +308,79 @@ def _(spark, folder):
     metrics = window_metrics(stream, "ts", "value", _STREAM_RULES, "1 day")
     write_updates(metrics, path, new_table_path(spark, "stream-state")).awaitTermination()
     return latest_updates(spark, path, ["window_start"])
+
+
+@query(
+    "stream_unique",
+    """SELECT 'value' AS "column", event_id AS row_index, CAST(value AS VARCHAR) AS value, 'unique' AS rule,
+    'Duplicate value ''' || value || ''' in row ' || event_id || '.' AS message FROM events
+    WHERE value IN (SELECT value FROM events GROUP BY value HAVING count(*) > 1)""",
+)
+def _(spark, folder):
+    return _run(stream_repeats(_events_stream(spark, folder), "value", "event_id"), spark)
+
+
+_FROZEN = "SELECT * FROM events WHERE event_type <> 'error'"
+
+
+@query(
+    "stream_validation_frozen",
+    f"""WITH b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM ({_FROZEN}))
+    SELECT 'value' AS "column", event_id AS row_index, CAST(value AS VARCHAR) AS value, 'outlier' AS type,
+    'Numerical outlier detected in row ' || event_id || ': ' || value AS message FROM events, b
+    WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)
+    UNION ALL SELECT 'event_type', event_id, event_type, 'unseen_value',
+    'Value ''' || event_type || ''' was not seen before, in row ' || event_id || '.' FROM events WHERE event_type = 'error'""",
+)
+def _(spark, folder):
+    """Bounds frozen while there were no errors yet; a later profile of all events changes nothing."""
+    path = new_table_path(spark, "bounds")
+    events = table(spark, folder, "events").select("event_id", "event_type", "value")
+    freeze_bounds(spark, profile(events.where("event_type <> 'error'"), "event_id", ["event_type", "value"]), path, 1)
+    found = stream_anomalies(_events_stream(spark, folder).select("event_id", "event_type", "value"), path, 1, "event_id")
+    freeze_bounds(spark, profile(events, "event_id", ["event_type", "value"]), path, 2)
+    return _run(found, spark)
+
+
+@query(
+    "rules_edited",
+    """SELECT 'event_type' AS "column", 'in_set' AS rule, count(*) AS failures FROM events WHERE event_type NOT IN ('click', 'view')
+    UNION ALL SELECT 'value', 'range', count(*) FROM events WHERE value < 5""",
+)
+def _(spark, folder):
+    """Rules added to a list and removed from it, the allowed values from a comma list."""
+    rules = R.add_rule([], "props", "regex", {"pattern": "never"})
+    rules = R.add_rule(rules, "event_type", "in_set", {"allowed": R.allowed_from_text(" click, view ,")})
+    rules = R.remove_rule(R.add_rule(rules, "value", "range", {"min": 5}), 1)
+    return R.failure_overview(R.validate(table(spark, folder, "events"), rules, "event_id"))
+
+
+_REPORT_FIELDS = {
+    "raw_records": "$.metadata.raw_records",
+    "cleaned_records": "$.metadata.cleaned_records",
+    "missing_cells_raw": "$.metadata.missing_cells_raw",
+    "missing_cells_cleaned": "$.metadata.missing_cells_cleaned",
+    "failures": "$.validation_checks.failures_count",
+}
+
+
+@query(
+    "report_file",
+    f"""WITH a AS ({summary_sql('sparse_events')}), b AS ({_after_sql()})
+    SELECT a.row_count AS raw_records, b.row_count AS cleaned_records, a.missing_cells AS missing_cells_raw, b.missing_cells AS missing_cells_cleaned,
+    (SELECT count(*) FROM ({_AFTER_VIEW}) WHERE const < 100 OR event_type IS NULL OR event_type = '') AS failures, 'sparse events' AS original_filename,
+    a.quality_score || '%' AS original_quality_score FROM a, b""",
+)
+def _(spark, folder):
+    """The report document as a file, read back."""
+    raw, cleaned = _before_after(spark, folder)
+    rules = [{"column": "const", "type": "range", "params": {"min": 100}}, {"column": "event_type", "type": "non_null"}]
+    path = new_table_path(spark, "report")
+    write_report(quality_report("sparse events", raw, cleaned, rules).frame(), path)
+    text = spark.read.text(path, wholetext=True).where("value <> ''")
+    number = lambda p: F.get_json_object("value", p).cast("long")
+    return text.select(
+        *[number(p).alias(c) for c, p in _REPORT_FIELDS.items()],
+        F.get_json_object("value", "$.original_filename").alias("original_filename"),
+        F.get_json_object("value", "$.scores.original_quality_score").alias("original_quality_score"),
+    )

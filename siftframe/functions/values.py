@@ -45,6 +45,18 @@ def col(name: str) -> Column:
     return F.col(quoted(name))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the table does not have yet, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def dtype_of(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
-from siftframe.functions.values import col, dtype_of
+from siftframe.functions.values import col, dtype_of, fresh
 from siftframe.work import written
 
 ROW_INDEX = "row_index"
@@ -21,19 +21,17 @@ def data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != ROW_INDEX]
 
 
-def _offsets(sizes: DataFrame, key: str) -> DataFrame:
-    """Running row count before each block.
+def _before(order: list[str], size: str) -> Column:
+    """Rows of all blocks before a block.
 
-    The input has one row per block (rows / 2**18, or one per input partition),
+    The input has one row per block (rows / 2**18, or one per input partition or split),
     so ordering it in a single task is cheap at any table size.
     """
-    before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select(key, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    return F.coalesce(F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def _finish(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    keep = [col(c) for c in columns if c != name]
-    return df.select(*keep, (F.col("_offset") + F.col("_local")).cast("long").alias(name))
+def _finish(df: DataFrame, columns: list[str], number: Column, name: str) -> DataFrame:
+    return df.select(*[col(c) for c in columns if c != name], number.cast("long").alias(name))
 
 
 def _file_order(df: DataFrame, name: str) -> DataFrame | None:
@@ -41,79 +39,75 @@ def _file_order(df: DataFrame, name: str) -> DataFrame | None:
 
     Tasks take files by size, so the number of the task says nothing about their order.
     """
+    path, start, mid, size, first, last, offset = fresh(df, "_path", "_start", "_mid", "_size", "_first", "_last", "_offset")
     try:
         marked = df.select(
             "*",
-            F.col("_metadata.file_path").alias("_path"),
-            F.col("_metadata.file_block_start").alias("_start"),
-            F.monotonically_increasing_id().alias("_mid"),
+            F.col("_metadata.file_path").alias(path),
+            F.col("_metadata.file_block_start").alias(start),
+            F.monotonically_increasing_id().alias(mid),
         )
         marked.schema  # noqa: B018 - resolves the hidden columns
     except AnalysisException:
         return None
     # a split's rows come to one task one after the other, unless they have been dealt anew since the scan
-    blocks = marked.groupBy("_path", "_start").agg(
-        F.count("*").alias("_size"), F.min("_mid").alias("_first"), F.max("_mid").alias("_last")
-    )
-    if not blocks.where("_last - _first + 1 <> _size").isEmpty():
+    blocks = marked.groupBy(path, start).agg(F.count("*").alias(size), F.min(mid).alias(first), F.max(mid).alias(last))
+    if not blocks.where(F.col(last) - F.col(first) + 1 != F.col(size)).isEmpty():
         return None
-    before = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
     # bounded by the number of input splits
-    offsets = blocks.select("_path", "_start", "_first", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    joined = marked.join(F.broadcast(offsets), ["_path", "_start"])
-    return _finish(joined.withColumn("_local", F.col("_mid") - F.col("_first")), df.columns, name)
+    offsets = blocks.select(path, start, first, _before([path, start], size).alias(offset))
+    joined = marked.join(F.broadcast(offsets), [path, start])
+    return _finish(joined, df.columns, F.col(offset) + F.col(mid) - F.col(first), name)
+
+
+def _by_partition(df: DataFrame, mid: str, columns: list[str], name: str) -> DataFrame:
+    """Number rows by their partition and place in it, both held by ``mid``."""
+    block, local, size, offset = fresh(df, "_block", "_local", "_size", "_offset")
+    marked = df.select("*", F.shiftright(mid, 33).alias(block), F.col(mid).bitwiseAND(F.lit((1 << 33) - 1)).alias(local))
+    sizes = marked.groupBy(block).agg(F.count("*").alias(size))
+    # bounded by the number of partitions
+    joined = marked.join(F.broadcast(sizes.select(block, _before([block], size).alias(offset))), block)
+    return _finish(joined, columns, F.col(offset) + F.col(local), name)
 
 
 def _input_order(df: DataFrame, name: str) -> DataFrame:
     by_file = _file_order(df, name)
     if by_file is not None:
         return by_file
-    marked = df.withColumn("_mid", F.monotonically_increasing_id())
-    marked = marked.select(
-        "*",
-        F.shiftright("_mid", 33).alias("_block"),
-        F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("_local"),
-    )
-    sizes = marked.groupBy("_block").agg(F.count("*").alias("_size"))
-    # bounded by the number of input partitions
-    joined = marked.join(F.broadcast(_offsets(sizes, "_block")), "_block")
-    return _finish(joined, df.columns, name)
-
-
-def _integer_order(df: DataFrame, key: str, name: str) -> DataFrame:
-    marked = df.withColumn("_block", F.shiftright(col(key).cast("long"), BUCKET_BITS))
-    sizes = marked.groupBy("_block").agg(F.count("*").alias("_size"))
-    rows, blocks, fullest = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count("*"), F.coalesce(F.max("_size"), F.lit(0))).first()
-    if fullest > 1 << BUCKET_BITS or blocks > DENSE_BLOCKS + (rows >> SPARSE_BITS):
-        return _key_order(df, [key], name)  # repeated or sparse keys
-    local = F.row_number().over(Window.partitionBy("_block").orderBy(col(key))) - 1
+    (mid,) = fresh(df, "_mid")
+    return _by_partition(df.withColumn(mid, F.monotonically_increasing_id()), mid, df.columns, name)
+
+
+def _integer_order(df: DataFrame, key: str, name: str, dense: bool = False) -> DataFrame:
+    """By buckets of consecutive integers; ``dense`` keys are known to be unique and without large gaps."""
+    block, local, size, offset = fresh(df, "_block", "_local", "_size", "_offset")
+    marked = df.withColumn(block, F.shiftright(col(key).cast("long"), BUCKET_BITS))
+    sizes = marked.groupBy(block).agg(F.count("*").alias(size))
+    if not dense:
+        rows, blocks, fullest = sizes.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*"), F.coalesce(F.max(size), F.lit(0))).first()
+        if fullest > 1 << BUCKET_BITS or blocks > DENSE_BLOCKS + (rows >> SPARSE_BITS):
+            return _key_order(df, [key], name)  # repeated or sparse keys
+    number = F.row_number().over(Window.partitionBy(block).orderBy(col(key))) - 1
     # one row per non-empty bucket, so at most rows / 2**18 plus one per gap;
     # left unhinted: the join side size is decided from run-time statistics
-    joined = marked.withColumn("_local", local).join(_offsets(sizes, "_block"), "_block")
-    return _finish(joined, df.columns, name)
+    joined = marked.withColumn(local, number).join(sizes.select(block, _before([block], size).alias(offset)), block)
+    return _finish(joined, df.columns, F.col(offset) + F.col(local), name)
 
 
 def _key_order(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     # The input position is the last sort key: ties keep input order, and a key
     # value shared by many rows still splits over several range partitions.
-    marked = df.withColumn("_tie", F.monotonically_increasing_id())
-    order = [col(k) for k in keys] + [F.col("_tie")]
+    tie, mid = fresh(df, "_tie", "_mid")
+    order = [col(k) for k in keys] + [F.col(tie)]
     placed = (
-        marked.repartitionByRange(*order)
+        df.withColumn(tie, F.monotonically_increasing_id())
+        .repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_mid", F.monotonically_increasing_id())
-        .drop("_tie")
+        .withColumn(mid, F.monotonically_increasing_id())
+        .drop(tie)
     )
     # Range bounds are sampled, so fix the outcome in a table before counting it.
-    fixed = written(placed, "row-index").select(
-        "*",
-        F.shiftright("_mid", 33).alias("_block"),
-        F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("_local"),
-    )
-    sizes = fixed.groupBy("_block").agg(F.count("*").alias("_size"))
-    # bounded by the number of shuffle partitions
-    joined = fixed.join(F.broadcast(_offsets(sizes, "_block")), "_block")
-    return _finish(joined, df.columns, name)
+    return _by_partition(written(placed, "row-index"), mid, df.columns, name)
 
 
 def with_row_index(
@@ -141,8 +135,11 @@ def with_row_index(
 
 
 def renumber(df: DataFrame, row_id: str = ROW_INDEX) -> DataFrame:
-    """Close the gaps left by removed rows; row order is kept."""
-    return with_row_index(df, row_id, name=row_id, unique_integer=True)
+    """Close the gaps left by removed rows; row order is kept.
+
+    The numbers are those of :func:`with_row_index`, so they need no check before they are used.
+    """
+    return _integer_order(df, row_id, row_id, dense=True)
 
 
 def preview(df: DataFrame, n: int = 8, row_id: str = ROW_INDEX) -> DataFrame:

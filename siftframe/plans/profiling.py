@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -34,6 +35,12 @@ class ProfileReport:
         return anomaly_log(self.table, self.columns, self.row_id, capped, numbered, self.checks, self.counts)
 
 
+def profile_reports(*tables: DataFrame, row_id: str = ROW_INDEX) -> list[ProfileReport]:
+    """Reports of several tables, whose passes run side by side."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return list(pool.map(lambda df: profile_report(df, row_id), tables))
+
+
 def profile_report(
     df: DataFrame, row_id: str = ROW_INDEX, columns: list[str] | None = None, uncapped: bool = True, limit: int = SMALL
 ) -> ProfileReport:

@@ -15,7 +15,7 @@ from siftframe.operators.report import (
 )
 from siftframe.operators.rowid import ROW_INDEX
 from siftframe.operators.rules import failure_overview, validate
-from siftframe.plans.profiling import ProfileReport, profile_report
+from siftframe.plans.profiling import ProfileReport, profile_reports
 from siftframe.work import new_table_path, written
 
 
@@ -53,7 +53,7 @@ def quality_report(
     """
     clean = written(clean, "clean")
     spark = clean.sparkSession
-    before, after = profile_report(raw, row_id), profile_report(clean, row_id)
+    before, after = profile_reports(raw, clean, row_id=row_id)
 
     def stored(log: DataFrame, tag: str) -> tuple[DataFrame, str]:
         path = new_table_path(spark, tag)

@@ -48,22 +48,60 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", multi_line
     return df.select(*[F.when(~col(c).isin(*MISSING_TOKENS), col(c)).alias(c) for c in df.columns])
 
 
-def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_json(spark: SparkSession, path: str, lines: bool = False, orient: str = "records") -> DataFrame:
     """Array of records, or one record per line with ``lines``; types as Spark infers them.
 
-    A column-oriented document (a single object of objects) is refused.
+    ``orient="columns"`` reads documents of the form {column: {row: value}}, see :func:`read_json_columns`. Such a
+    document is refused as records, as its columns would be its rows.
     """
+    if orient == "columns":
+        return read_json_columns(spark, path)
+    if orient != "records":
+        raise ValueError(f"unknown orientation: {orient}")
     df = spark.read.option("multiLine", not lines).json(path)
     nested = [f for f in df.schema.fields if f.dataType.typeName() == "struct"]
     if not lines and nested and len(nested) == len(df.schema.fields):
         keys = {n for f in nested for n in f.dataType.fieldNames()}
         if keys and all(k.isdigit() for k in keys):
-            raise ValueError("column-oriented JSON is not supported; write records instead")
+            raise ValueError('column-oriented JSON is not supported as records; read it with orient="columns"')
     if df.columns == ["_corrupt_record"]:
         raise ValueError(f"no JSON records in {path}")
     return df
 
 
+def _json_type(found: str) -> str:
+    """Column type for what the values of a column have in common."""
+    if found.startswith(("DECIMAL", "FLOAT", "DOUBLE")):
+        return "double"
+    return found.lower() if found in ("BIGINT", "BOOLEAN") else "string"
+
+
+def read_json_columns(spark: SparkSession, path: str) -> DataFrame:
+    """Documents {column: {row: value}}, one per file: a table with a row for every file and row name.
+
+    A document is taken apart as VARIANT into (row, column, value), and rows come together again by a
+    pivot. Numbers are whole numbers or doubles, truth values booleans, anything else - also columns of mixed
+    types - text; a value that a row lacks is null. A document is one value and has the size limit of
+    one; many files are many tasks.
+    """
+    documents = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("document")
+    )
+
+    def exploded(df: DataFrame, value: str) -> DataFrame:
+        return df.lateralJoin(spark.tvf.variant_explode(F.col(value).outer()))
+
+    columns = exploded(documents, "document").select("file", F.col("key").alias("column"), F.col("pos").alias("at"), F.col("value").alias("cells"))
+    cells = exploded(columns, "cells").select("file", "column", "at", F.col("key").alias("row"), F.col("value").alias("cell"))
+    # one row per column of the table
+    found = cells.groupBy("column").agg(F.schema_of_variant_agg("cell").alias("type"), F.min("at").alias("at")).orderBy("at", "column").collect()
+    if not found:
+        raise ValueError(f"no JSON documents of columns in {path}")
+    value = lambda r: F.try_variant_get("cell", "$", _json_type(r["type"]))
+    picked = [F.first(F.when(F.col("column") == r["column"], value(r)), ignorenulls=True).alias(r["column"]) for r in found]
+    return cells.groupBy("file", "row").agg(*picked).drop("file", "row")
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Use all cores on a few small files.
 

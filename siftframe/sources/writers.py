@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from siftframe.functions.values import col, fresh
 from siftframe.operators.rowid import data_columns
-from siftframe.functions.values import col
 
 
 def _data(df: DataFrame) -> DataFrame:
@@ -33,6 +34,37 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     _data(df).write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+DOCUMENT_ROWS = 10_000
+
+
+def _documents(df: DataFrame, rows: int) -> tuple[DataFrame, str, str]:
+    """The data with a document - up to so many rows of a task - and the row's place in it, and their names."""
+    data = _data(df)
+    mid, document, place = fresh(data, "_mid", "_document", "_place")
+    at = F.col(mid).bitwiseAND(F.lit((1 << 33) - 1))
+    cut = F.struct(F.shiftright(mid, 33).alias("task"), F.floor(at / rows).alias("part"))
+    numbered = data.withColumn(mid, F.monotonically_increasing_id())
+    return numbered.select(*[col(c) for c in data.columns], cut.alias(document), (at % rows).alias(place)), document, place
+
+
+def write_json_array(df: DataFrame, path: str, mode: str = "errorifexists", rows: int = DOCUMENT_ROWS) -> None:
+    """Files that each hold an array of up to ``rows`` records; nulls are kept."""
+    numbered, document, place = _documents(df, rows)
+    record = F.struct(*[col(c) for c in data_columns(df)]).alias("record")
+    lists = numbered.groupBy(document).agg(F.sort_array(F.collect_list(F.struct(col(place).alias("place"), record))).alias("rows"))
+    texts = lists.select(F.to_json(F.col("rows.record"), {"ignoreNullFields": "false"}).alias("value"))
+    texts.write.mode(mode).option("maxRecordsPerFile", 1).text(path)
+
+
+def write_json_columns(df: DataFrame, path: str, mode: str = "errorifexists", rows: int = DOCUMENT_ROWS) -> None:
+    """Files that each hold {column: {row: value}} of up to ``rows`` rows; nulls are kept."""
+    numbered, document, place = _documents(df, rows)
+    maps = [F.map_from_entries(F.collect_list(F.struct(col(place).cast("string"), col(c)))).alias(c) for c in data_columns(df)]
+    whole = numbered.groupBy(document).agg(*maps).select(F.struct(*[col(c) for c in data_columns(df)]).alias("columns"))
+    texts = whole.select(F.to_json("columns", {"ignoreNullFields": "false"}).alias("value"))
+    texts.write.mode(mode).option("maxRecordsPerFile", 1).text(path)
+
+
 def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The one-row report document as text."""
     report.select("report").write.mode(mode).text(path)

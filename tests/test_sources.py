@@ -1,4 +1,5 @@
 import io
+import json
 import zipfile
 
 import pytest
@@ -6,7 +7,9 @@ from pyspark.sql import functions as F
 
 from siftframe.operators.enrich import header_translations, mapped_values, normalized_value
 from siftframe.operators.profile import profile, profile_frame
+from siftframe.operators.rowid import renumber, with_row_index
 from siftframe.sources import readers, writers
+from siftframe.sources.readers import read_table
 
 SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -123,3 +126,32 @@ def test_function_with_fallback(spark):
     df = spark.createDataFrame([("a",), ("Paid",), ("a",), (None,)], "v string")
     got = mapped_values(df, "v", lambda s: s.map({"a": "first"}.get))
     assert sorted(map(tuple, got.collect())) == [("Paid", "completed"), ("a", "first")]
+
+
+def test_json_by_columns(spark, tmp_path):
+    one = {"name": {"0": "Ana", "1": None, "2": 'a "b"\nc'}, "n": {"0": 1, "1": 2, "2": 3}, "x": {"0": 1.5, "1": 2, "2": None}, "ok": {"0": True, "1": False}, "mixed": {"0": 1, "1": "one", "2": [1]}}
+    two = {"n": {"a": 7}, "more": {"a": "m"}}
+    (tmp_path / "1.json").write_text(json.dumps(one, indent=2))
+    (tmp_path / "2.json").write_text(json.dumps(two))
+    df = read_table(spark, str(tmp_path), "json", orient="columns")
+    assert sorted(df.columns) == sorted({*one, *two})
+    assert dict(df.dtypes) == {"name": "string", "n": "bigint", "x": "double", "ok": "boolean", "mixed": "string", "more": "string"}
+    rows = {r["n"]: r for r in df.collect()}
+    assert len(rows) == 4 and (rows[1]["name"], rows[1]["x"], rows[1]["ok"], rows[1]["mixed"]) == ("Ana", 1.5, True, "1")
+    assert (rows[2]["name"], rows[2]["x"], rows[2]["mixed"]) == (None, 2.0, "one")
+    assert (rows[3]["name"], rows[3]["ok"], rows[3]["x"]) == ('a "b"\nc', None, None) and rows[7]["more"] == "m"
+    with pytest.raises(ValueError, match="orientation"):
+        read_table(spark, str(tmp_path), "json", orient="split")
+
+
+def test_row_numbers_beside_any_column_names(spark, tmp_path):
+    names = ["_path", "_start", "_mid", "_block", "_local", "_offset", "_size", "_tie", "_first", "_last"]
+    spark.createDataFrame([tuple(range(k, k + 10)) for k in range(50)], ", ".join(f"{n} int" for n in names)).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    for numbered in (with_row_index(df), with_row_index(df.repartition(3)), with_row_index(df, "_path", unique_integer=True), with_row_index(df, ["_tie", "_mid"])):
+        assert numbered.columns == [*names, "row_index"]
+        rows = numbered.collect()
+        assert sorted(r["row_index"] for r in rows) == list(range(50))
+    assert all(r["row_index"] == r["_path"] for r in rows)
+    left = renumber(numbered.where("_path % 3 = 0")).collect()
+    assert sorted(r["row_index"] for r in left) == list(range(17)) and all(r["_path"] == 3 * r["row_index"] for r in left)
