@@ -22,6 +22,10 @@ def rows_of(spark, folder, name):
     return df, ROW_KEY[name]
 
 
+#: Views whose dates are told by their first values.
+DATES = {"dirty_dates": "first"}
+
+
 # --- row numbers ------------------------------------------------------------
 
 
@@ -145,7 +149,7 @@ def _types(name: str) -> None:
     @query(f"semantic_types_{name}", per_column(name, f"SELECT '{{column}}' AS \"column\", {TYPE} AS inferred_type FROM {FACTS}"))
     def _(spark, folder):
         df, row = rows_of(spark, folder, name)
-        prof = P.profile(df, row, list(COLUMNS[name]), quartiles=False)
+        prof = P.profile(df, row, list(COLUMNS[name]), quartiles=False, dates=DATES.get(name, "all"))
         return P.profile_frame(df, prof).select("column", "inferred_type")
 
 
@@ -257,7 +261,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     df, row = rows_of(spark, folder, "dirty_dates")
-    prof = P.profile_frame(df, P.profile(df, row, quartiles=False))
+    prof = P.profile_frame(df, P.profile(df, row, quartiles=False, dates="first"))
     return prof.where("inferred_type = 'datetime'").select("column", "min_ts", "max_ts")
 
 
@@ -279,7 +283,7 @@ def _profile(name: str) -> None:
     @query(f"schema_profile_{name}", per_column(name, PROFILE))
     def _(spark, folder):
         df, row = rows_of(spark, folder, name)
-        return flat_profile(P.profile_frame(df, P.profile(df, row, list(COLUMNS[name]))))
+        return flat_profile(P.profile_frame(df, P.profile(df, row, list(COLUMNS[name]), dates=DATES.get(name, "all"))))
 
 
 for _name in ("lineitem", "dirty_orders", "dirty_dates", "dirty_contacts", "sparse_events", "events", "documents", "customer"):
@@ -351,3 +355,19 @@ _DETAIL = f"""SELECT "column", metric, value FROM (
 def _(spark, folder):
     df, row = rows_of(spark, folder, "orders")
     return P.column_details(P.profile_frame(df, P.profile(df, row)))
+
+
+@query(
+    "schema_profile_late_dates",
+    f"""WITH d AS (SELECT *, coalesce(try_strptime(d_late, '%Y-%m-%d'), try_strptime(d_late, '%d/%m/%Y'), try_strptime(d_late, '%Y/%m/%d')) AS t,
+      try_strptime(d_some, '%Y-%m-%d') AS s FROM ({view_sql('late_dates')})),
+    f AS (SELECT 'd_late' AS "column", count(t) > 0.8 * count(*) AS dates, count(DISTINCT d_late) AS u, min(t) AS lo, max(t) AS hi FROM d
+      UNION ALL SELECT 'd_some', count(s) > 0.8 * count(*), count(DISTINCT d_some), min(s), max(s) FROM d)
+    SELECT "column", CASE WHEN dates THEN 'datetime' ELSE 'text' END AS inferred_type, u AS unique_count,
+      CASE WHEN dates THEN strftime(lo, '%Y-%m-%d %H:%M:%S') END AS min_ts, CASE WHEN dates THEN strftime(hi, '%Y-%m-%d %H:%M:%S') END AS max_ts FROM f""",
+)
+def _(spark, folder):
+    """Dates of several forms that the first values do not show."""
+    df = view(spark, folder, "late_dates", spread_table)
+    prof = P.profile_frame(df, P.profile(df, "o_orderkey", ["d_late", "d_some"]))
+    return prof.select("column", "inferred_type", "unique_count", "min_ts", "max_ts")

@@ -50,6 +50,20 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
             ("o_orderdate", "d_native"),
         ],
     ),
+    # dates of three forms behind two dozen placeholders, and a column of which a third are dates
+    "late_dates": (
+        "orders",
+        [
+            ("o_orderkey", "o_orderkey"),
+            (
+                f"CASE WHEN o_orderkey < 25 THEN 'tbd' WHEN o_orderkey % 3 = 0 THEN {ISO} "
+                f"WHEN o_orderkey % 3 = 1 THEN substr({ISO}, 9, 2) || '/' || substr({ISO}, 6, 2) || '/' || substr({ISO}, 1, 4) "
+                f"ELSE substr({ISO}, 1, 4) || '/' || substr({ISO}, 6, 2) || '/' || substr({ISO}, 9, 2) END",
+                "d_late",
+            ),
+            (f"CASE WHEN o_orderkey % 3 = 0 THEN {ISO} ELSE 'w' || CAST(o_orderkey AS STRING) END", "d_some"),
+        ],
+    ),
     "dirty_contacts": (
         "customer",
         [

@@ -1,4 +1,4 @@
-"""Date format translation and the "format of the first value" rule."""
+"""Date format translation, the "format of the first value" rule, and the shapes of dates."""
 
 from __future__ import annotations
 
@@ -100,7 +100,89 @@ def readable(fmt: str) -> bool:
     return True
 
 
-def column_formats(first_value: str | None) -> list[str]:
-    """One format fixed by the first value, or every known one if it fits none."""
-    guess = guess_format(first_value) if first_value is not None else None
-    return [guess] if guess else [d + t for d in DATE_FORMATS for t in TIME_SUFFIXES]
+def column_format(first_value: str | None) -> str | None:
+    """The format fixed by the first value of a column, if it has any."""
+    return guess_format(first_value) if first_value is not None else None
+
+
+# --- shapes -----------------------------------------------------------------
+
+LONGEST_DATE = 48  # no known format writes more
+
+
+def shape(c: Column) -> Column:
+    """Form of a text: runs of letters are ``@``, of digits ``d`` (one or two), ``Y`` (four), ``D`` (eight) or ``n``; other marks stay.
+
+    Null for texts longer than any date, which are not looked at.
+    """
+    out = F.when(F.length(c) <= LONGEST_DATE, c)
+    for pattern, mark in SHAPE_STEPS:
+        out = F.regexp_replace(out, pattern, mark)
+    return out
+
+
+SHAPE_STEPS = (
+    (r"[A-Za-z]+", "@"),
+    (r"(?<![0-9])[0-9]{1,2}(?![0-9])", "d"),
+    (r"(?<![0-9])[0-9]{4}(?![0-9])", "Y"),
+    (r"(?<![0-9])[0-9]{8}(?![0-9])", "D"),
+    (r"[0-9]+", "n"),
+)
+
+
+def text_shape(text: str) -> str:
+    """:func:`shape` of a text on the driver."""
+    for pattern, mark in SHAPE_STEPS:
+        text = re.sub(pattern, mark, text)
+    return text
+
+
+def _shapes_of(fmt: str) -> set[str]:
+    """All shapes that a format reads: fractions of one to six digits, zones as ``Z`` or with or without a colon."""
+    moment = datetime(2026, 5, 17, 10, 20, 30)
+    texts = [fmt]
+    for directive, forms in (("%f", ("1", "123", "1234")), ("%z", ("Z", "+0200", "+02:00", "-0200", "-02:00"))):
+        texts = [t.replace(directive, form) for t in texts for form in (forms if directive in fmt else ("",))]
+    return {text_shape(moment.strftime(t)) for t in texts}
+
+
+def _formats_by_shape() -> dict[str, list[str]]:
+    found: dict[str, list[str]] = {}
+    for fmt in (d + t for d in DATE_FORMATS for t in TIME_SUFFIXES):
+        for s in _shapes_of(fmt):
+            found.setdefault(s, []).append(fmt)
+    return found
+
+
+#: The one or two formats, month first, that may read texts of a shape.
+FORMATS_BY_SHAPE = _formats_by_shape()
+#: Shapes of which a text may make its column a column of dates.
+HINTED_SHAPES = {s for s, formats in FORMATS_BY_SHAPE.items() if any(looks_like_date([datetime(2026, 5, 17).strftime(f.split("%H")[0])]) for f in formats)}
+
+
+def parse_by_shape(c: Column, formats: dict[str, list[str]] | None = None) -> Column:
+    """Timestamp by the first format of a text's shape that reads it, so no text meets more than these few parsers."""
+    by_list: dict[tuple[str, ...], list[str]] = {}
+    for s, known in (FORMATS_BY_SHAPE if formats is None else formats).items():
+        by_list.setdefault(tuple(known), []).append(s)
+
+    def read(form: Column) -> Column:
+        branches = [(form.isin(shapes), parse_date(c, list(known))) for known, shapes in by_list.items()]
+        out = F.when(*branches[0])
+        for branch in branches[1:]:
+            out = out.when(*branch)
+        return out
+
+    if not by_list:
+        return F.lit(None).cast("timestamp")
+    # the shape is found once, not for each branch
+    return F.get(F.transform(F.array(shape(c)), read), 0)
+
+
+def parse_like_first(c: Column, first_value: str | None, formats: dict[str, list[str]] | None = None) -> Column:
+    """Timestamp by the format of the first value; if that is no date, by those of each text's own shape.
+
+    ``formats`` limits these to shapes known to occur.
+    """
+    fmt = column_format(first_value)
+    return parse_date(c, [fmt]) if fmt else parse_by_shape(c, formats)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftframe.functions.dates import column_formats, parse_date, readable
+from siftframe.functions.dates import FORMATS_BY_SHAPE, column_format, parse_date, parse_like_first, readable, shape
 from siftframe.functions.values import (
     FALSE_WORDS,
     TRUE_WORDS,
@@ -257,7 +257,12 @@ def _datetime(df: DataFrame, column: str, date_format: str | None) -> Column:
         first = rows.select(F.min_by(text, col(ROW_INDEX)).alias("v")).first()
     else:
         first = rows.select(text.alias("v")).first()
-    return parse_date(text, column_formats(first["v"] if first else None))
+    value = first["v"] if first else None
+    occurring = None
+    if column_format(value) is None:
+        known = rows.select(shape(text).alias("s")).where(F.col("s").isin(list(FORMATS_BY_SHAPE))).distinct()
+        occurring = {r["s"]: FORMATS_BY_SHAPE[r["s"]] for r in known.collect()}  # at most the known shapes
+    return parse_like_first(text, value, occurring)
 
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from siftframe.functions.dates import column_formats, looks_like_date, parse_date
+from siftframe.functions.dates import FORMATS_BY_SHAPE, HINTED_SHAPES, column_format, looks_like_date, parse_date, parse_like_first, shape
 from siftframe.functions.values import (
     BOOLEAN_WORDS,
     DIGEST,
@@ -386,15 +386,52 @@ def _collected_values(
     return {c: (filled.get(c, 0), unique.get(c, 0), [(k, n) for k, n, _ in values[c]]) for c in columns}
 
 
+def _date_shapes(df: DataFrame, columns: list[str]) -> dict[str, dict[str, int]]:
+    """Per text column the values of each shape that a date may have."""
+    known = list(FORMATS_BY_SHAPE)
+    wide = df.select(*[F.when(shape(col(c)).isin(known), shape(col(c))).alias(c) for c in columns])
+    counts = wide.unpivot([], [col(c) for c in columns], "column", "shape").where("shape is not null").groupBy("column", "shape").count()
+    found: dict[str, dict[str, int]] = {}
+    for r in counts.collect():  # at most one row per column and known shape
+        found.setdefault(r["column"], {})[r["shape"]] = r["count"]
+    return found
+
+
+def _dates_by_shape(df: DataFrame, shapes: dict[str, dict[str, int]]) -> dict[str, tuple[int, str, str, list[str]]]:
+    """Per column: values read, earliest and latest moment, formats. Every shape has the format that reads most of it."""
+    tries = [(c, s, f) for c, counts in shapes.items() for s in counts for f in FORMATS_BY_SHAPE[s]]
+    aggs = []
+    for i, (c, s, f) in enumerate(tries):
+        read = F.when(shape(col(c)) == s, parse_date(col(c), [f]))
+        aggs += [F.count(read).alias(f"n{i}"), *[F.date_format(g(read), TIMESTAMP_FORMAT).alias(f"{k}{i}") for k, g in (("min", F.min), ("max", F.max))]]
+    row = df.agg(*aggs).first()
+    best: dict[tuple[str, str], int] = {}
+    for i, (c, s, _) in enumerate(tries):
+        if (c, s) not in best or row[f"n{i}"] > row[f"n{best[c, s]}"]:  # month first on ties
+            best[c, s] = i
+    out = {}
+    for c in shapes:
+        mine = [i for (of, _), i in best.items() if of == c and row[f"n{i}"]]
+        if mine:
+            ends = min(row[f"min{i}"] for i in mine), max(row[f"max{i}"] for i in mine)
+            out[c] = (sum(row[f"n{i}"] for i in mine), *ends, sorted({tries[i][2] for i in mine}))
+    return out
+
+
 def profile(
     df: DataFrame,
     row_id: str = ROW_INDEX,
     columns: list[str] | None = None,
     limit: int = SMALL,
     quartiles: bool = True,
+    dates: str = "all",
 ) -> list[ColumnProfile]:
     """Profile every column in a fixed number of passes, whatever the number of columns.
 
+    A text column is one of dates if more than DATE_SHARE of all its values are read by the formats of their own
+    shapes. With ``dates="first"`` only its first DATE_PROBES values may make it one, and the very first
+    one fixes the format of all.
+
     Passes: plain aggregates; value frequencies (the one shuffle that grows with the
     data); the first rows; date parsing for text columns that look like dates; quantiles.
     What reaches the driver is a handful of values per column.
@@ -407,7 +444,9 @@ def profile(
     for i, c in enumerate(names):
         if c in times:
             aggs += [F.date_format(f(col(c)), TIMESTAMP_FORMAT).alias(f"{k}{i}") for k, f in (("min", F.min), ("max", F.max))]
-    with ThreadPoolExecutor(3) as pool:  # independent jobs, submitted together
+    texts = [c for c in names if isinstance(types[c], T.StringType)] if dates == "all" else []
+    with ThreadPoolExecutor(4) as pool:  # independent jobs, submitted together
+        wait_shapes = pool.submit(_date_shapes, df, texts) if texts else None
         wait_facts = pool.submit(df.agg(*aggs).first)
         wait_stats = pool.submit(_number_stats(df, nums, quartiles).collect) if nums else None
         wait_values = pool.submit(_collected_values, df, row_id, names)
@@ -416,9 +455,11 @@ def profile(
         head = _head(df, row_id, names, DATE_PROBES, facts["low"], facts["high"]) if total else {c: [] for c in names}
         stats = {r["column"]: r for r in wait_stats.result()} if wait_stats else {}
         ranked = wait_values.result()
+        shapes = wait_shapes.result() if wait_shapes else {}
 
     out: list[ColumnProfile] = []
-    dates: dict[str, list[str]] = {}
+    like_first: dict[str, str] = {}
+    mixed: dict[str, dict[str, int]] = {}
     for i, c in enumerate(names):
         filled, unique, values = ranked[c]
         top = [{"value": shown_text(k, types[c]), "count": n} for k, n in values[:TOP_VALUES]]
@@ -435,21 +476,26 @@ def profile(
             p.min, p.max, p.mean, p.std = (stats[c][k] for k in ("min", "max", "mean", "std"))
         elif p.inferred_type == "datetime":
             p.min_ts, p.max_ts = facts[f"min{i}"], facts[f"max{i}"]
-        elif p.inferred_type == "" and isinstance(types[c], T.StringType) and looks_like_date(head[c]):
-            dates[c] = column_formats(head[c][0])
+        elif p.inferred_type == "" and dates == "first" and isinstance(types[c], T.StringType) and looks_like_date(head[c]):
+            like_first[c] = head[c][0]
+        elif p.inferred_type == "" and not HINTED_SHAPES.isdisjoint(shapes.get(c, ())) and sum(shapes[c].values()) > DATE_SHARE * filled:
+            mixed[c] = shapes[c]
         out.append(p)
 
-    if dates:
-        parsed = {c: parse_date(col(c), f) for c, f in dates.items()}
+    read: dict[str, tuple[int, str, str, list[str]]] = _dates_by_shape(df, mixed) if mixed else {}
+    if like_first:
+        parsed = {c: parse_like_first(col(c), v) for c, v in like_first.items()}
         row = df.agg(
             *[F.count(x).alias(f"n_{c}") for c, x in parsed.items()],
             *[F.date_format(f(x), TIMESTAMP_FORMAT).alias(f"{k}_{c}") for c, x in parsed.items() for k, f in (("min", F.min), ("max", F.max))],
         ).first()
-        for p in out:
-            if p.column in dates and row[f"n_{p.column}"] / (total - p.null_count) > DATE_SHARE:
-                p.inferred_type = "datetime"
-                p.min_ts, p.max_ts = row[f"min_{p.column}"], row[f"max_{p.column}"]
-                p.date_formats = dates[p.column]
+        for c, v in like_first.items():
+            fmt = column_format(v)
+            read[c] = (row[f"n_{c}"], row[f"min_{c}"], row[f"max_{c}"], [fmt] if fmt else [])
+    for p in out:
+        count, low, high, formats = read.get(p.column, (0, None, None, []))
+        if count and count > DATE_SHARE * (total - p.null_count):
+            p.inferred_type, p.min_ts, p.max_ts, p.date_formats = "datetime", low, high, formats
     for p in out:
         p.inferred_type = p.inferred_type or _category_or_text(p)
 

@@ -68,7 +68,7 @@ def test_dates_parse_by_format(spark):
     df = column(spark, ["2026-1-5", "2026-01-05", "05/01/2026", "Jan 5, 2026", "x", None], T.StringType())
     iso = [str(r[0]) for r in df.select(dates.parse_date(F.col("v"), ["%Y-%m-%d"])).collect()]
     assert iso == ["2026-01-05 00:00:00", "2026-01-05 00:00:00", "None", "None", "None", "None"]
-    free = df.select(F.count(dates.parse_date(F.col("v"), dates.column_formats("soon")))).first()[0]
+    free = df.select(F.count(dates.parse_like_first(F.col("v"), "soon"))).first()[0]
     assert free == 4
 
 
@@ -94,5 +94,26 @@ def test_date_forms(spark):
         assert str(df.select(dates.parse_date(F.col("v"), [fmt])).first()[0]) == want
     # a first value that is no date does not hide the time of the others
     df = spark.createDataFrame([("2026-07-01 10:00:00",)], "v string")
-    assert str(df.select(dates.parse_date(F.col("v"), dates.column_formats("soon"))).first()[0]) == "2026-07-01 10:00:00"
+    assert str(df.select(dates.parse_like_first(F.col("v"), "soon")).first()[0]) == "2026-07-01 10:00:00"
     assert not dates.readable("%Q") and dates.readable("%Y")
+
+
+def test_no_text_meets_more_than_three_parsers():
+    assert max(map(len, dates.FORMATS_BY_SHAPE.values())) <= 3
+    for fmt in (d + t for d in dates.DATE_FORMATS for t in dates.TIME_SUFFIXES):
+        assert any(fmt in known for known in dates.FORMATS_BY_SHAPE.values())
+    assert "Y-d-d" in dates.HINTED_SHAPES and "d @ Y" not in dates.HINTED_SHAPES
+
+
+def test_shapes_lose_no_date(spark):
+    """Reading by shape equals trying every format in order."""
+    texts = [
+        "2026-1-5", "2026/01/05", "20260105", "1/2/2026", "13/2/2026", "1-2-26", "25-12-2026", "12/25/85", "Jan 5, 2026", "January 5, 2026", "5 Jan 2026",
+        "2026-01-05 10:11:12", "2026-01-05T10:11", "2026-01-05T10:11:12.123456", "2026-01-05 10:11:12.5", "2026-01-05 10:11:12Z", "2026-01-05T10:11:12.123456+02:00",
+        "2026-01-05 10:11:12+0200", "2026-13-45", "tomorrow", "", "12", "123456789", "2026-01-05 and a long remark that no date would ever carry with it", "@", None,
+    ]
+    df = column(spark, texts, T.StringType())
+    every = dates.parse_date(F.col("v"), [d + t for d in dates.DATE_FORMATS for t in dates.TIME_SUFFIXES])
+    rows = df.select("v", every.alias("a"), dates.parse_by_shape(F.col("v")).alias("b"), dates.shape(F.col("v")).alias("s")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] and sum(r["b"] is not None for r in rows) >= 16
+    assert all(r["s"] == dates.text_shape(r["v"]) for r in rows if r["v"] is not None and len(r["v"]) <= dates.LONGEST_DATE)
