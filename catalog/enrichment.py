@@ -12,6 +12,7 @@ from catalog.views import EMAIL, view, view_sql
 from siftframe.operators import enrich as N
 from siftframe.operators.profile import profile, profile_frame
 from siftframe.plans.cleaning import clean_and_enrich, new_config
+from siftframe.work import new_table_path
 
 MATERIALS = view_sql("materials")
 _SLUG = "trim(regexp_replace(regexp_replace(translate({v}, ' -', '__'), '[^\\p{L}\\p{N}_]', '', 'g'), '_+', '_', 'g'), '_')"
@@ -104,6 +105,23 @@ def _(spark, folder):
     return N.mapped_values(view(spark, folder, "materials"), "material", before_dash)
 
 
+@query(
+    "values_mapped_with_memo",
+    f"""SELECT DISTINCT material AS original, CASE WHEN contains(material, ' - ') THEN split_part(material, ' - ', 1)
+    ELSE {normal_sql('material')} END AS standard FROM ({MATERIALS}) WHERE material IS NOT NULL""",
+)
+def _(spark, folder):
+    """The second run asks for the values that the first one, over other parts, has not mapped."""
+
+    def before_dash(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: v.split(" - ")[0] if " - " in v else None)
+
+    memo, df = new_table_path(spark, "memo"), view(spark, folder, "materials")
+    first = df.where(F.col("p_brand") == df.agg(F.min("p_brand")).first()[0])
+    N.remembered_values(first, "material", before_dash, memo)
+    return N.remembered_values(df, "material", before_dash, memo)
+
+
 @query(
     "clean_translate_replace",
     f"""SELECT c_custkey AS customer_id, c_name AS customer_name, {EMAIL} AS email_address, {normal_sql('c_mktsegment')} AS mkt_segment,

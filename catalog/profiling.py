@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query
 from catalog.sqlgen import COLUMNS, FACTS, LINE_KEY, PROFILE, ROW_KEY, SAMPLES, TYPE, num_sql, per_column, text_sql
 from catalog.views import spread_table, table, view, view_sql
+from siftframe.operators import merged as M
 from siftframe.operators import profile as P
 from siftframe.operators.rowid import preview, renumber, with_row_index
 from siftframe.sources.readers import read_table
@@ -371,3 +372,22 @@ def _(spark, folder):
     df = view(spark, folder, "late_dates", spread_table)
     prof = P.profile_frame(df, P.profile(df, "o_orderkey", ["d_late", "d_some"]))
     return prof.select("column", "inferred_type", "unique_count", "min_ts", "max_ts")
+
+
+@query(
+    "profile_merged",
+    per_column(
+        "events",
+        "SELECT '{column}' AS \"column\", count(*) AS total_count, count(*) - count(t) AS null_count, count(x) AS numbers, min(x) AS \"min\", "
+        "max(x) AS \"max\", round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std FROM {source}",
+        ["user_id", "event_type", "value"],
+    ),
+)
+def _(spark, folder):
+    """Every kind of event is profiled on its own and appended; the whole comes from these profiles."""
+    path = new_table_path(spark, "parts")
+    events = table(spark, folder, "events").select("event_type", "user_id", "value")
+    for r in events.select("event_type").distinct().orderBy("event_type").collect():
+        M.append_part(events.where(F.col("event_type") == r["event_type"]), r["event_type"], path)
+    whole = M.merged_profile(M.read_parts(events, path))
+    return whole.select("column", "total_count", "null_count", "numbers", "min", "max", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))

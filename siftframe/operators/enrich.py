@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siftframe.functions.values import col, dtype_of, show_cell, slug, strip
 from siftframe.operators.clean import rename, without_collisions
 from siftframe.operators.fuzzy import apply_mapping
+from siftframe.work import written
 
 # --- fixed values -----------------------------------------------------------
 # header key -> (standard name, description, type)
@@ -135,6 +136,35 @@ def mapped_values(df: DataFrame, column: str, function: Callable[[pd.Series], pd
     return mapped.select("original", F.coalesce("standard", normalized_value(F.col("original"))).alias("standard"))
 
 
+MEMO_SCHEMA = "context string, original string, standard string"
+
+
+def remembered_values(df: DataFrame, column: str, function: Callable[[pd.Series], pd.Series], memo: str, context: str = "") -> DataFrame:
+    """As :func:`mapped_values`, with a table of all values ever mapped in a context at the path ``memo``.
+
+    The function is called for values that are not there yet, and what it returns - nothing, too - is appended, so a
+    later table costs calls for its new values only. A value that two runs append at once has two rows, of which the least counts.
+    """
+    spark = df.sparkSession
+    wanted = written(distinct_texts(df, column), "values-wanted")
+
+    def known() -> DataFrame:
+        rows = spark.read.schema(MEMO_SCHEMA).parquet(memo).where(F.col("context") == context)
+        return rows.groupBy("original").agg(F.min("standard").alias("standard"))
+
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                yield pd.DataFrame({"context": context, "original": part["original"], "standard": function(part["original"])})
+
+    # an empty append makes the table exist
+    spark.createDataFrame([], MEMO_SCHEMA).write.mode("append").parquet(memo)
+    new = wanted.join(known(), "original", "left_anti")
+    new.mapInPandas(batches, MEMO_SCHEMA).write.mode("append").parquet(memo)
+    found = wanted.join(known(), "original", "left")
+    return found.select("original", F.coalesce("standard", normalized_value(F.col("original"))).alias("standard"))
+
+
 def normalize_values(df: DataFrame, column: str) -> DataFrame:
     """Replace the values of a column by their normalized form.
 
