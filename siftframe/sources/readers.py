@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftframe.functions.values import col
+from siftframe.sources.csv_splits import split_records
 from siftframe.sources.excel import read_excel
 
 # --- fixed values: CSV cells read as missing ---------------------------------
@@ -30,12 +32,32 @@ def _csv(spark: SparkSession, path: str, encoding: str, multi_line: bool) -> Dat
     )
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", multi_line: bool = True) -> DataFrame:
+#: Columns that say where a record lies, to number rows by; in the order of the files and of the records in a file.
+PLACE = ["_file", "_block", "_line"]
+
+
+def _split_csv(spark: SparkSession, path: str, encoding: str) -> DataFrame | None:
+    """As :func:`_csv`, with PLACE, by several tasks per file; None where that is not needed or not possible."""
+    records = split_records(spark, path, encoding) if encoding.lower() in ("utf-8", "iso-8859-1") else None
+    if records is None:
+        return None
+    names = [n.removesuffix("\r") for n in _csv(spark, path, encoding, True).columns]
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    options = {"quote": '"', "escape": '"', "multiLine": "true"}
+    # the first record of every file is its header; empty lines are no records
+    data = records.where("NOT (block = 0 AND line = 0)").withColumn("value", F.regexp_replace("value", "\r$", "")).where("value <> ''")
+    parsed = data.select(F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("r"), "file", "block", "line")
+    return parsed.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)], *[F.col(p[1:]).alias(p) for p in PLACE])
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", multi_line: bool = True, place: bool = False) -> DataFrame:
     """All columns as text; the usual missing-value words become null.
 
     ``encoding="auto"`` falls back to Latin-1 when the text is not valid UTF-8
-    (one counting pass). ``multi_line=False`` lets large files without line breaks
-    in cells be split over tasks.
+    (one counting pass). Files larger than a split are read by several tasks, line breaks in cells or not; a file
+    whose quotes do not pair is read by one. ``place`` adds the columns PLACE, by which rows of files that were split
+    can be numbered in their order (null where no file was split: input order then is the order of the rows).
+    ``multi_line=False`` saves the pass that counts quotes, for files without line breaks in cells.
     """
     if encoding == "auto":
         df = _csv(spark, path, "utf-8", multi_line)
@@ -44,8 +66,14 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", multi_line
             broken = broken | F.coalesce(col(c).contains(REPLACEMENT), F.lit(False))
         bad_header = any(REPLACEMENT in c for c in df.columns)
         encoding = "iso-8859-1" if bad_header or not df.where(broken).isEmpty() else "utf-8"
-    df = _csv(spark, path, encoding, multi_line)
-    return df.select(*[F.when(~col(c).isin(*MISSING_TOKENS), col(c)).alias(c) for c in df.columns])
+    split = _split_csv(spark, path, encoding) if multi_line else None
+    df = _csv(spark, path, encoding, multi_line) if split is None else split
+    names = [c for c in df.columns if split is None or c not in PLACE]
+    cells = [F.when(~col(c).isin(*MISSING_TOKENS), col(c)).alias(c) for c in names]
+    if place:
+        kinds = ("string", "long", "long")
+        cells += [F.lit(None).cast(k).alias(p) if split is None else F.col(p) for p, k in zip(PLACE, kinds)]
+    return df.select(*cells)
 
 
 def read_json(spark: SparkSession, path: str, lines: bool = False, orient: str = "records") -> DataFrame:

@@ -155,3 +155,40 @@ def test_row_numbers_beside_any_column_names(spark, tmp_path):
     assert all(r["row_index"] == r["_path"] for r in rows)
     left = renumber(numbered.where("_path % 3 = 0")).collect()
     assert sorted(r["row_index"] for r in left) == list(range(17)) and all(r["_path"] == 3 * r["row_index"] for r in left)
+
+
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+def test_large_csv_files_are_split(spark, tmp_path, ends):
+    cells = ['plain', 'a "quoted" word', 'two\nlines', 'x,y', '"', '\n\n', '', 'é', 'many\n' * 200, None]
+    rows = [(str(k), cells[(k * 7) % 10], cells[(k * 3) % 9]) for k in range(3000)]
+    quoted = lambda v: "" if v is None else '"' + v.replace('"', '""') + '"' if any(x in v for x in '",\n') else v
+    (tmp_path / "in").mkdir()
+    for name, part in (("a", rows[:2500]), ("b", rows[2500:])):
+        text = ends.join(["id,one,\"two\nnames\"", *(",".join(map(quoted, r)) for r in part)]) + ends
+        (tmp_path / "in" / f"{name}.csv").write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = readers.read_csv(spark, str(tmp_path / "in"), place=True)
+        got = df.collect()
+        tasks = df.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert tasks > 10 and df.columns[:3] == ["id", "one", "two\nnames"]
+    ordered = sorted(got, key=lambda r: (r["_file"], r["_block"], r["_line"]))
+    assert [tuple(r)[:3] for r in ordered] == [tuple(v or None for v in r) for r in rows]
+    if ends == "\n":
+        whole = readers.read_csv(spark, str(tmp_path / "in"))
+        assert whole.columns == df.columns[:3]
+        assert sorted(map(str, map(tuple, whole.collect()))) == sorted(str(tuple(r)[:3]) for r in got)
+
+
+def test_csv_with_unpaired_quotes_is_read_whole(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,v\n" + "".join(f"{k},x\n" for k in range(2000)) + '9999,5" pipe\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        rows = readers.read_csv(spark, str(tmp_path / "a.csv")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 2001 and rows[-1]["v"] == '5" pipe'
