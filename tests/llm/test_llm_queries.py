@@ -60,3 +60,28 @@ def test_pipeline_stages(spark):
     pieces = corpus_pipeline.run(spark, FOLDER)
     found = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("of")).collect()
     assert {r["doc_id"] for r in found} == set(kept[3]) and all(r["n"] == r["of"] for r in found)
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing columns, and no rows."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").orderBy("doc_id").limit(60)
+    clash = [F.lit(c).alias(c) for c in ("_of", "maybe", "sha", "near_id", "score", "lang_pred", "key", "block")]
+    docs = docs.select("*", *clash)
+    sample = docs.first().asDict()
+    odd = [{**sample, "doc_id": i, "text": t, "lang": None} for i, t in ((None, None), (None, sample["text"]), (900, ""), (900, ""), (901, None), (902, "word " * 60_000), (903, "#"))]
+    table = docs.unionByName(spark.createDataFrame(odd, docs.schema)).unionByName(docs.limit(5))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, FOLDER)
+        rows = out.collect()
+        assert stage(spark, table.limit(0), FOLDER).count() == 0, name
+        if name == "packing":
+            assert sum(r["length"] for r in rows) == sum(r["doc_tokens"] for r in rows if r["start"] == 0)
+            continue
+        assert out.columns == docs.columns and 0 < len(rows) <= table.count(), name
+        texts = [r["text"] or "" for r in rows]
+        if name == "exact dedup":
+            assert len(texts) == len(set(texts)) == len({r["text"] or "" for r in table.collect()})
+        elif name == "minhash near-dedup":
+            assert sum(r["doc_id"] is None for r in rows) == 2 and texts.count("") >= 3
+        elif name == "language id":
+            assert "" not in texts and "#" not in texts
