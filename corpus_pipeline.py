@@ -2,6 +2,14 @@
 
 Every stage takes (spark, docs, folder of tables) and returns a DataFrame, which is written as
 Parquet and read again as the next one's input. All but the last return the columns they got.
+
+Defined results, for every stage: null text counts as empty; an empty table gives an empty table; columns beside
+doc_id, text and lang are carried whatever their names, and do not influence a decision. Rows with a null id are
+judged by their text: the quality and language stages learn nothing from them, exact dedup takes them as smaller and near-dedup as
+larger than any id, which also never drops them. Rows that repeat id and text are one document, of which exact dedup
+leaves one; rows that share an id but not the text are documents of their own. Ties are impossible beyond that: of
+equal texts the largest id stays, of near ones the smallest. Empty texts have no letters, so language ID drops them; were they
+to come further, they would be exact copies of each other and near copies of nothing, and be packed as one end token.
 """
 
 from __future__ import annotations
