@@ -87,3 +87,73 @@ def test_quality_edge_cases(spark):
     without = quality.fit(docs, labels.limit(0), F.lit(True))
     assert {r["_score"] for r in quality.score(docs, without).collect()} == {0.5}
     assert quality.keep_good(docs.limit(0), model).collect() == []
+
+
+def plain_buckets(data: bytes) -> list[int]:
+    """Buckets of all n-grams, one by one."""
+    data = [b if b >= 128 or chr(b).isalpha() else 32 for b in data]
+    out = []
+    for at in range(len(data) - 2):
+        code = 0
+        for k in range(3):
+            code = (code * 257 + data[at + k]) % 2**32
+            out.append(((code + k + 1) * 2654435761 % 2**32) >> (32 - 15))
+    return out
+
+
+def test_counts_and_decoding_by_plain_loops(docs):
+    import math
+
+    texts = [r["text"].lower() for r in docs.orderBy("doc_id").limit(40).collect()]
+    joined = b"".join(b" " + t.encode() + b"  " for t in texts)
+    counts = np.zeros(language.BUCKETS)
+    for bucket in plain_buckets(joined):
+        counts[bucket] += 1
+    assert (language.gram_counts(texts) == counts).all()
+    model = language.fit(docs, F.lit(True))
+    names, scores, close = model.decode(texts)
+    for text, name, score, ambiguous in zip(texts, names, scores, close):
+        data = b" " + text.encode() + b"  "
+        margins = [0.0] * model.code.shape[1]
+        for bucket in plain_buckets(data):
+            for bit in range(len(margins)):
+                margins[bit] += 8 * model.weights[bucket, bit] / (3 * len(data))
+        losses = [sum(t * math.log1p(math.exp(-c * m)) for t, c, m in zip(model.trust, row, margins)) for row in model.code]
+        shares = [math.exp(min(losses) - x) for x in losses]
+        shares = [s / sum(shares) for s in shares]
+        ranked = sorted(shares, reverse=True)
+        assert name == model.languages[shares.index(ranked[0])]
+        assert abs(score - ranked[0]) < 1e-3
+        assert ambiguous == (ranked[0] - ranked[1] < language.AMBIGUOUS) or abs(ranked[0] - ranked[1] - language.AMBIGUOUS) < 1e-2
+
+
+def test_risk_is_least_where_training_ends():
+    """The risk written out, its slope by finite differences, and scores by a plain loop."""
+    import math
+
+    rng = np.random.default_rng(3)
+    positive = rng.normal(1, 1, (300, 3))
+    unlabelled = np.r_[rng.normal(1, 1, (350, 3)), rng.normal(-1, 1, (350, 3))]
+    model = quality.nn_pu(positive, unlabelled, 0.5, steps=4000, rate=0.01)
+
+    def risk(w: list[float]) -> float:
+        def margin(x):
+            z = [min(8, max(-8, (a - m) / s)) for a, m, s in zip(x, model.mean, model.scale)]
+            return sum(a * b for a, b in zip(z, w)) + w[-1]
+
+        loss = lambda g: math.log1p(math.exp(-g))
+        of_p = sum(loss(margin(x)) for x in positive) / len(positive)
+        not_p = sum(loss(-margin(x)) for x in positive) / len(positive)
+        not_u = sum(loss(-margin(x)) for x in unlabelled) / len(unlabelled)
+        return 0.5 * of_p + max(0.0, not_u - 0.5 * not_p) + 0.5e-4 * sum(a * a for a in w[:-1])
+
+    w = [*model.weights, model.bias]
+    least = risk(w)
+    for k in range(len(w)):
+        up, down = (risk([a + (d if i == k else 0) for i, a in enumerate(w)]) for d in (1e-4, -1e-4))
+        assert abs(up - down) / 2e-4 < 0.02  # training swings about the kink where the risk of negatives is zero
+        for d in (0.3, -0.3):
+            assert risk([a + (d if i == k else 0) for i, a in enumerate(w)]) > least
+    for x in positive[:20]:
+        z = sum(min(8, max(-8, (a - m) / s)) * b for a, m, s, b in zip(x, model.mean, model.scale, model.weights)) + model.bias
+        assert abs(model.score(x[None])[0] - 1 / (1 + math.exp(-z))) < 1e-12
