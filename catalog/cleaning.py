@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import query
+from catalog.sqlgen import num_sql
 from catalog.views import EMAIL, table, view, view_sql
 from siftframe.operators import clean as C
-from siftframe.plans.cleaning import new_config
+from siftframe.plans.cleaning import add_conversion, add_imputation, clean_and_enrich, new_config, remove_step
 
 ORDERS = view_sql("dirty_orders")
 DUPS = view_sql("dirty_dups")
@@ -282,3 +283,31 @@ def _(spark, folder):
     """A format that cannot be read leaves the column alone."""
     df = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderdate").cast("string").alias("d"))
     return C.convert(df, "d", "datetime", "%Q")
+
+
+_MODE = "(SELECT {c} FROM v WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
+
+
+@query(
+    "impute_modes",
+    f"""WITH v AS ({ORDERS}) SELECT o_orderkey, coalesce(status, {_MODE.format(c='status')}) AS status,
+    coalesce(price_txt, {_MODE.format(c='price_txt')}) AS price_txt, round(coalesce(price, {_MODE.format(c='price')}), 4) AS price FROM v""",
+)
+def _(spark, folder):
+    """The modes of all columns from one pass."""
+    steps = [{"column": c, "method": "mode"} for c in ("status", "price_txt", "price")]
+    filled = C.impute(view(spark, folder, "dirty_orders"), steps)
+    return filled.select("o_orderkey", "status", "price_txt", F.round("price", 4).alias("price"))
+
+
+@query(
+    "config_builder",
+    f"""SELECT o_orderkey, coalesce(status, 'none') AS status, {num_sql('price_txt', 'text')} AS price_txt, flag FROM ({ORDERS})""",
+)
+def _(spark, folder):
+    """A configuration put together step by step: the last step of a column wins, and a step is taken back."""
+    config = new_config(standardize_headers=None, trim_whitespace=False, remove_duplicates=False)
+    config = add_imputation(add_imputation(config, "status", "mode"), "status", "constant", "none")
+    config = add_conversion(add_conversion(config, "price_txt", "int"), "flag", "boolean")
+    config = remove_step(add_conversion(config, "price_txt", "float"), "conversions", 0)
+    return clean_and_enrich(view(spark, folder, "dirty_orders"), config).select("o_orderkey", "status", "price_txt", "flag")

@@ -391,3 +391,15 @@ def _(spark, folder):
         M.append_part(events.where(F.col("event_type") == r["event_type"]), r["event_type"], path)
     whole = M.merged_profile(M.read_parts(events, path))
     return whole.select("column", "total_count", "null_count", "numbers", "min", "max", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+
+
+@query(
+    "profile_nested",
+    """SELECT 'embedding' AS "column", CASE WHEN count(DISTINCT embedding) <= 15 THEN 'categorical' ELSE 'text' END AS inferred_type, count(*) AS total_count,
+    count(*) - count(embedding) AS null_count, count(DISTINCT embedding) AS unique_count FROM embeddings""",
+)
+def _(spark, folder):
+    """An array column is profiled as the JSON text of its values."""
+    df = table(spark, folder, "embeddings")
+    prof = P.profile_frame(df, P.profile(df, "vec_id", ["embedding"]))
+    return prof.select("column", "inferred_type", "total_count", "null_count", "unique_count")

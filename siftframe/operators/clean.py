@@ -109,15 +109,22 @@ def _as_column_type(value: float, dtype: T.DataType) -> Column:
     return F.lit(float(value))
 
 
-def most_frequent(df: DataFrame, column: str) -> Any:
-    """Most frequent non-missing value, the smallest on a tie; None without values.
+def most_frequent(df: DataFrame, columns: list[str]) -> dict[str, Any]:
+    """Most frequent non-missing value of each column, the smallest on a tie; None without values.
 
-    Counts are combined map-side and only the best of each task is compared.
+    One pass for all columns: every column is a grouping set of its own, counts are combined map-side and only
+    the best of each task is compared.
     """
-    dtype = dtype_of(df, column)
-    counts = df.select(present(col(column), dtype).alias("v")).where("v is not null").groupBy("v").count()
-    best = counts.orderBy(F.desc("count"), F.asc("v")).first()
-    return best["v"] if best else None
+    cells = df.select(*[present(col(c), dtype_of(df, c)).alias(f"v{i}") for i, c in enumerate(columns)])
+    sets = [[F.col(name)] for name in cells.columns]
+    counts = cells.groupingSets(sets, *cells.columns).agg(F.count("*").alias("n"), F.grouping_id().alias("of"))
+    every = (1 << len(columns)) - 1
+    best = []
+    for i, name in enumerate(cells.columns):
+        own = F.col("of") == every - (1 << (len(columns) - 1 - i))
+        best.append(F.min(F.when(own & F.col(name).isNotNull(), F.struct((-F.col("n")).alias("n"), F.col(name).alias("v")))).alias(name))
+    row = counts.agg(*best).first()
+    return {c: row[i]["v"] if row[i] is not None else None for i, c in enumerate(columns)}
 
 
 def _fill(df: DataFrame, column: str, value: Column | None, widen: bool = False) -> Column:
@@ -147,7 +154,7 @@ def _constant(dtype: T.DataType, value: Any) -> tuple[Column, bool]:
 
 
 def _imputed(df: DataFrame, batch: list[dict]) -> DataFrame:
-    """Fill several columns; the means share one aggregate and the medians another."""
+    """Fill several columns; the means share one aggregate, the medians another and the modes a third."""
     by = {m: [i["column"] for i in batch if i["method"] == m] for m in ("mean", "median", "mode")}
     nums = {c: try_num(col(c), dtype_of(df, c)) for m in ("mean", "median") for c in by[m]}
     values: dict[str, float] = {}
@@ -156,6 +163,7 @@ def _imputed(df: DataFrame, batch: list[dict]) -> DataFrame:
         values |= {c: row[c] for c in by["mean"]}
     if by["median"]:
         values |= {c: q[0] for c, q in exact_quantiles(df, {c: nums[c] for c in by["median"]}, [0.5]).items()}
+    modes = most_frequent(df, by["mode"]) if by["mode"] else {}
     new: dict[str, Column] = {}
     for i in batch:
         c, dtype = i["column"], dtype_of(df, i["column"])
@@ -163,7 +171,7 @@ def _imputed(df: DataFrame, batch: list[dict]) -> DataFrame:
             v = values.get(c)
             new[c] = _fill(df, c, None if v is None else _as_column_type(v, dtype), widen=v is not None)
         elif i["method"] == "mode":
-            v = most_frequent(df, c)
+            v = modes[c]
             new[c] = _fill(df, c, None if v is None else F.lit(v).cast(dtype))
         elif i["method"] == "constant":
             literal, fits = _constant(dtype, i.get("value"))
