@@ -27,7 +27,7 @@ from siftframe.streaming.monitor import (
     write_available,
     write_updates,
 )
-from siftframe.work import new_table_path, written
+from siftframe.work import new_table_path
 
 ORDERS = view_sql("dirty_orders")
 CONTACTS = view_sql("dirty_contacts")
@@ -238,7 +238,7 @@ def _after_sql() -> str:
 )
 def _(spark, folder):
     raw, cleaned = _before_after(spark, folder)
-    return comparison_frame(*profile_reports(raw, written(cleaned, "clean")))
+    return comparison_frame(*profile_reports(raw, cleaned))
 
 
 @query("quality_report_document")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
@@ -29,6 +29,7 @@ from siftframe.functions.values import (
 )
 from siftframe.operators.quantiles import SMALL, Extent, exact_quantiles, marks
 from siftframe.operators.rowid import ROW_INDEX, data_columns
+from siftframe.work import written
 
 # --- fixed values -----------------------------------------------------------
 NUMERIC_SHARE = 0.9  # share of parsable values must exceed this
@@ -418,6 +419,45 @@ def _dates_by_shape(df: DataFrame, shapes: dict[str, dict[str, int]]) -> dict[st
     return out
 
 
+def _numbers(df: DataFrame, names: list[str]) -> dict[str, Column]:
+    """Columns that may hold numbers, as such."""
+    types = {c: dtype_of(df, c) for c in names}
+    return {c: try_num(col(c), types[c]) for c in names if is_native_number(types[c]) or isinstance(types[c], T.StringType)}
+
+
+def _fact_aggregates(df: DataFrame, row_id: str, names: list[str]) -> list[Column]:
+    aggs = [F.count("*").alias("total"), F.min(col(row_id)).alias("low"), F.max(col(row_id)).alias("high")]
+    for i, c in enumerate(names):
+        if is_native_time(dtype_of(df, c)):
+            aggs += [F.date_format(f(col(c)), TIMESTAMP_FORMAT).alias(f"{k}{i}") for k, f in (("min", F.min), ("max", F.max))]
+    return aggs
+
+
+@dataclass
+class Facts:
+    """What a pass over a table has found already: plain facts, and the number statistics of columns."""
+
+    plain: dict
+    stats: dict[str, dict]
+
+
+def written_with_facts(df: DataFrame, tag: str, row_id: str = ROW_INDEX, columns: list[str] | None = None) -> tuple[DataFrame, Facts]:
+    """Write a table and read it back; the facts of its profile are observed on the way, without a pass of their own."""
+    names = _columns(df, columns)
+    seen, aggs = Observation(), _fact_aggregates(df, row_id, names)
+    numbers = _numbers(df, names)
+    for i, x in enumerate(numbers.values()):
+        found = {"n": F.count(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "std": F.coalesce(F.stddev_samp(x), F.lit(0.0)), "marks": marks(x, QUARTILES)}
+        aggs += [value.alias(f"{kind}_{i}") for kind, value in found.items()]
+    table = written(df.observe(seen, *aggs), tag)
+    row = seen.get
+    stats = {}
+    for i, c in enumerate(numbers):
+        if row[f"n_{i}"]:
+            stats[c] = {kind: row[f"{kind}_{i}"] for kind in ("n", "min", "max", "mean", "std", "marks")}
+    return table, Facts(row, stats)
+
+
 def profile(
     df: DataFrame,
     row_id: str = ROW_INDEX,
@@ -425,12 +465,13 @@ def profile(
     limit: int = SMALL,
     quartiles: bool = True,
     dates: str = "all",
+    facts: Facts | None = None,
 ) -> list[ColumnProfile]:
     """Profile every column in a fixed number of passes, whatever the number of columns.
 
     A text column is one of dates if more than DATE_SHARE of all its values are read by the formats of their own
     shapes. With ``dates="first"`` only its first DATE_PROBES values may make it one, and the very first
-    one fixes the format of all.
+    one fixes the format of all. ``facts`` are those of :func:`written_with_facts`, for the same columns.
 
     Passes: plain aggregates; value frequencies (the one shuffle that grows with the
     data); the first rows; date parsing for text columns that look like dates; quantiles.
@@ -438,22 +479,17 @@ def profile(
     """
     names = _columns(df, columns)
     types = {c: dtype_of(df, c) for c in names}
-    nums = {c: try_num(col(c), types[c]) for c in names if is_native_number(types[c]) or isinstance(types[c], T.StringType)}
-    times = [c for c in names if is_native_time(types[c])]
-    aggs = [F.count("*").alias("total"), F.min(col(row_id)).alias("low"), F.max(col(row_id)).alias("high")]
-    for i, c in enumerate(names):
-        if c in times:
-            aggs += [F.date_format(f(col(c)), TIMESTAMP_FORMAT).alias(f"{k}{i}") for k, f in (("min", F.min), ("max", F.max))]
+    nums = _numbers(df, names)
     texts = [c for c in names if isinstance(types[c], T.StringType)] if dates == "all" else []
     with ThreadPoolExecutor(4) as pool:  # independent jobs, submitted together
         wait_shapes = pool.submit(_date_shapes, df, texts) if texts else None
-        wait_facts = pool.submit(df.agg(*aggs).first)
-        wait_stats = pool.submit(_number_stats(df, nums, quartiles).collect) if nums else None
+        wait_plain = pool.submit(df.agg(*_fact_aggregates(df, row_id, names)).first) if facts is None else None
+        wait_stats = pool.submit(_number_stats(df, nums, quartiles).collect) if nums and facts is None else None
         wait_values = pool.submit(_collected_values, df, row_id, names)
-        facts = wait_facts.result()
-        total = facts["total"]
-        head = _head(df, row_id, names, DATE_PROBES, facts["low"], facts["high"]) if total else {c: [] for c in names}
-        stats = {r["column"]: r for r in wait_stats.result()} if wait_stats else {}
+        plain = wait_plain.result() if wait_plain else facts.plain
+        total = plain["total"]
+        head = _head(df, row_id, names, DATE_PROBES, plain["low"], plain["high"]) if total else {c: [] for c in names}
+        stats = {r["column"]: r for r in wait_stats.result()} if wait_stats else facts.stats if facts else {}
         ranked = wait_values.result()
         shapes = wait_shapes.result() if wait_shapes else {}
 
@@ -475,7 +511,7 @@ def profile(
         if p.inferred_type == "numeric" and c in stats:
             p.min, p.max, p.mean, p.std = (stats[c][k] for k in ("min", "max", "mean", "std"))
         elif p.inferred_type == "datetime":
-            p.min_ts, p.max_ts = facts[f"min{i}"], facts[f"max{i}"]
+            p.min_ts, p.max_ts = plain[f"min{i}"], plain[f"max{i}"]
         elif p.inferred_type == "" and dates == "first" and isinstance(types[c], T.StringType) and looks_like_date(head[c]):
             like_first[c] = head[c][0]
         elif p.inferred_type == "" and not HINTED_SHAPES.isdisjoint(shapes.get(c, ())) and sum(shapes[c].values()) > DATE_SHARE * filled:

@@ -16,7 +16,7 @@ from siftframe.operators.report import (
 from siftframe.operators.rowid import ROW_INDEX
 from siftframe.operators.rules import failure_overview, validate
 from siftframe.plans.profiling import ProfileReport, profile_reports
-from siftframe.work import new_table_path, written
+from siftframe.work import new_table_path
 
 
 @dataclass
@@ -47,13 +47,12 @@ def quality_report(
 ) -> QualityReport:
     """Profile both tables, validate the cleaned one and gather the document.
 
-    The cleaned table is read by every pass, so it is written once and its cleaning is
-    not repeated. Both logs are written as tables (columns of the failure log and of the numbered
+    Both logs are written as tables (columns of the failure log and of the numbered
     anomaly log) of any length; the document names them and holds the numbers per column.
     """
-    clean = written(clean, "clean")
     spark = clean.sparkSession
-    before, after = profile_reports(raw, clean, row_id=row_id)
+    before, after = profile_reports(raw, clean, row_id)
+    clean = after.table
 
     def stored(log: DataFrame, tag: str) -> tuple[DataFrame, str]:
         path = new_table_path(spark, tag)

@@ -142,6 +142,20 @@ def test_a_wrong_sketch_is_noticed(spark):
         assert got == {"x": [499.5]}
 
 
+def test_observed_facts_give_the_same_profile(spark):
+    rows = [(i, None if i % 7 == 0 else i / 3, f"{i % 50}.5" if i % 11 else "n.a.", f"2026-01-{i % 28 + 1:02d}", None) for i in range(500)]
+    df = spark.createDataFrame(rows, "row_index long, x double, t string, d string, nothing double").withColumn("when", F.to_timestamp("d"))
+    table, facts = P.written_with_facts(df, "facts")
+    got, want = P.profile(table, facts=facts), P.profile(df)
+    for a, b in zip(got, want):
+        # sums depend on the order of the tasks in their last digits
+        assert (a.mean, a.std) == pytest.approx((b.mean, b.std)) if b.mean is not None else (a.mean, a.std) == (None, None)
+        a.mean, a.std = b.mean, b.std
+    assert got == want
+    empty, none = P.written_with_facts(df.limit(0), "facts")
+    assert P.profile(empty, facts=none) == P.profile(df.limit(0))
+
+
 def test_outlier_rules():
     assert A.outlier_bounds(1, 3, 2, 1) == A.OutlierBounds(-2.0, 6.0)
     assert A.outlier_bounds(5, 5, 5.5, 2.0) == A.OutlierBounds(center=5.5, reach=6.0)
