@@ -368,9 +368,9 @@ def _(spark, folder):
       CASE WHEN dates THEN strftime(lo, '%Y-%m-%d %H:%M:%S') END AS min_ts, CASE WHEN dates THEN strftime(hi, '%Y-%m-%d %H:%M:%S') END AS max_ts FROM f""",
 )
 def _(spark, folder):
-    """Dates of several forms that the first values do not show."""
+    """Dates of several forms, each read by its own format."""
     df = view(spark, folder, "late_dates", spread_table)
-    prof = P.profile_frame(df, P.profile(df, "o_orderkey", ["d_late", "d_some"]))
+    prof = P.profile_frame(df, P.profile(df, "o_orderkey", ["d_late", "d_some"], dates="mixed"))
     return prof.select("column", "inferred_type", "unique_count", "min_ts", "max_ts")
 
 
@@ -403,3 +403,17 @@ def _(spark, folder):
     df = table(spark, folder, "embeddings")
     prof = P.profile_frame(df, P.profile(df, "vec_id", ["embedding"]))
     return prof.select("column", "inferred_type", "total_count", "null_count", "unique_count")
+
+
+@query(
+    "schema_profile_placeholder_dates",
+    f"""WITH d AS (SELECT *, try_strptime(d_behind, '%Y-%m-%d') AS t FROM ({view_sql('late_dates')}))
+    SELECT 'd_behind' AS "column", CASE WHEN count(t) > 0.8 * count(*) THEN 'datetime' ELSE 'text' END AS inferred_type, count(DISTINCT d_behind) AS unique_count,
+      strftime(min(t), '%Y-%m-%d %H:%M:%S') AS min_ts, strftime(max(t), '%Y-%m-%d %H:%M:%S') AS max_ts FROM d
+    UNION ALL SELECT 'd_late', 'text', count(DISTINCT d_late), NULL, NULL FROM d""",
+)
+def _(spark, folder):
+    """Dates of one form that the first values do not show; three forms at once are no format of a column."""
+    df = view(spark, folder, "late_dates", spread_table)
+    prof = P.profile_frame(df, P.profile(df, "o_orderkey", ["d_behind", "d_late"]))
+    return prof.select("column", "inferred_type", "unique_count", "min_ts", "max_ts")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from catalog.views import view_sql
+from siftframe.functions.dates import DATE_HINTS
+from siftframe.functions.values import BOOLEAN_WORDS, NUMBER_PATTERN
 
-NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
-DATE_HINT = (
-    r"\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\d{4}\d{2}\d{2}|[A-Za-z]{3,9}\s+\d{1,2},\s+\d{4}"
-)
-BOOLEAN = "'true','false','t','f','yes','no','y','n','1','0','1.0','0.0','active','inactive'"
+# the fixed values of the library: number and date patterns, words
+NUMBER = NUMBER_PATTERN
+DATE_HINT = "|".join(DATE_HINTS)
+BOOLEAN = ",".join(f"'{w}'" for w in BOOLEAN_WORDS)
 
 # column kinds by view: int, float, text, time
 COLUMNS = {

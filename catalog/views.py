@@ -61,6 +61,7 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
                 f"ELSE substr({ISO}, 1, 4) || '/' || substr({ISO}, 6, 2) || '/' || substr({ISO}, 9, 2) END",
                 "d_late",
             ),
+            (f"CASE WHEN o_orderkey < 25 THEN 'tbd' ELSE {ISO} END", "d_behind"),
             (f"CASE WHEN o_orderkey % 3 = 0 THEN {ISO} ELSE 'w' || CAST(o_orderkey AS STRING) END", "d_some"),
         ],
     ),

@@ -154,6 +154,8 @@ def _formats_by_shape() -> dict[str, list[str]]:
     return found
 
 
+#: Of formats that read as much the earlier one counts, so that the month comes first.
+FORMAT_ORDER = {d + t: i for i, (d, t) in enumerate((d, t) for d in DATE_FORMATS for t in TIME_SUFFIXES)}
 #: The one or two formats, month first, that may read texts of a shape.
 FORMATS_BY_SHAPE = _formats_by_shape()
 #: Shapes of which a text may make its column a column of dates.

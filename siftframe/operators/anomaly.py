@@ -38,6 +38,12 @@ FORMAT_CAP = 20
 MISSING_WEIGHT = 40.0
 OUTLIER_WEIGHT = 30.0
 FORMAT_WEIGHT = 30.0
+# messages: what stands before, between and after the column, row and value
+MISSING_MESSAGE = "Column '{column}' has a very high missing rate ({share})."
+OUTLIER_MESSAGE = ("Numerical outlier detected in row ", ": ")
+RARE_MESSAGE = ("Rare categorical value '", "' (occurs < 1%) in row ", ".")
+FORMAT_MESSAGE = ("Invalid ", " format in row ", ": '", "'")
+MORE_MESSAGE = "Column '{column}' has {n} {kind} (first {cap} shown above)."
 # ----------------------------------------------------------------------------
 
 ANOMALY_SCHEMA = "column string, row_index bigint, value string, type string, message string"
@@ -154,7 +160,7 @@ def high_missingness(df: DataFrame, prof: list[ColumnProfile]) -> DataFrame:
     for i, p in enumerate(prof):
         if p.null_pct > HIGH_MISSING_SHARE:
             share = f"{p.null_pct * 100:.1f}%"
-            message = f"Column '{p.column}' has a very high missing rate ({share})."
+            message = MISSING_MESSAGE.format(column=p.column, share=share)
             rows.append((i, 0, p.column, None, f"{share} missing", "high_missingness", message))
     return df.sparkSession.createDataFrame(rows, "ordinal int, step int, " + ANOMALY_SCHEMA)
 
@@ -199,13 +205,11 @@ def _describe(df: DataFrame, prof: list[ColumnProfile], flagged: DataFrame) -> D
     kind = F.col("kind")
     out = flagged.select("ordinal", "step", "kind", name.alias("column"), "row_index", value.alias("value"))
     value = F.col("value")
+    outlier, rare, malformed = ([F.lit(t) for t in texts] for texts in (OUTLIER_MESSAGE, RARE_MESSAGE, FORMAT_MESSAGE))
     message = (
-        F.when(kind == "outlier", F.concat(F.lit("Numerical outlier detected in row "), row, F.lit(": "), value))
-        .when(
-            kind == "rare_value",
-            F.concat(F.lit("Rare categorical value '"), value, F.lit("' (occurs < 1%) in row "), row, F.lit(".")),
-        )
-        .otherwise(F.concat(F.lit("Invalid "), kind, F.lit(" format in row "), row, F.lit(": '"), value, F.lit("'")))
+        F.when(kind == "outlier", F.concat(outlier[0], row, outlier[1], value))
+        .when(kind == "rare_value", F.concat(rare[0], value, rare[1], row, rare[2]))
+        .otherwise(F.concat(malformed[0], kind, malformed[1], row, malformed[2], value, malformed[3]))
     )
     type_ = F.when(kind.isin("outlier", "rare_value"), kind).otherwise(F.lit("format_error"))
     return out.select("ordinal", "step", "column", "row_index", "value", type_.alias("type"), message.alias("message"))
@@ -251,7 +255,7 @@ def _overflow(df: DataFrame, prof: list[ColumnProfile], counts: dict[str, dict[s
         for kind, (step, cap, short, long) in limits.items():
             n = counts[kind].get(p.column, 0)
             if n > cap:
-                message = f"Column '{p.column}' has {n} {long} (first {cap} shown above)."
+                message = MORE_MESSAGE.format(column=p.column, n=n, kind=long, cap=cap)
                 rows.append((i, step, p.column, None, f"{n} {short}", kind, message))
     return df.sparkSession.createDataFrame(rows, "ordinal int, step int, " + ANOMALY_SCHEMA)
 

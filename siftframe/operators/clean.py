@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,32 +30,28 @@ from siftframe.operators.rowid import ROW_INDEX, renumber, with_row_index
 
 IMPUTATIONS = ("drop", "mean", "median", "mode", "constant")
 EMPTY_HEADER = "column"  # a header of which a style leaves nothing, as a table needs names
-STYLES = ("snake_case", "camelCase", "uppercase", "lowercase", "title_case")
 
 
 # --- headers ----------------------------------------------------------------
 
 
-def _letters(name: str) -> str:
-    """Spaces to underscores, then only letters, digits and underscores."""
-    return "".join(ch for ch in name.replace(" ", "_") if ch == "_" or ch.isalnum())
+#: Per style the pattern substitutions that turn a trimmed header into it; words are parted by ``_`` and white space.
+_PLAIN = ((r" ", "_"), (r"\W", ""))
+_CAPITAL = lambda m: m[1].capitalize()
+STYLE_STEPS: dict[str, tuple] = {
+    "snake_case": (*_PLAIN, (r"_+", "_"), (r"^_|_$", ""), (r".+", lambda m: m[0].lower())),
+    "camelCase": ((r"^[_\s]+|[_\s]+$", ""), (r"^[^_\s]+", lambda m: m[0].lower()), (r"[_\s]+([^_\s]+)", _CAPITAL)),
+    "uppercase": (*_PLAIN, (r".+", lambda m: m[0].upper())),
+    "lowercase": (*_PLAIN, (r".+", lambda m: m[0].lower())),
+    "title_case": ((r"[_\s]+", " "), (r"^ | $", ""), (r"(\S+)", _CAPITAL)),
+}
 
 
 def restyled(name: str, style: str | None) -> str:
     """A header in the given style; an unknown style only trims."""
     name = name.strip()
-    words = name.replace("_", " ").split()
-    match style:
-        case "snake_case":
-            return "_".join(w for w in _letters(name).split("_") if w).lower()
-        case "camelCase":
-            return "".join(w.capitalize() if i else w.lower() for i, w in enumerate(words))
-        case "uppercase":
-            return _letters(name).upper()
-        case "lowercase":
-            return _letters(name).lower()
-        case "title_case":
-            return " ".join(map(str.capitalize, words))
+    for pattern, to in STYLE_STEPS.get(style, ()):
+        name = re.sub(pattern, to, name)
     return name
 
 

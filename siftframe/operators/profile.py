@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from siftframe.functions.dates import FORMATS_BY_SHAPE, HINTED_SHAPES, column_format, looks_like_date, parse_date, parse_like_first, shape
+from siftframe.functions.dates import FORMAT_ORDER, FORMATS_BY_SHAPE, HINTED_SHAPES, column_format, looks_like_date, parse_date, parse_like_first, shape
 from siftframe.functions.values import (
     BOOLEAN_WORDS,
     DIGEST,
@@ -398,21 +398,26 @@ def _date_shapes(df: DataFrame, columns: list[str]) -> dict[str, dict[str, int]]
     return found
 
 
-def _dates_by_shape(df: DataFrame, shapes: dict[str, dict[str, int]]) -> dict[str, tuple[int, str, str, list[str]]]:
-    """Per column: values read, earliest and latest moment, formats. Every shape has the format that reads most of it."""
+def _dates_by_shape(df: DataFrame, shapes: dict[str, dict[str, int]], mixed: bool) -> dict[str, tuple[int, str, str, list[str]]]:
+    """Per column: values read, earliest and latest moment, formats.
+
+    The column has the one format that reads most of its values; if ``mixed``, each shape has the one that reads most of it.
+    """
     tries = [(c, s, f) for c, counts in shapes.items() for s in counts for f in FORMATS_BY_SHAPE[s]]
     aggs = []
     for i, (c, s, f) in enumerate(tries):
         read = F.when(shape(col(c)) == s, parse_date(col(c), [f]))
         aggs += [F.count(read).alias(f"n{i}"), *[F.date_format(g(read), TIMESTAMP_FORMAT).alias(f"{k}{i}") for k, g in (("min", F.min), ("max", F.max))]]
     row = df.agg(*aggs).first()
-    best: dict[tuple[str, str], int] = {}
-    for i, (c, s, _) in enumerate(tries):
-        if (c, s) not in best or row[f"n{i}"] > row[f"n{best[c, s]}"]:  # month first on ties
-            best[c, s] = i
     out = {}
     for c in shapes:
-        mine = [i for (of, _), i in best.items() if of == c and row[f"n{i}"]]
+        # a choice is made among the formats of the column, or of each of its shapes
+        choices: dict[str, dict[str, list[int]]] = {}
+        for i, (of, s, f) in enumerate(tries):
+            if of == c:
+                choices.setdefault(s if mixed else "", {}).setdefault(f, []).append(i)
+        best = [max(by.items(), key=lambda e: (sum(row[f"n{i}"] for i in e[1]), -FORMAT_ORDER[e[0]])) for by in choices.values()]
+        mine = [i for _, tried in best for i in tried if row[f"n{i}"]]
         if mine:
             ends = min(row[f"min{i}"] for i in mine), max(row[f"max{i}"] for i in mine)
             out[c] = (sum(row[f"n{i}"] for i in mine), *ends, sorted({tries[i][2] for i in mine}))
@@ -469,9 +474,9 @@ def profile(
 ) -> list[ColumnProfile]:
     """Profile every column in a fixed number of passes, whatever the number of columns.
 
-    A text column is one of dates if more than DATE_SHARE of all its values are read by the formats of their own
-    shapes. With ``dates="first"`` only its first DATE_PROBES values may make it one, and the very first
-    one fixes the format of all. ``facts`` are those of :func:`written_with_facts`, for the same columns.
+    A text column is one of dates if one format, that which reads most, reads more than DATE_SHARE of all its values.
+    With ``dates="mixed"`` values of every shape are read by a format of their own; with ``dates="first"`` only the first
+    DATE_PROBES values may make it a column of dates, and the very first one fixes the format. ``facts`` are those of :func:`written_with_facts`, for the same columns.
 
     Passes: plain aggregates; value frequencies (the one shuffle that grows with the
     data); the first rows; date parsing for text columns that look like dates; quantiles.
@@ -480,7 +485,7 @@ def profile(
     names = _columns(df, columns)
     types = {c: dtype_of(df, c) for c in names}
     nums = _numbers(df, names)
-    texts = [c for c in names if isinstance(types[c], T.StringType)] if dates == "all" else []
+    texts = [c for c in names if isinstance(types[c], T.StringType)] if dates != "first" else []
     with ThreadPoolExecutor(4) as pool:  # independent jobs, submitted together
         wait_shapes = pool.submit(_date_shapes, df, texts) if texts else None
         wait_plain = pool.submit(df.agg(*_fact_aggregates(df, row_id, names)).first) if facts is None else None
@@ -518,7 +523,7 @@ def profile(
             mixed[c] = shapes[c]
         out.append(p)
 
-    read: dict[str, tuple[int, str, str, list[str]]] = _dates_by_shape(df, mixed) if mixed else {}
+    read: dict[str, tuple[int, str, str, list[str]]] = _dates_by_shape(df, mixed, dates == "mixed") if mixed else {}
     if like_first:
         parsed = {c: parse_like_first(col(c), v) for c, v in like_first.items()}
         row = df.agg(

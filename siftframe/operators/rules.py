@@ -291,30 +291,23 @@ def numbered_failures(log: DataFrame) -> DataFrame:
     return numbered.select((F.col("failure_id") + 1).alias("failure_id"), *FAILURE_COLUMNS)
 
 
+#: Kind of rule, and the parameters with which it fits a profiled column (None: it does not); ``most`` bounds allowed sets.
+FITTING: tuple[tuple[str, Callable[[ColumnProfile, int | None], dict | None]], ...] = (
+    ("non_null", lambda p, most: None if p.null_pct else {}),
+    ("unique", lambda p, most: {} if p.total_count > UNIQUE_MINIMUM and p.unique_pct > UNIQUE_SHARE else None),
+    ("range", lambda p, most: {"min": float(p.min), "max": float(p.max)} if p.inferred_type == "numeric" and p.min is not None else None),
+    ("in_set", lambda p, most: {"allowed": p.values[:most]} if p.inferred_type == "categorical" and p.unique_count <= IN_SET_DISTINCT and p.values[:most] else None),
+    ("regex", lambda p, most: {"pattern": EMAIL_PATTERN, "description": EMAIL_DESCRIPTION} if "email" in p.column.lower() else None),
+)
+
+
 def suggest_rules(prof: list[ColumnProfile], most: int | None = None) -> list[dict]:
     """Rule definitions that fit a profile; an allowed set of up to eight values holds them all.
 
     ``most`` keeps only that many of the most frequent ones.
     """
-    out = []
-
-    def add(column: str, kind: str, params: dict) -> None:
-        out.append({"column": column, "type": kind, "params": params})
-
-    for p in prof:
-        if p.null_pct == 0:
-            add(p.column, "non_null", {})
-        if p.total_count > UNIQUE_MINIMUM and p.unique_pct > UNIQUE_SHARE:
-            add(p.column, "unique", {})
-        if p.inferred_type == "numeric" and p.min is not None:
-            add(p.column, "range", {"min": float(p.min), "max": float(p.max)})
-        if p.inferred_type == "categorical" and p.unique_count <= IN_SET_DISTINCT:
-            allowed = p.values[:most]
-            if allowed:
-                add(p.column, "in_set", {"allowed": allowed})
-        if "email" in p.column.lower():
-            add(p.column, "regex", {"pattern": EMAIL_PATTERN, "description": EMAIL_DESCRIPTION})
-    return out
+    fits = ((p.column, kind, fit(p, most)) for p in prof for kind, fit in FITTING)
+    return [{"column": column, "type": kind, "params": params} for column, kind, params in fits if params is not None]
 
 
 def suggested_rules_frame(df: DataFrame, rules: list[dict]) -> DataFrame:
