@@ -48,4 +48,4 @@ def test_query(spark, duck, name):
 def test_every_query_has_sql_or_a_reason():
     without = set(QUERIES) - set(entry.oracle_sql())
     assert set(QUERIES) <= set(entry.queries())
-    assert without == {"fuzzy_groups_customer_names", "quality_report_document"}
+    assert without == {"quality_report_document"}
