@@ -10,7 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from siftframe.functions.dates import FORMAT_ORDER, FORMATS_BY_SHAPE, HINTED_SHAPES, column_format, looks_like_date, parse_date, parse_like_first, shape
+from siftframe.functions.dates import (
+    FORMAT_ORDER,
+    FORMATS_BY_SHAPE,
+    HINTED_SHAPES,
+    LONGEST_DATE,
+    column_format,
+    looks_like_date,
+    parse_date,
+    parse_like_first,
+    shape,
+    text_shape,
+)
 from siftframe.functions.values import (
     BOOLEAN_WORDS,
     DIGEST,
@@ -398,6 +409,20 @@ def _date_shapes(df: DataFrame, columns: list[str]) -> dict[str, dict[str, int]]
     return found
 
 
+def _shapes_of_values(df: DataFrame, ranked: dict[str, tuple[int, int, list[tuple[str, int]]]]) -> dict[str, dict[str, int]]:
+    """As :func:`_date_shapes`; where all values of a column are known already, they are not read again."""
+    found: dict[str, dict[str, int]] = {}
+    for c, (_, unique, values) in ranked.items():
+        if unique <= CATEGORY_DISTINCT_LARGE:
+            for value, n in values:
+                s = text_shape(value) if len(value) <= LONGEST_DATE else None
+                if s in FORMATS_BY_SHAPE:
+                    counts = found.setdefault(c, {})
+                    counts[s] = counts.get(s, 0) + n
+    many = [c for c, (_, unique, _) in ranked.items() if unique > CATEGORY_DISTINCT_LARGE]
+    return found | (_date_shapes(df, many) if many else {})
+
+
 def _dates_by_shape(df: DataFrame, shapes: dict[str, dict[str, int]], mixed: bool) -> dict[str, tuple[int, str, str, list[str]]]:
     """Per column: values read, earliest and latest moment, formats.
 
@@ -485,9 +510,7 @@ def profile(
     names = _columns(df, columns)
     types = {c: dtype_of(df, c) for c in names}
     nums = _numbers(df, names)
-    texts = [c for c in names if isinstance(types[c], T.StringType)] if dates != "first" else []
-    with ThreadPoolExecutor(4) as pool:  # independent jobs, submitted together
-        wait_shapes = pool.submit(_date_shapes, df, texts) if texts else None
+    with ThreadPoolExecutor(3) as pool:  # independent jobs, submitted together
         wait_plain = pool.submit(df.agg(*_fact_aggregates(df, row_id, names)).first) if facts is None else None
         wait_stats = pool.submit(_number_stats(df, nums, quartiles).collect) if nums and facts is None else None
         wait_values = pool.submit(_collected_values, df, row_id, names)
@@ -496,7 +519,7 @@ def profile(
         head = _head(df, row_id, names, DATE_PROBES, plain["low"], plain["high"]) if total else {c: [] for c in names}
         stats = {r["column"]: r for r in wait_stats.result()} if wait_stats else facts.stats if facts else {}
         ranked = wait_values.result()
-        shapes = wait_shapes.result() if wait_shapes else {}
+        shapes = _shapes_of_values(df, {c: ranked[c] for c in names if isinstance(types[c], T.StringType)}) if dates != "first" else {}
 
     out: list[ColumnProfile] = []
     like_first: dict[str, str] = {}
