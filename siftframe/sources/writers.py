@@ -59,8 +59,10 @@ def write_json_array(df: DataFrame, path: str, mode: str = "errorifexists", rows
 def write_json_columns(df: DataFrame, path: str, mode: str = "errorifexists", rows: int = DOCUMENT_ROWS) -> None:
     """Files that each hold {column: {row: value}} of up to ``rows`` rows; nulls are kept."""
     numbered, document, place = _documents(df, rows)
-    maps = [F.map_from_entries(F.collect_list(F.struct(col(place).cast("string"), col(c)))).alias(c) for c in data_columns(df)]
-    whole = numbered.groupBy(document).agg(*maps).select(F.struct(*[col(c) for c in data_columns(df)]).alias("columns"))
+    # one list of whole rows, from which the columns are told apart once it is complete
+    rows_of = numbered.groupBy(document).agg(F.collect_list(F.struct(col(place).cast("string").alias("place"), *[col(c).alias(f"c{i}") for i, c in enumerate(data_columns(df))])).alias("rows"))
+    maps = [F.map_from_arrays("rows.place", f"rows.c{i}").alias(c) for i, c in enumerate(data_columns(df))]
+    whole = rows_of.select(F.struct(*maps).alias("columns"))
     texts = whole.select(F.to_json("columns", {"ignoreNullFields": "false"}).alias("value"))
     texts.write.mode(mode).option("maxRecordsPerFile", 1).text(path)
 

@@ -128,6 +128,22 @@ def test_function_with_fallback(spark):
     assert sorted(map(tuple, got.collect())) == [("Paid", "completed"), ("a", "first")]
 
 
+def test_cells_of_column_documents_carry_nothing_else(spark, tmp_path):
+    """A VARIANT taken out of an object has the names of all rows with it: memory grew with the square of a document."""
+    (tmp_path / "a.json").write_text(json.dumps({"n": {str(i): i for i in range(5000)}, "t": {str(i): None if i % 2 else f"v{i}" for i in range(5000)}}))
+    cells = readers._column_cells(spark, str(tmp_path)).select("cell").collect()
+    assert len(cells) == 10000
+    assert max(len(r["cell"].metadata) for r in cells if r["cell"] is not None) < 20
+    df = read_table(spark, str(tmp_path), "json", orient="columns")
+    assert sorted(map(tuple, df.collect())) == sorted(((i, None if i % 2 else f"v{i}") for i in range(5000)), key=lambda r: r[0])
+
+
+def test_json_columns_as_lists(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": [1, 2, null], "b": {"0": "x", "2": "z"}}')
+    df = read_table(spark, str(tmp_path), "json", orient="columns")
+    assert sorted(map(tuple, df.collect()), key=str) == [(1, "x"), (2, None), (None, "z")]
+
+
 def test_json_by_columns(spark, tmp_path):
     one = {"name": {"0": "Ana", "1": None, "2": 'a "b"\nc'}, "n": {"0": 1, "1": 2, "2": 3}, "x": {"0": 1.5, "1": 2, "2": None}, "ok": {"0": True, "1": False}, "mixed": {"0": 1, "1": "one", "2": [1]}}
     two = {"n": {"a": 7}, "more": {"a": "m"}}
