@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
@@ -32,13 +33,14 @@ from siftframe.functions.values import (
     is_native_number,
     is_native_time,
     is_text,
+    number_of_text,
     present,
     raw_text,
     shown,
     shown_text,
     try_num,
 )
-from siftframe.operators.quantiles import SMALL, Extent, exact_quantiles, marks
+from siftframe.operators.quantiles import SMALL, Extent, counted_quantiles, exact_quantiles, marks
 from siftframe.operators.rowid import ROW_INDEX, data_columns
 from siftframe.work import written
 
@@ -97,7 +99,7 @@ KEY = {"whole": "bigint", "real": "double", "text": "string"}
 
 
 def _keys(df: DataFrame, columns: list[str], row_id: str | None) -> DataFrame:
-    """(_row, column, whole, real, text): one row per non-missing cell, with one of the keys set."""
+    """(_row, ordinal, whole, real, text): one row per non-missing cell, with one of the keys set."""
     utc = df.sparkSession.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC")
     cells = []
     used = set()
@@ -107,10 +109,10 @@ def _keys(df: DataFrame, columns: list[str], row_id: str | None) -> DataFrame:
         cells.append((c, key))
     kinds = [k for k in KEY if k in used]
     flat = [F.lit(len(cells))]
-    for c, key in cells:
-        flat += [F.lit(c), *[key.get(k, F.lit(None).cast(KEY[k])) for k in kinds]]
+    for i, (_, key) in enumerate(cells):
+        flat += [F.lit(i), *[key.get(k, F.lit(None).cast(KEY[k])) for k in kinds]]
     row = [col(row_id).alias("_row")] if row_id else []
-    long = df.select(*row, F.stack(*flat).alias("column", *kinds))
+    long = df.select(*row, F.stack(*flat).alias("ordinal", *kinds))
     return long.where(" or ".join(f"{k} is not null" for k in kinds))
 
 
@@ -129,18 +131,23 @@ def _key_text(df: DataFrame, columns: list[str], keys: list[str]) -> Column:
             (T.DateType, F.date_from_unix_date(whole.cast("int"))),
             ((T.TimestampType, T.TimestampNTZType), F.timestamp_micros(whole)),
         ):
-            names = [c for c in columns if isinstance(dtype_of(df, c), kind)]
-            if names:
-                text = F.when(F.col("column").isin(names), form.cast("string")).otherwise(text)
+            ordinals = [i for i, c in enumerate(columns) if isinstance(dtype_of(df, c), kind)]
+            if ordinals:
+                text = F.when(F.col("ordinal").isin(ordinals), form.cast("string")).otherwise(text)
         parts.append(text)
     return F.coalesce(*parts)
 
 
+def _name(columns: list[str]) -> Column:
+    """Name of the column that a cell came from."""
+    return F.get(F.array(*[F.lit(c) for c in columns]), F.col("ordinal")).alias("column")
+
+
 def _frequencies(df: DataFrame, row_id: str, columns: list[str]) -> tuple[DataFrame, Column]:
-    """((column, keys..., n, first_row), the key as text)."""
+    """((ordinal, keys..., n, first_row), the key as text)."""
     long = _keys(df, columns, row_id)
     keys = [k for k in KEY if k in long.columns]
-    freq = long.groupBy("column", *keys).agg(F.count("*").alias("n"), F.min("_row").alias("first_row"))
+    freq = long.groupBy("ordinal", *keys).agg(F.count("*").alias("n"), F.min("_row").alias("first_row"))
     return freq, _key_text(df, columns, keys)
 
 
@@ -151,8 +158,9 @@ def value_frequencies(df: DataFrame, row_id: str = ROW_INDEX, columns: list[str]
     are grouped in fixed width. A value longer than ``LONG_TEXT`` is represented by
     its SHA-256 digest; its text is found again at ``first_row``.
     """
-    freq, text = _frequencies(df, row_id, _columns(df, columns))
-    return freq.select("column", text.alias("key"), "n", "first_row")
+    names = _columns(df, columns)
+    freq, text = _frequencies(df, row_id, names)
+    return freq.select(_name(names), text.alias("key"), "n", "first_row")
 
 
 def _ranked_keys(df: DataFrame, row_id: str, columns: list[str], k: int) -> DataFrame:
@@ -163,14 +171,14 @@ def _ranked_keys(df: DataFrame, row_id: str, columns: list[str], k: int) -> Data
     rows per column leave a task.
     """
     freq, text = _frequencies(df, row_id, columns)
-    order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("first_row"))
+    order = Window.partitionBy("ordinal").orderBy(F.desc("n"), F.asc("first_row"))
     top = freq.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     # reads all columns of `freq`, so that both branches share one shuffle
-    totals = freq.groupBy("column").agg(
+    totals = freq.groupBy("ordinal").agg(
         F.count_if(F.col("first_row").isNotNull()).alias("n"), F.sum("n").alias("first_row")
     )
-    return top.select("column", "rank", text.alias("key"), "n", "first_row").unionByName(
-        totals.select("column", F.lit(0).alias("rank"), F.lit(None).cast("string").alias("key"), "n", "first_row")
+    return top.select(_name(columns), "rank", text.alias("key"), "n", "first_row").unionByName(
+        totals.select(_name(columns), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("key"), "n", "first_row")
     )
 
 
@@ -220,7 +228,7 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, approx: boo
         cells = [F.approx_count_distinct(t).alias(c) for c, t in zip(names, _text_columns(df, names))]
         return _one_row_per_column(df.agg(*cells), names, lambda c: [col(c).alias("unique_count")])
     long = _keys(df, names, None)
-    return long.distinct().groupBy("column").agg(F.count("*").alias("unique_count"))
+    return long.distinct().groupBy("ordinal").agg(F.count("*").alias("unique_count")).select(_name(names), "unique_count")
 
 
 def _one_row_per_column(one: DataFrame, columns: list[str], fields) -> DataFrame:
@@ -251,21 +259,39 @@ QUARTILES = [0.25, 0.5, 0.75]
 
 
 def _number_stats(df: DataFrame, numbers: dict[str, Column], quartiles: bool = False) -> DataFrame:
-    """(column, n, min, max, mean, std) of columns with values; a few rows leave each task.
+    """(column, n, min, max, mean, std) of columns with values; one row leaves each task.
 
     ``quartiles`` adds ``marks``, what a sketch finds around the quartiles.
     """
-    wide = df.select(*[x.alias(c) for c, x in numbers.items()])
-    return (
-        wide.unpivot([], [col(c) for c in numbers], "column", "x")
-        .where("x is not null")
-        .groupBy("column")
-        .agg(
-            F.count("*").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"),
-            F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std"),
-            *([marks(F.col("x"), QUARTILES).alias("marks")] if quartiles else []),
-        )
-    )
+    kinds = {"n": F.count, "min": F.min, "max": F.max, "mean": F.avg, "std": lambda x: F.coalesce(F.stddev_samp(x), F.lit(0.0))}
+    if quartiles:
+        kinds["marks"] = lambda x: marks(x, QUARTILES)
+    one = df.agg(*[f(x).alias(f"{kind}_{i}") for i, x in enumerate(numbers.values()) for kind, f in kinds.items()])
+    at = {c: i for i, c in enumerate(numbers)}
+    return _one_row_per_column(one, list(numbers), lambda c: [F.col(f"{kind}_{at[c]}").alias(kind) for kind in kinds]).where("n > 0")
+
+
+def _counted_stats(counts: list[tuple[float, int]]) -> dict:
+    """As :func:`_number_stats` from all numbers of a column and how often each occurs; ``counts`` is kept for its quartiles."""
+    n = sum(k for _, k in counts)
+    mean = sum(x * k for x, k in counts) / n
+    spread = sum(k * (x - mean) * (x - mean) for x, k in counts)
+    std = math.sqrt(spread / (n - 1)) if n > 1 else 0.0
+    return {"n": n, "min": min(counts)[0], "max": max(counts)[0], "mean": mean, "std": std, "counts": counts}
+
+
+def _stats_of_values(df: DataFrame, numbers: dict[str, Column], ranked: dict[str, tuple[int, int, list[tuple[str, int]]]], quartiles: bool) -> dict[str, dict]:
+    """Number statistics per column; where all values of a column are known already, they are not read again."""
+    stats, many = {}, {}
+    for c, x in numbers.items():
+        _, unique, values = ranked[c]
+        if unique > CATEGORY_DISTINCT_LARGE:
+            many[c] = x
+        elif counts := [(x, n) for v, n in values if (x := number_of_text(v)) is not None]:
+            stats[c] = _counted_stats(counts)
+    if many:
+        stats |= {r["column"]: r.asDict() for r in _number_stats(df, many, quartiles).collect()}
+    return stats
 
 
 def _head(
@@ -504,7 +530,8 @@ def profile(
     DATE_PROBES values may make it a column of dates, and the very first one fixes the format. ``facts`` are those of :func:`written_with_facts`, for the same columns.
 
     Passes: plain aggregates; value frequencies (the one shuffle that grows with the
-    data); the first rows; date parsing for text columns that look like dates; quantiles.
+    data); the first rows; number statistics of columns with many values (of others they are told from the frequencies);
+    date parsing for text columns that look like dates; quantiles.
     What reaches the driver is a handful of values per column.
     """
     names = _columns(df, columns)
@@ -512,14 +539,14 @@ def profile(
     nums = _numbers(df, names)
     with ThreadPoolExecutor(3) as pool:  # independent jobs, submitted together
         wait_plain = pool.submit(df.agg(*_fact_aggregates(df, row_id, names)).first) if facts is None else None
-        wait_stats = pool.submit(_number_stats(df, nums, quartiles).collect) if nums and facts is None else None
         wait_values = pool.submit(_collected_values, df, row_id, names)
         plain = wait_plain.result() if wait_plain else facts.plain
         total = plain["total"]
         head = _head(df, row_id, names, DATE_PROBES, plain["low"], plain["high"]) if total else {c: [] for c in names}
-        stats = {r["column"]: r for r in wait_stats.result()} if wait_stats else facts.stats if facts else {}
         ranked = wait_values.result()
+        wait_stats = pool.submit(_stats_of_values, df, nums, ranked, quartiles) if facts is None else None
         shapes = _shapes_of_values(df, {c: ranked[c] for c in names if isinstance(types[c], T.StringType)}) if dates != "first" else {}
+        stats = wait_stats.result() if wait_stats else facts.stats
 
     out: list[ColumnProfile] = []
     like_first: dict[str, str] = {}
@@ -565,8 +592,11 @@ def profile(
 
     if quartiles:
         wanted = {p.column: nums[p.column] for p in out if p.inferred_type == "numeric"}
-        known = {c: Extent(stats[c]["n"], stats[c]["min"], stats[c]["max"], tuple(stats[c]["marks"])) if c in stats else Extent(0, None, None) for c in wanted}
-        found = exact_quantiles(df, wanted, QUARTILES, limit, known)
+        counted = {c: stats[c]["counts"] for c in wanted if c in stats and "counts" in stats[c]}
+        many = {c: x for c, x in wanted.items() if c not in counted}
+        known = {c: Extent(stats[c]["n"], stats[c]["min"], stats[c]["max"], tuple(stats[c]["marks"])) if c in stats else Extent(0, None, None) for c in many}
+        found = exact_quantiles(df, many, QUARTILES, limit, known) if many else {}
+        found |= {c: counted_quantiles(counts, QUARTILES) for c, counts in counted.items()}
         for p in out:
             if p.column in found:
                 p.q1, p.median, p.q3 = found[p.column]

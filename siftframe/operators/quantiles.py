@@ -3,9 +3,9 @@
 The built-in ``percentile`` keeps every distinct value of a group in memory. Here
 the pass that finds number and extent of the values also fills a mergeable KLL
 sketch per column, whose quantiles a little below and above a wanted one bracket it.
-One more pass counts the values below each bracket, which tells the exact ranks
-within, and gathers the values of brackets that hold few enough to sort; larger ones it
-counts per bin, and a second pass gathers the bins with the wanted ranks. Should a sketch be wrong by
+The values below each bracket are counted, which tells the exact ranks
+within, and one more pass gathers the values of brackets that hold few enough to sort; larger ones it
+counts per bin, and another pass gathers the bins with the wanted ranks. Should a sketch be wrong by
 more than its margin, or a bin still hold too many values, brackets are narrowed by
 counting per bin until they are small, so the result is exact on any data.
 """
@@ -13,7 +13,9 @@ counting per bin until they are small, so the result is exact on any data.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -153,6 +155,18 @@ def marks(x: Column, probs: list[float]) -> Column:
     return F.when(F.count(x) > 0, F.kll_sketch_get_quantile_double(sketch, ranks))
 
 
+def counted_quantiles(counts: list[tuple[float, int]], probs: list[float]) -> list[float]:
+    """Linearly interpolated quantiles of values that are known with their numbers of rows."""
+    values, sizes = zip(*sorted(counts))
+    upto = list(accumulate(sizes))  # rows up to each value
+    at = lambda rank: values[bisect_right(upto, rank)]
+    out = []
+    for p in probs:
+        rank, share = divmod((upto[-1] - 1) * p, 1)
+        out.append(interpolate(at(int(rank)), at(math.ceil((upto[-1] - 1) * p)), share))
+    return out
+
+
 def extents(df: DataFrame, columns: dict[str, Column], probs: list[float] | None = None) -> dict[str, Extent]:
     """One pass over all columns."""
     aggs = [f(x).alias(f"{k}{i}") for i, x in enumerate(columns.values()) for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
@@ -163,7 +177,8 @@ def extents(df: DataFrame, columns: dict[str, Column], probs: list[float] | None
 
 
 def _placed(df: DataFrame, columns: dict[str, Column], wanted: dict[tuple[str, int], tuple[float, float, float]], limit: int, found: dict) -> dict[tuple[str, int], Bracket]:
-    """One pass over brackets (low, high, expected number of values): values found go to ``found``, other ranks get a bracket.
+    """Brackets (low, high, expected number of values), by a count of what lies below and a pass over what lies within: values found go to
+    ``found``, other ranks get a bracket.
 
     A rank that is not within its bracket is left out.
     """
@@ -171,14 +186,16 @@ def _placed(df: DataFrame, columns: dict[str, Column], wanted: dict[tuple[str, i
     small = [size <= limit for *_, size in shared]
     bins = [1 if few else min(MOST_BINS, max(BINS, 4 * int(size / limit))) for few, (*_, size) in zip(small, shared)]
     of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("id"))
-    long = _long(df, [columns[c] for c, *_ in shared]).where(F.col("x") <= of([high for _, _, high, _ in shared]))
+    # values below a bracket are only counted; no rows are made of them
+    under = df.agg(*[F.count_if(columns[c] < F.lit(float(low))).alias(f"n{i}") for i, (c, low, *_) in enumerate(shared)]).first()
+    long = _long(df, [_inside(columns[c], Bracket(low, high, 0, 0)) for c, low, high, _ in shared])
     low = of([float(low) for _, low, _, _ in shared])
     # halved, so that the width of a bracket is finite
     width = of([max(high / 2 - low / 2, 5e-324) for _, low, high, _ in shared])
     place = F.least(F.floor((F.col("x") / 2 - low / 2) / width * of(bins)).cast("int"), of(bins) - 1)
     high = of([float(high) for _, _, high, _ in shared])
     # the ends may be values of many rows and have bins of their own; what lies between is as many rows as expected
-    bin_ = F.when(F.col("x") < low, -1).when(F.col("x") == low, 0).when(F.col("x") == high, of(bins) + 1).otherwise(F.greatest(place, F.lit(0)) + 1)
+    bin_ = F.when(F.col("x") == low, 0).when(F.col("x") == high, of(bins) + 1).otherwise(F.greatest(place, F.lit(0)) + 1)
     kept = F.when(of(small) & (F.col("x") > low) & (F.col("x") < high), F.col("x"))
     rows = long.groupBy("id", bin_.alias("bin")).agg(
         F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.sort_array(F.collect_list(kept)).alias("xs")
@@ -188,9 +205,10 @@ def _placed(df: DataFrame, columns: dict[str, Column], wanted: dict[tuple[str, i
         got.setdefault(r["id"], []).append(r)
     left = {}
     for (c, rank), (lo, hi, size) in wanted.items():
-        below = 0
-        for r in got.get(shared.index((c, lo, hi, size)), []):
-            if r["bin"] >= 0 and below <= rank < below + r["n"]:
+        at = shared.index((c, lo, hi, size))
+        below = under[f"n{at}"]
+        for r in got.get(at, []):
+            if below <= rank < below + r["n"]:
                 if r["xs"]:
                     found[c, rank] = r["xs"][rank - below]
                 else:

@@ -1,12 +1,16 @@
 import random
+import statistics
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from siftframe.functions.values import number_of_text, try_num
 from siftframe.operators import anomaly as A
 from siftframe.operators import profile as P
+from siftframe.operators import quantiles
 from siftframe.operators.quantiles import exact_quantiles
 from siftframe.operators.rowid import preview, renumber, with_row_index
 from siftframe.operators.rules import suggest_rules
@@ -238,3 +242,44 @@ def test_row_index_of_sparse_and_repeated_keys(spark):
 def test_histogram_of_one_value(spark):
     df = spark.createDataFrame([("5",), ("5",), ("x",)], "v string")
     assert [tuple(r) for r in P.histogram(df, "v").collect()] == [(1, 5.0, 5.0, 2)]
+
+
+def test_values_outside_of_brackets_are_only_counted(spark, monkeypatch):
+    made, plain = [], quantiles._long
+    monkeypatch.setattr(quantiles, "_long", lambda df, parts: made.append((rows := plain(df, parts)).count()) or rows)
+    df = spark.range(60_000).select((F.col("id") * 7919 % 60_000).cast("double").alias("x"))
+    got = exact_quantiles(df, {"x": F.col("x")}, [0.25, 0.5, 0.75], 1000)
+    assert got == {"x": [14999.75, 29999.5, 44999.25]}
+    assert sum(made) < 6000  # all rows for every bracket before
+
+
+def test_columns_of_few_numbers_are_not_read_again(spark, monkeypatch):
+    read, plain = [], P._number_stats
+    monkeypatch.setattr(P, "_number_stats", lambda df, numbers, *a: read.append(sorted(numbers)) or plain(df, numbers, *a))
+    cells = [(i, float(i % 7) - 2.5, str(i % 3) if i % 50 else "?", i * 0.5, None if i % 2 else -0.0) for i in range(1000)]
+    df = spark.createDataFrame(cells, "row_index long, few double, words string, many double, zero double")
+    found = {p.column: p for p in P.profile(df)}
+    assert read == [["many"]]
+    for c, values in (("few", [r[1] for r in cells]), ("words", [float(r[2]) for r in cells if r[2] != "?"]), ("many", [r[3] for r in cells])):
+        p = found[c]
+        assert p.inferred_type == "numeric"
+        assert (p.min, p.max) == (min(values), max(values))
+        assert (p.mean, p.std) == pytest.approx((statistics.fmean(values), statistics.stdev(values)), rel=1e-12)
+        assert (p.q1, p.median, p.q3) == pytest.approx(statistics.quantiles(values, n=4, method="inclusive"), rel=1e-12)
+
+
+def test_numbers_of_texts_on_the_driver(spark):
+    texts = ["1", " 2.5e3 ", "-Infinity", "inf", "1_0", "abc", "", "1.\n", ".5", "+7", "12d", "1\x85", "1\u2028", "\u30001", "\xa01", "NaN", "\u0661", "1e400", "- 1", "1\r\n", "\x1c1", "\n", "1\n\x85"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", try_num(F.col("t"), T.StringType()).alias("x"))
+    assert {r["t"]: r["x"] for r in df.collect()} == {t: number_of_text(t) for t in texts}
+
+
+def test_log_makes_records_of_flagged_rows_only(spark):
+    cells = [(i, float(i % 10) if i != 7 else 500.0, float(i) if i != 8 else 1e6, None if i % 3 else 1.0) for i in range(200)]
+    df = spark.createDataFrame(cells, "row_index long, a double, b double, gaps double")
+    prof = P.profile(df)
+    flagged = A._flagged(df, prof, A.anomaly_checks(df, prof), "row_index")
+    plan = flagged._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate"):].partition("Filter")[2]
+    assert " > 14.5" in below  # the bound of column a, before records are made
+    assert sorted((r["row_index"], r["ordinal"], r["raw"]) for r in flagged.collect()) == [(7, 0, "500.0"), (8, 1, "1000000.0")]
