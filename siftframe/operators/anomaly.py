@@ -7,6 +7,8 @@ row-level checks run as expressions in a single scan of the table.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -167,7 +169,7 @@ def high_missingness(df: DataFrame, prof: list[ColumnProfile]) -> DataFrame:
 
 def _flagged(df: DataFrame, prof: list[ColumnProfile], checks: AnomalyChecks, row_id: str) -> DataFrame:
     """(ordinal, step, kind, row_index, value): one row per flagged cell, from a single scan."""
-    cells = []
+    cells, any_test = [], []
     for i, p in enumerate(prof):
         tests = []
         if p.column in checks.outlier:
@@ -183,10 +185,13 @@ def _flagged(df: DataFrame, prof: list[ColumnProfile], checks: AnomalyChecks, ro
                 F.lit(i).alias("ordinal"), F.lit(step).alias("step"), F.lit(kind).alias("kind"), raw.alias("raw")
             )
             cells.append(F.when(test, record))
+            any_test.append(F.coalesce(test, F.lit(False)))
     if not cells:
         empty = "ordinal int, step int, kind string, raw string, row_index bigint"
         return df.sparkSession.createDataFrame([], empty)
-    records = df.select(col(row_id).cast("long").alias("row_index"), F.explode(F.array(*cells)).alias("r"))
+    # records are only made of the few rows that have one
+    flagged = df.where(reduce(or_, any_test))
+    records = flagged.select(col(row_id).cast("long").alias("row_index"), F.explode(F.array(*cells)).alias("r"))
     return records.where("r is not null").select("r.*", "row_index")
 
 
